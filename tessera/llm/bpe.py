@@ -178,4 +178,4 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_i
     rows = named(df, doc_id=id_col, ids=ids_col)
     sent = df.sparkSession.sparkContext.broadcast(tokenizer_json(vocabulary, pattern))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, bytes binary"
-    return rows.mapInArrow(lambda batches: _decode(sent.value, batches), schema).withColumn("text", F.decode("bytes", F.lit("UTF-8")))
+    return rows.mapInArrow(lambda batches: _decode(sent.value, batches), schema).withColumn("text", F.make_valid_utf8(F.col("bytes").cast("string")))
