@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding with the `tokenizers` library over Arrow batches.
 
-The vocabulary is a public rank file; its merges follow from the ranks (the two parts of a token are
+Every match of the splitting pattern is encoded on its own, each different one of a segment once, and a worker
+remembers a bounded number of them. The vocabulary is a public rank file; its merges follow from the ranks (the two parts of a token are
 what the lower ranks alone make of it). Every byte is written as one printable character, by the
 usual byte table of byte-level BPE, so that `tokenizers` can work on characters; decoding reverses
 that table byte by byte and only then reads UTF-8, so characters split over tokens come back whole.
@@ -21,17 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
+import regex
 from pyspark.sql import DataFrame
-from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-from .common import named, slices, texts_of
+from .common import named, parts_of, texts_of
 
-#: Segments in which long texts are encoded; a cut falls only where one match of the pattern must end.
+#: Segments in which long texts are worked on; a cut falls only where one match of the pattern must end.
 SEGMENT_CHARS = 1 << 16
-#: Characters encoded at once: the library's result objects take some hundred bytes a token.
-ENCODE_CHARS = 1 << 18
-#: Split words whose merges a worker remembers.
-CACHED_WORDS = 200_000
+#: Matches of the pattern whose ids a worker remembers, and how many new ones are encoded at once.
+CACHED_PIECES, ENCODED_AT_ONCE = 300_000, 4096
 
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 
@@ -63,30 +63,78 @@ def parts_below(ranks: dict[bytes, int], token: bytes) -> tuple[bytes, bytes]:
 
 
 @functools.lru_cache(maxsize=4)
-def tokenizer_json(path: str, pattern: str) -> str:
-    """The tokenizer of a rank file, as the JSON text of the `tokenizers` library (a few MB, by the vocabulary)."""
+def tokenizer_json(path: str) -> str:
+    """The tokenizer of a rank file for one match of the pattern, as the JSON text of the `tokenizers` library (a few MB, by the vocabulary)."""
     ranks, characters = read_ranks(path), byte_characters()
     written = {token: "".join(characters[b] for b in token) for token in ranks}
     merges = [tuple(written[p] for p in parts_below(ranks, t)) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
     tokenizer = Tokenizer(models.BPE(vocab={written[t]: r for t, r in ranks.items()}, merges=merges))
-    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([
-        pre_tokenizers.Split(Regex(pattern), behavior="isolated"),
-        pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-    ])
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     return tokenizer.to_str()
 
 
-_tokenizers: dict[int, Tokenizer] = {}
-
-
-def _loaded(text: str) -> Tokenizer:
-    """A worker's tokenizer, made once."""
-    key = hash(text)
-    if key not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[key] = Tokenizer.from_str(text)
-        _tokenizers[key].model._resize_cache(CACHED_WORDS)
-    return _tokenizers[key]
+class Coder:
+    """A worker's tokenizer with the ids, and bytes, of what it has met."""
+
+    held: Coder | None = None
+
+    def __init__(self, text_json: str, pattern: str):
+        self.made_of = hash((text_json, pattern))
+        self.tokenizer = Tokenizer.from_str(text_json)
+        self.split = regex.compile(pattern).findall
+        self.ids: dict[str, bytes] = {}
+        self.offsets: dict[str, np.ndarray] = {}
+        of = {c: b for b, c in enumerate(byte_characters())}
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.empty(max(vocabulary.values()) + 1, object)
+        for token, i in vocabulary.items():
+            self.bytes[i] = bytes(of[c] for c in token)
+
+    @classmethod
+    def of(cls, text_json: str, pattern: str) -> Coder:
+        """The worker's coder, made once."""
+        if cls.held is None or cls.held.made_of != hash((text_json, pattern)):
+            cls.held = cls(text_json, pattern)
+        return cls.held
+
+    def _learn(self, pieces: list[str], offsets: bool = False) -> None:
+        """Encode what isn't remembered, each match once."""
+        if len(self.ids) > CACHED_PIECES:
+            self.ids.clear()
+            self.offsets.clear()
+        new = list(set(pieces).difference(self.offsets if offsets else self.ids))
+        encode = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
+        for start in range(0, len(new), ENCODED_AT_ONCE):
+            part = new[start : start + ENCODED_AT_ONCE]
+            for piece, e in zip(part, encode(part, add_special_tokens=False), strict=True):
+                self.ids[piece] = np.array(e.ids, np.int32).tobytes()
+                if offsets:
+                    self.offsets[piece] = np.array(e.offsets, np.int32).reshape(-1, 2)
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text."""
+        found = []
+        for segment in segments(text):
+            pieces = self.split(segment)
+            self._learn(pieces)
+            found.append(b"".join(map(self.ids.__getitem__, pieces)))
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def encode_with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text, and the first and the last but one character of each."""
+        found, spans, at = [], [], 0
+        for segment in segments(text):
+            pieces = self.split(segment)
+            self._learn(pieces, offsets=True)
+            found.append(b"".join(map(self.ids.__getitem__, pieces)))
+            for piece in pieces:
+                spans.append(self.offsets[piece] + at)
+                at += len(piece)
+        return np.frombuffer(b"".join(found), np.int32), np.concatenate(spans or [np.zeros((0, 2), np.int32)])
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for."""
+        return b"".join(self.bytes[ids].tolist())
 
 
 def segments(text: str, most: int = SEGMENT_CHARS) -> Iterator[str]:
@@ -101,81 +149,60 @@ def segments(text: str, most: int = SEGMENT_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-def _encode(text_json: str, offsets: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokenizer = _loaded(text_json)
-    encode = tokenizer.encode_batch if offsets else tokenizer.encode_batch_fast
-    for whole in batches:
-        texts = texts_of(whole.column("text"))
-        for start, stop in slices(whole, texts):
-            cut = [list(segments(t)) for t in texts[start:stop]]
-            flat = [s for parts in cut for s in parts]
-            ids: list[np.ndarray] = []
-            spans: list[np.ndarray] = []
-            for i, j in slices(whole, flat, ENCODE_CHARS):
-                for e in encode(flat[i:j], add_special_tokens=False):
-                    ids.append(np.array(e.ids, np.int32))
-                    if offsets:
-                        spans.append(np.array(e.offsets, np.int64).reshape(-1, 2))
-            ends, at = [0], 0
-            for parts in cut:
-                shift = 0
-                for part in parts:
-                    if offsets:
-                        spans[at] += shift
-                    shift += len(part)
-                    at += 1
-                ends.append(ends[-1] + sum(map(len, ids[at - len(parts) : at])))
-            row_ends = pa.array(ends, pa.int32())
-            columns = [whole.column("doc_id").slice(start, stop - start), pa.ListArray.from_arrays(row_ends, pa.array(np.concatenate(ids)))]
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values or [np.zeros(0, np.int32)])))
+
+
+def _encode(coder: Coder, offsets: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, part in parts_of(batch, "text"):
+            texts = texts_of(part.column("text"))
             if offsets:
-                both = np.concatenate(spans).astype(np.int32)
-                columns += [pa.ListArray.from_arrays(row_ends, pa.array(np.ascontiguousarray(both[:, k]))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "starts", "ends"][: len(columns)])
+                both = [coder.encode_with_offsets(t) for t in texts]
+                columns = {"ids": [ids for ids, _ in both], "starts": [s[:, 0] for _, s in both], "ends": [s[:, 1] for _, s in both]}
+            else:
+                columns = {"ids": [coder.encode(t) for t in texts]}
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(_lists, columns.values())], names=["doc_id", *columns])
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """`doc_id, ids` of every whole text; with `offsets` also `starts, ends`, the characters each token covers.
+def _decode(coder: Coder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("ids").fill_null([]) if batch.column("ids").null_count else batch.column("ids")
+        values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        decoded = [coder.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "bytes"])
 
-    A token that holds some bytes of a character covers that whole character. The tokenizer reaches
-    the executors as a broadcast whose size the vocabulary bounds.
-    """
-    rows = named(df, doc_id=id_col, text=text_col)
-    sent = df.sparkSession.sparkContext.broadcast(tokenizer_json(vocabulary, pattern))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
-    return rows.mapInArrow(lambda batches: _encode(sent.value, offsets, batches), schema)
 
+def _sent(df: DataFrame, vocabulary: str, pattern: str):
+    """What makes the coder on an executor: the tokenizer is a broadcast whose size the vocabulary bounds."""
+    text_json = df.sparkSession.sparkContext.broadcast(tokenizer_json(vocabulary))
+    return lambda: Coder.of(text_json.value, pattern)
 
-def byte_table(vocabulary_json: str) -> np.ndarray:
-    """Bytes of each id: the characters of the token's written form, each turned back into its byte."""
-    of = {c: b for b, c in enumerate(byte_characters())}
-    vocabulary = _loaded(vocabulary_json).get_vocab()
-    table = np.empty(max(vocabulary.values()) + 1, object)
-    for token, i in vocabulary.items():
-        table[i] = bytes(of[c] for c in token)
-    return table
 
+def encode(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
+    """`doc_id, ids` of every whole text; with `offsets` also `starts, ends`, the characters each token covers.
 
-_tables: dict[int, np.ndarray] = {}
+    Every match of the pattern is encoded on its own. A token that holds some bytes of a character
+    covers that whole character.
+    """
+    rows, coder = named(df, doc_id=id_col, text=text_col), _sent(df, vocabulary, pattern)
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
+    return rows.mapInArrow(lambda batches: _encode(coder(), offsets, batches), schema)
 
 
-def _decode(text_json: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key = hash(text_json)
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = byte_table(text_json)
-    table = _tables[key]
-    for batch in batches:
-        lists = batch.column("ids").fill_null([]) if batch.column("ids").null_count else batch.column("ids")
-        values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        for start in range(0, batch.num_rows, 256):
-            stop = min(start + 256, batch.num_rows)
-            decoded = [b"".join(table[values[ends[k] : ends[k + 1]]].tolist()) for k in range(start, stop)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), lists.slice(start, stop - start), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "bytes"])
+def _decoded_schema(rows: DataFrame) -> str:
+    return f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, bytes binary"
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """`doc_id, ids, bytes, text` of lists of ids: exact bytes, and their text with U+FFFD for what is no UTF-8."""
-    rows = named(df, doc_id=id_col, ids=ids_col)
-    sent = df.sparkSession.sparkContext.broadcast(tokenizer_json(vocabulary, pattern))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, bytes binary"
-    return rows.mapInArrow(lambda batches: _decode(sent.value, batches), schema).withColumn("text", F.make_valid_utf8(F.col("bytes").cast("string")))
+    rows, coder = named(df, doc_id=id_col, ids=ids_col), _sent(df, vocabulary, pattern)
+    found = rows.mapInArrow(lambda batches: _decode(coder(), batches), _decoded_schema(rows))
+    return found.withColumn("text", F.make_valid_utf8(F.col("bytes").cast("string")))
+
+
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`doc_id, ids, bytes` of every whole text, encoded and decoded again in one pass over its batches."""
+    rows, coder = named(df, doc_id=id_col, text=text_col), _sent(df, vocabulary, pattern)
+    return rows.mapInArrow(lambda batches: _decode(coder(), _encode(coder(), False, batches)), _decoded_schema(rows))

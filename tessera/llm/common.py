@@ -6,11 +6,12 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of Python work are cut into slices of about this many characters, so a batch of long texts stays small.
-SLICE_CHARS = 1 << 20
+#: Python works on slices of a batch of about this many bytes of text, so that a batch of long texts stays small.
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,16 +36,17 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch that hold about `most` characters each, one row at least."""
+def parts_of(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Row ranges of a batch in which the column takes about `most` bytes, one row at least, with their first row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
-    for row, text in enumerate(texts):
-        if held and held + len(text) > most:
-            yield start, row
+    for row, size in enumerate(sizes):
+        if row > start and held + size > most:
+            yield start, batch.slice(start, row - start)
             start, held = row, 0
-        held += len(text) + 64
-    if start < len(texts):
-        yield start, len(texts)
+        held += size + 64
+    if start < batch.num_rows:
+        yield start, batch.slice(start)
 
 
 def named(df: DataFrame, **columns: str) -> DataFrame:

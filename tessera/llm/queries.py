@@ -14,8 +14,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and what they decode to, as digests."""
-    ids = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
-    return bpe.decode(ids, VOCABULARY, public_tokenizers.PATTERN).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
