@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 import re
 from collections.abc import Iterator
 
@@ -79,6 +80,7 @@ class Coder:
     held: Coder | None = None
 
     def __init__(self, text_json: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.made_of = hash((text_json, pattern))
         self.tokenizer = Tokenizer.from_str(text_json)
         self.split = regex.compile(pattern).findall
