@@ -6,9 +6,14 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, htmltext, quality, simhash, topk, toxicity, urlfilter
 from .common import table
 
+#: Rules of op3: entry `host/path` and verdict.
+URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+#: Hosts that op3's list blocks where no rule fits.
+BLOCKED_HOSTS = ("cheap-pills.example.com/", "cheap-pills.example.net/", "spam-farm.example.com/", "spam-farm.example.net/")
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -22,12 +27,74 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    rules = spark.createDataFrame(URL_RULES, "entry string, verdict string")
+    blocked = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "entry string")
+    found = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, blocked)
+    return found.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and whether it stays."""
+    documents = table(spark, sf_dir, "documents")
+    field = quality.fitted(documents, table(spark, sf_dir, "labels"))
+    found = quality.judge(documents, field)
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's category probabilities and whether it is toxic."""
+    documents = table(spark, sf_dir, "documents")
+    chain = toxicity.fitted(documents, table(spark, sf_dir, "labels"))
+    names = {n: f"p_{n}" for n in chain.names}
+    return toxicity.score(documents, chain).withColumnsRenamed(names).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the smallest doc_id of its component."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_simhash)}
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all vectors for every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors.where("vec_id % 50 = 0"), vectors, 5)
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return htmltext.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_url_filter, op4_quality, op5_toxicity, op6_simhash, op7_top_k, op8_main_text)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": f"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
+  FROM pages),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{e}', '{v}')" for e, v in URL_RULES)}) r(entry, verdict)),
+blocked AS (SELECT * FROM (VALUES {", ".join(f"('{h}')" for h in BLOCKED_HOSTS)}) b(entry)),
+fits AS (
+  SELECT p.page_id, p.host, p.path,
+    (SELECT arg_max(entry, length(entry)) FROM rules r
+     WHERE ('.' || p.host) LIKE '%.' || split_part(entry, '/', 1) AND starts_with(p.path, substr(entry, strpos(entry, '/')))) AS rule,
+    (SELECT count(*) FROM blocked b
+     WHERE ('.' || p.host) LIKE '%.' || split_part(entry, '/', 1) AND starts_with(p.path, substr(entry, strpos(entry, '/')))) AS n
+  FROM parts p)
+SELECT page_id, host, path, f.rule, coalesce(r.verdict, CASE WHEN n > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM fits f LEFT JOIN rules r ON f.rule = r.entry""",
+    "op7_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+WHERE rank <= 5""",
+}

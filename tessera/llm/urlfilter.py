@@ -37,7 +37,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
     """Host, A-Z lower-cased, and path of a URL column; empty without `://`."""
-    pattern = F.lit(r"(?s)^.*?://([^/?#]*)([^?#]*)")
+    pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     host, path = (F.coalesce(F.regexp_extract(url, pattern, k), F.lit("")) for k in (1, 2))
     return F.translate(host, _UPPER, _LOWER), path
 
