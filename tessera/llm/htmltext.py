@@ -213,7 +213,6 @@ def neighbours(pages: DataFrame) -> DataFrame:
         before[part], total = total, total + sizes[part]
     starts = F.create_map(*(F.lit(x) for p in before for x in (p, before[p]))).cast("map<int,bigint>")
     ranked = ordered.select("page_id", "url", "host", "path", (F.coalesce(F.try_element_at(starts, F.col("part")), F.lit(0)) + F.col("place")).alias("rank"))
-    ranked = durable(ranked)
     near = ranked.select(F.col("rank").alias("near_rank"), F.col("page_id").alias("near_id"), F.col("url").alias("near_url"), F.col("host").alias("near_host"), F.col("path").alias("near_path"))
     asked = ranked.withColumn("near_rank", F.explode(F.array(F.col("rank") - 1, F.col("rank") + 1)))
     met = asked.join(near, "near_rank").where("host = near_host")

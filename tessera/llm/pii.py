@@ -1,0 +1,229 @@
+"""Personal data by weak supervision, with Spark's own functions only.
+
+Base spans come from fixed expressions and stay as they are. The method looks at further candidates,
+such as numbers that a base expression misses because it runs on into a neighbouring number. Five
+labelers vote on each candidate, and on the base spans: its format (checksums, counts of digits), gazetteers (card issuers,
+dialling codes, countries, top-level domains), cue words before it, its shape, and base spans in the same text.
+Expectation-maximisation over the counts of vote patterns estimates how reliable each
+labeler is on private and on other spans; a logistic classifier over votes and kinds, trained on the posteriors, decides.
+
+The counts have a row for each kind and vote pattern, `len(KINDS) * 3 ** 5` at most, so the driver fits
+on a small table however large the corpus is. The expressions use possessive repetition: time is linear
+in a text's length and no long run overflows the stack.
+
+Cases: a null text counts as empty and has no spans. Candidates that overlap a base span, or a
+candidate of an earlier kind, are dropped. Without candidates nothing is added. Repeated rows give a row each. Only
+the named columns take part.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Mapping, Sequence
+
+import pyspark.sql.functions as F
+from pyspark.sql import Column, DataFrame
+
+from . import spans
+
+#: Base kinds in the order in which they are written.
+BASE = ("email", "ip", "card", "phone")
+#: All kinds: what the method adds comes after the base kinds of the same name.
+KINDS = (*BASE, "ssn", "iban")
+#: Posterior from which a candidate is personal data.
+LEAST_POSTERIOR = 0.9
+#: Characters before a candidate in which cue words count.
+CONTEXT = 32
+
+_EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+_IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
+_CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
+_PHONE = r"\+[0-9](?:[ ().-]*+[0-9]){9,14}+(?![ ().-]*+[0-9])"
+
+#: Expressions of the method's candidates, by kind.
+CANDIDATES: dict[str, str] = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z]{2,24}+)++",
+    "card": r"(?<![A-Za-z0-9])(?:[0-9]{14,19}+|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![A-Za-z0-9])",
+    "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}+[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
+    "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+}
+
+#: Without one of these a text has no candidate of the kind.
+CANDIDATE_SIGNS: dict[str, tuple[str, ...]] = {"email": ("[at]", "(at)"), "phone": ("(",)}
+
+#: Gazetteers and cue words; fixed values.
+ISSUER_DIGITS = "^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
+DIALLING_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+IBAN_COUNTRIES = "^(?:AD|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM|TR)"
+COMMON_DOMAINS = "(?i)(?:com|org|net|edu|gov|info|de|fr|es|uk|eu|io)$"
+PRIVATE_CUES = r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|card|visa|mastercard|credit|ssn|social security|iban|account|bank|e-?mail|mail|contact|reach|write)\b"
+OTHER_CUES = r"(?i)\b(?:order|invoice|isbn|version|serial|part|sku|ref|reference|model|page|figure|table|equation|total|sum|build|ticket)\b"
+
+LABELERS = ("format", "gazetteer", "context", "shape", "company")
+
+
+def _digits(match: Column) -> Column:
+    return F.regexp_replace(match, "[^0-9]", "")
+
+
+def luhn(match: Column) -> Column:
+    """Whether a number's digits pass the Luhn check."""
+    doubled = F.array(*(F.lit(2 * d - 9 * (d > 4)) for d in range(10)))
+    numbers = F.transform(F.split(F.reverse(_digits(match)), ""), lambda c: c.try_cast("int"))
+    summed = F.aggregate(F.transform(numbers, lambda d, i: F.when(i % 2 == 1, F.element_at(doubled, d + 1)).otherwise(d)), F.lit(0), lambda a, d: a + d)
+    return summed % 10 == 0
+
+
+def base_spans(text: Column) -> Column:
+    """The base spans of a text that isn't null."""
+    def found(sign: str, pattern: str, kind: str) -> Column:
+        there = F.contains(text, F.lit(sign)) if sign else F.lit(True)
+        return F.when(there, spans.find(text, pattern, kind, BASE.index(kind))).otherwise(F.array().cast(f"array<{spans.SPAN}>"))
+
+    parts = rf"^{_PART}(?:\.{_PART}){{3}}$"
+    return F.concat(
+        found("@", _EMAIL, "email"),
+        F.filter(found(".", _IP, "ip"), lambda s: s.match.rlike(parts)),
+        F.filter(found("", _CARD, "card"), lambda s: luhn(s.match)),
+        found("+", _PHONE, "phone"),
+    )
+
+
+def with_candidates(rows: DataFrame) -> DataFrame:
+    """`rows` with `more`, what the method's expressions find in `text` outside the spans of `base` and of earlier kinds."""
+    none = F.array().cast(f"array<{spans.SPAN}>")
+    rows = rows.withColumn("more", none)
+    for kind, pattern in CANDIDATES.items():
+        there = F.lit(False)
+        for sign in CANDIDATE_SIGNS.get(kind, ("",)):
+            there = there | F.contains("text", F.lit(sign))
+        rows = rows.withColumn("new", F.when(there, spans.find(F.col("text"), pattern, kind, KINDS.index(kind))).otherwise(none))
+        free = spans.outside(F.col("new"), F.concat("base", "more"))
+        rows = rows.withColumn("more", F.when(F.size("new") > 0, F.concat("more", free)).otherwise(F.col("more")))
+    return rows.drop("new")
+
+
+def _vote(yes: Column, no: Column) -> Column:
+    """1, -1 or, where neither or both hold, 0."""
+    return F.coalesce(yes, F.lit(False)).cast("int") - F.coalesce(no, F.lit(False)).cast("int")
+
+
+def votes(text: Column, span: Column, base: Column) -> Column:
+    """The labelers' votes on a span, each -1, 0 or 1."""
+    kind, match, digits = span.kind, span.match, _digits(span.match)
+    of = lambda k, c: (kind == k) & c
+    n = F.length(digits)
+    fits = of("card", luhn(match)) | of("phone", (n >= 9) & (n <= 15)) | of("email", match.rlike(r"[A-Za-z]{2,}$")) | of("ip", F.lit(True))
+    fits = fits | of("ssn", match.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")) | of("iban", match.rlike("[0-9]{8}"))
+    known = of("card", digits.rlike(ISSUER_DIGITS)) | of("phone", match.rlike(DIALLING_CODES)) | of("email", match.rlike(COMMON_DOMAINS)) | of("iban", match.rlike(IBAN_COUNTRIES))
+    unknown = (of("card", F.lit(True)) | of("iban", F.lit(True))) & ~known
+    begin = F.greatest(span.start - CONTEXT, F.lit(0))
+    before = F.substring(text, begin + 1, span.start - begin)
+    plain = F.size(F.array_distinct(F.split(digits, ""))) <= 2
+    near = F.exists(base, lambda b: (b.start != span.start) | (b.end != span.end))
+    return F.struct(
+        _vote(fits, ~fits).alias("format"),
+        _vote(known, unknown).alias("gazetteer"),
+        _vote(before.rlike(PRIVATE_CUES), before.rlike(OTHER_CUES)).alias("context"),
+        _vote(F.lit(False), (n >= 7) & plain).alias("shape"),
+        _vote(near, F.lit(False)).alias("company"),
+    )
+
+
+def looked_at(df: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """All columns of `df` as `row`, with arrays `base` of the base spans, `more` of the candidates and `ballots` of kind and votes on all of them."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), text.alias("text"))
+    rows = rows.withColumn("base", base_spans(F.col("text")))
+    rows = with_candidates(rows)
+    every = F.transform(F.concat("base", "more"), lambda s: F.struct(s.kind.alias("kind"), votes(F.col("text"), s, F.col("base")).alias("votes")))
+    return rows.withColumn("ballots", F.when(F.size("base") + F.size("more") > 0, every).otherwise(F.slice(every, 1, 0)))
+
+
+Counts = Mapping[tuple[str, tuple[int, ...]], int]
+
+
+def counted(ballots: DataFrame) -> dict[tuple[str, tuple[int, ...]], int]:
+    """How often each kind got each vote pattern: a row for each that occurs."""
+    each = ballots.select(F.explode("ballots").alias("b")).groupBy("b.kind", *(F.col(f"b.votes.{v}").alias(v) for v in LABELERS)).count()
+    return {(r["kind"], tuple(r[v] for v in LABELERS)): r["count"] for r in each.collect()}
+
+
+def posteriors(counts: Counts, rounds: int = 60) -> dict[tuple[int, ...], float]:
+    """Probability that a vote pattern is private, by expectation-maximisation with a reliability for each labeler, class and vote."""
+    patterns: dict[tuple[int, ...], int] = {}
+    for (_, pattern), n in counts.items():
+        patterns[pattern] = patterns.get(pattern, 0) + n
+    belief = {p: min(0.95, max(0.05, 0.5 + 0.2 * sum(p))) for p in patterns}
+    for _ in range(rounds):
+        weight = [1.0, 1.0]
+        table = [[{-1: (2.0, 0.4)[c], 0: 1.0, 1: (0.4, 2.0)[c]} for _ in LABELERS] for c in (0, 1)]
+        for p, n in patterns.items():
+            for c in (0, 1):
+                share = n * (belief[p] if c else 1 - belief[p])
+                weight[c] += share
+                for k, v in enumerate(p):
+                    table[c][k][v] += share
+        for p in patterns:
+            logs = [math.log(weight[c] / sum(weight)) + sum(math.log(table[c][k][v] / sum(table[c][k].values())) for k, v in enumerate(p)) for c in (0, 1)]
+            belief[p] = 1 / (1 + math.exp(max(-60.0, min(60.0, logs[0] - logs[1]))))
+    return belief
+
+
+class Classifier:
+    """A logistic model of kinds and votes."""
+
+    def __init__(self, bias: float, kinds: Mapping[str, float], votes_: Sequence[Mapping[int, float]]):
+        self.bias, self.kinds, self.votes = bias, dict(kinds), [dict(v) for v in votes_]
+
+    @classmethod
+    def fit(cls, counts: Counts, belief: Mapping[tuple[int, ...], float], steps: int = 400, ridge: float = 0.02) -> Classifier:
+        bias, kinds, weights = 0.0, dict.fromkeys(KINDS, 0.0), [dict.fromkeys((-1, 0, 1), 0.0) for _ in LABELERS]
+        total = sum(math.log1p(n) for n in counts.values())  # frequent patterns count more, but not alone
+        for _ in range(steps if counts else 0):
+            model, move = cls(bias, kinds, weights), [0.0, dict.fromkeys(KINDS, 0.0), [dict.fromkeys((-1, 0, 1), 0.0) for _ in LABELERS]]
+            for (kind, pattern), n in counts.items():
+                error = math.log1p(n) / total * (belief[pattern] - model.probability(kind, pattern))
+                move[0] += error
+                move[1][kind] += error
+                for k, v in enumerate(pattern):
+                    move[2][k][v] += error
+            bias += 2 * move[0]
+            kinds = {k: w + 2 * (move[1][k] - ridge * w) for k, w in kinds.items()}
+            weights = [{v: w + 2 * (move[2][k][v] - ridge * w / 4) for v, w in each.items()} for k, each in enumerate(weights)]
+        return cls(bias, kinds, weights)
+
+    def probability(self, kind: str, pattern: Sequence[int]) -> float:
+        score = self.bias + self.kinds[kind] + sum(w[v] for w, v in zip(self.votes, pattern, strict=True))
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, score))))
+
+    def accepts(self, ballot: Column, least: float) -> Column:
+        """Whether a ballot's probability reaches `least`, as an expression of literal weights."""
+        kinds = F.create_map(*(F.lit(x) for k, w in self.kinds.items() for x in (k, float(w))))
+        score = F.lit(self.bias) + F.element_at(kinds, ballot.kind)
+        for name, w in zip(LABELERS, self.votes, strict=True):
+            score = score + F.element_at(F.array(*(F.lit(float(w[v])) for v in (-1, 0, 1))), ballot.votes[name] + 2)
+        return score >= math.log(least / (1 - least))
+
+
+def trained(ballots: DataFrame) -> Classifier:
+    """The classifier of a corpus: one aggregation, then sums over its small table."""
+    counts = counted(ballots)
+    return Classifier.fit(counts, posteriors(counts))
+
+
+def decided(rows: DataFrame, classifier: Classifier, *, least: float = LEAST_POSTERIOR) -> DataFrame:
+    """`row`, `base` and `found`, the base spans and the candidates that the classifier accepts."""
+    own = F.slice("ballots", F.size("base") + 1, F.size("ballots"))
+    accepted = F.transform(F.filter(F.arrays_zip(F.col("more").alias("span"), own.alias("ballot")), lambda x: classifier.accepts(x.ballot, least)), lambda x: x.span)
+    return rows.withColumn("found", F.when(F.size("more") > 0, F.concat("base", accepted)).otherwise(F.col("base")))
+
+
+def redact(df: DataFrame, *, text_col: str = "text", least: float = LEAST_POSTERIOR) -> DataFrame:
+    """`df` with every span of personal data in its text replaced by its kind; a null text stays null. All other columns stay."""
+    rows = looked_at(df, text_col=text_col)
+    found = spans.masked(decided(rows, trained(rows), least=least), "text", "found")
+    text = F.when(F.col("row")[text_col].isNotNull(), F.col("masked"))
+    return found.select(*((text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns))

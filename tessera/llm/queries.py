@@ -6,8 +6,8 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmltext, quality, simhash, topk, toxicity, urlfilter
-from .common import table
+from . import bpe, htmltext, pii, quality, secrets, simhash, spans, topk, toxicity, urlfilter
+from .common import durable, table
 
 #: Rules of op3: entry `host/path` and verdict.
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -27,6 +27,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and places of personal data."""
+    rows = pii.looked_at(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = durable(rows.select(F.struct("row.doc_id").alias("row"), "base", "more", "ballots"))
+    found = pii.decided(rows, pii.trained(rows))
+    return found.select(
+        "row.doc_id",
+        *(spans.count(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE),
+        F.sha2(spans.written(F.col("base")), 256).alias("base_sha256"),
+        spans.written(F.col("found")).alias("spans"),
+    )
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     rules = spark.createDataFrame(URL_RULES, "entry string, verdict string")
@@ -68,7 +81,20 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_url_filter, op4_quality, op5_toxicity, op6_simhash, op7_top_k, op8_main_text)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and places of secrets."""
+    rows = secrets.looked_at(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = durable(rows.select(F.struct("row.doc_id").alias("row"), "base", "more", "tests"))
+    found = secrets.decided(rows, secrets.fitted(rows))
+    return found.select(
+        "row.doc_id",
+        *(spans.count(F.col("base"), k).alias(f"n_{k}") for k in secrets.KINDS[:3]),
+        F.sha2(spans.written(F.col("base")), 256).alias("base_sha256"),
+        spans.written(F.col("found")).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_url_filter, op4_quality, op5_toxicity, op6_simhash, op7_top_k, op8_main_text, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": f"""
