@@ -6,7 +6,7 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmltext, pii, quality, secrets, simhash, spans, topk, toxicity, urlfilter
+from . import bpe, htmltext, mixing, pii, quality, secrets, simhash, spans, topk, toxicity, urlfilter
 from .common import durable, table
 
 #: Rules of op3: entry `host/path` and verdict.
@@ -14,6 +14,9 @@ URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1
 #: Hosts that op3's list blocks where no rule fits.
 BLOCKED_HOSTS = ("cheap-pills.example.com/", "cheap-pills.example.net/", "spam-farm.example.com/", "spam-farm.example.net/")
 
+#: Target weights of op9's domains, the languages.
+TARGET_WEIGHTS = {"en": 0.5, "de": 1 / 6, "es": 1 / 6, "fr": 1 / 6}
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -81,6 +84,21 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct ids of the labelled documents."""
+    return table(spark, sf_dir, "labels").select("doc_id").where("doc_id is not null").distinct()
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, domain probabilities and rate."""
+    documents = table(spark, sf_dir, "documents")
+    model = mixing.fitted(documents.join(labelled_ids(spark, sf_dir), "doc_id", "left_semi"))
+    domains = model.domains if model else []
+    scored = mixing.narrow(mixing.score(documents, model))
+    found = mixing.with_rates(scored, mixing.solved(scored, domains, TARGET_WEIGHTS))
+    return found.select("row.doc_id", "n_tokens", *(F.col("shares")[i].alias(f"p_{d}") for i, d in enumerate(domains)), "rate")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and places of secrets."""
     rows = secrets.looked_at(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -94,7 +112,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_url_filter, op4_quality, op5_toxicity, op6_simhash, op7_top_k, op8_main_text, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_url_filter, op4_quality, op5_toxicity, op6_simhash, op7_top_k, op8_main_text, op9_mixing, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": f"""
