@@ -25,6 +25,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from . import spans
+from .common import stored
 
 #: Base kinds in the order in which they are written.
 BASE = ("email", "ip", "card", "phone")
@@ -223,7 +224,8 @@ def decided(rows: DataFrame, classifier: Classifier, *, least: float = LEAST_POS
 
 def redact(df: DataFrame, *, text_col: str = "text", least: float = LEAST_POSTERIOR) -> DataFrame:
     """`df` with every span of personal data in its text replaced by its kind; a null text stays null. All other columns stay."""
-    rows = looked_at(df, text_col=text_col)
-    found = spans.masked(decided(rows, trained(rows), least=least), "text", "found")
+    rows = stored(looked_at(df, text_col=text_col).select("row", "base", "more", "ballots"))
+    found = decided(rows, trained(rows), least=least).withColumn("text", F.coalesce(F.col("row")[text_col], F.lit("")))
+    found = spans.masked(found, "text", "found")
     text = F.when(F.col("row")[text_col].isNotNull(), F.col("masked"))
     return found.select(*((text if c == text_col else F.col("row")[c]).alias(c) for c in df.columns))
