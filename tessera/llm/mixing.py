@@ -16,8 +16,8 @@ Features are the text's byte triples, A-Z in lower case, hashed to `SPACE` count
 ASCII white space. The classifier is a softmax regression on square roots of the counts, scaled to length 1, fitted on at most
 `TRAINING_DOCS` labelled documents.
 
-Cases: a null text counts as empty: no tokens, and the probabilities of the classifier's bias. Rows whose label is null take no part
-in the fit; without any label there are no domains and every rate is 1. A target for a domain without expected tokens can't be met and is left out; a domain without a
+Cases: a null text counts as empty: no tokens, and the probabilities of the classifier's bias. Labels that are null or name no document take no part
+in the fit, and of repeated rows of one document one does; without any label there are no domains and every rate is 1. A target for a domain without expected tokens can't be met and is left out; a domain without a
 target is to have none. Repeated rows give a row each and an empty table none. Only the named columns take part.
 """
 
@@ -96,13 +96,17 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "features"])
 
 
-def fitted(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", most_docs: int = TRAINING_DOCS) -> Membership | None:
-    """The classifier of a table of labelled documents, None without a label; the sample is the same one whatever the partitioning."""
-    rows = named(labelled, doc_id=id_col, label=domain_col, text=text_col).where("label is not null and text is not null")
-    rows = rows.withColumn("label", F.col("label").cast("string"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "label").limit(most_docs)
+def fitted(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", most_docs: int = TRAINING_DOCS) -> Membership | None:
+    """The classifier of the documents that a table of labels names, None without one; the sample is the same one whatever the partitioning.
+
+    Only ids are shuffled: at most `most_docs` of them are broadcast, and a document's features, not its text, leave its task.
+    """
+    ids = named(labels, doc_id=id_col).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
+    rows = named(df, doc_id=id_col, label=domain_col, text=text_col).where("label is not null and text is not null")
+    chosen = rows.withColumn("label", F.col("label").cast("string")).join(F.broadcast(ids), "doc_id")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label string, features binary"
-    table = chosen.mapInArrow(_feature_rows, schema).toArrow()  # `most_docs` rows
+    each = chosen.select("doc_id", "label", "text").mapInArrow(_feature_rows, schema)
+    table = each.groupBy("doc_id").agg(F.min(F.struct("label", "features")).alias("f")).select("f.*").toArrow()  # `most_docs` rows
     if not table.num_rows:
         return None
     found = sorted(zip(table.column("label").to_pylist(), table.column("features").to_pylist(), strict=True))

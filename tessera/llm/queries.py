@@ -84,15 +84,10 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct ids of the labelled documents."""
-    return table(spark, sf_dir, "labels").select("doc_id").where("doc_id is not null").distinct()
-
-
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, domain probabilities and rate."""
     documents = table(spark, sf_dir, "documents")
-    model = mixing.fitted(documents.join(labelled_ids(spark, sf_dir), "doc_id", "left_semi"))
+    model = mixing.fitted(documents, table(spark, sf_dir, "labels"))
     domains = model.domains if model else []
     scored = mixing.narrow(mixing.score(documents, model))
     found = mixing.with_rates(scored, mixing.solved(scored, domains, TARGET_WEIGHTS))

@@ -15,7 +15,7 @@ def documents(spark, n=60):
 
 def test_rates_meet_the_targets(spark):
     df = documents(spark)
-    model = mixing.fitted(df)
+    model = mixing.fitted(df, df)
     scored = mixing.narrow(mixing.score(df, model))
     steps = mixing.solved(scored, model.domains, {"a": 0.5, "b": 0.5})
     rows = mixing.with_rates(scored, steps).collect()
@@ -27,7 +27,7 @@ def test_rates_meet_the_targets(spark):
 
 def test_least_squares_where_targets_are_out_of_reach(spark):
     df = documents(spark)
-    model = mixing.fitted(df)
+    model = mixing.fitted(df, df)
     scored = mixing.narrow(mixing.score(df, model))
     steps = mixing.solved(scored, model.domains, {"a": 1.0})
     rows = mixing.with_rates(scored, steps).collect()
@@ -42,21 +42,21 @@ def test_least_squares_where_targets_are_out_of_reach(spark):
 
 def test_classifier_on_held_out_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars > 100")
-    model = mixing.fitted(docs.where("doc_id % 2 = 0"))
+    model = mixing.fitted(docs, docs.where("doc_id % 2 = 0"))
     best = mixing.score(docs.where("doc_id % 2 = 1"), model, keep=("lang",)).collect()
     assert np.mean([model.domains[int(np.argmax(r.shares))] == r.row.lang for r in best]) > 0.95
 
 
 def test_mixed_rows_and_odd_cases(spark):
     df = documents(spark).unionByName(spark.createDataFrame([(None, None, None, None), (7, "", "a", "y"), (7, "", "a", "y")], documents(spark, 1).schema))
-    model = mixing.fitted(df)
+    model = mixing.fitted(df, df)
     out = mixing.mixed(df, model, {"a": 0.3, "b": 0.7}, least=1.0)
     assert out.columns == df.columns
     assert out.distinct().count() == df.distinct().count()
     tokens = {r[0]: r[1] for r in out.groupBy("lang").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
     assert abs(tokens["b"] / (tokens["a"] + tokens["b"]) - 0.7) < 0.1
     assert mixing.mixed(df.where("false"), model, {"a": 1.0}).count() == 0
-    assert mixing.fitted(df.where("false")) is None
+    assert mixing.fitted(df, df.where("false")) is None
     assert mixing.mixed(df, None, {"a": 1.0}).count() == df.count()
 
 
