@@ -113,9 +113,9 @@ def fitted(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col
     return Membership.fit(np.stack([np.frombuffer(f, np.float32) for _, f in found]).astype(float), [x for x, _ in found])
 
 
-def _scored(model: Membership | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(model: Membership | None, text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text")
+        texts = batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text_col)
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             found = [features(texts[start + i].as_py()) for i in range(part.num_rows)]
@@ -126,8 +126,9 @@ def _scored(model: Membership | None, batches: Iterator[pa.RecordBatch]) -> Iter
 
 def score(df: DataFrame, model: Membership | None, *, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """A struct `row` of the columns to keep, `n_tokens` and `shares`, the probabilities in the order of the model's domains, of every document."""
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(lambda b: _scored(model, b), f"row {rows.schema['row'].dataType.simpleString()}, n_tokens bigint, shares array<double>")
+    own = () if text_col in keep else (F.col(f"`{text_col}`").alias("text"),)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), *own)
+    return rows.mapInArrow(lambda b: _scored(model, text_col, b), f"row {rows.schema['row'].dataType.simpleString()}, n_tokens bigint, shares array<double>")
 
 
 def rates_of(shares: np.ndarray, steps: np.ndarray, least: float) -> np.ndarray:

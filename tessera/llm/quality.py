@@ -194,18 +194,21 @@ def fitted(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _judged(field: Field, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judged(field: Field, least: float, text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = texts_of(batch.column("text"))
-        counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, len(_COUNTS))
+        texts = batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text_col)
+        counts, share = np.zeros((batch.num_rows, len(_COUNTS)), np.int64), np.zeros(batch.num_rows)
+        for i in range(batch.num_rows):  # one text of Python's at a time
+            text = texts[i].as_py()
+            counts[i], share[i] = base_counts(text), content_share(field, text)
         failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
-        share = np.array([content_share(field, t) for t in texts], np.float64)
         columns = [batch.column("row"), *(pa.array(counts[:, k]) for k in range(len(_COUNTS))), pa.array(failed), pa.array(share), pa.array(~failed & (share >= least))]
         yield pa.RecordBatch.from_arrays(columns, names=["row", *_COUNTS, "base_failed", "content_share", "kept"])
 
 
 def judge(df: DataFrame, field: Field, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", least_content: float = LEAST_CONTENT) -> DataFrame:
     """A struct `row` of the columns to keep, the counts, `base_failed`, `content_share` and `kept` of every document."""
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    own = () if text_col in keep else (F.col(f"`{text_col}`").alias("text"),)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), *own)
     schema = f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in _COUNTS) + ", base_failed boolean, content_share double, kept boolean"
-    return rows.mapInArrow(lambda b: _judged(field, least_content, b), schema)
+    return rows.mapInArrow(lambda b: _judged(field, least_content, text_col, b), schema)

@@ -33,6 +33,8 @@ from .common import durable, named
 SEED = 42
 #: Shingles whose bits are counted at once: bounds the memory of very long texts.
 COUNTED_AT_ONCE = 1 << 16
+#: Fingerprints whose index entries one task makes: the index has 66 rows for each.
+INDEXED_AT_ONCE = 20_000
 #: Fingerprints under one key beyond which the other segment is refined instead of joined.
 FULL_BUCKET = 64
 
@@ -57,7 +59,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def _fingerprints(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column("text")), np.uint64, batch.num_rows)
+        texts = batch.column("text")
+        found = np.fromiter((fingerprint(texts[i].as_py(), width) for i in range(batch.num_rows)), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
 
@@ -92,7 +95,7 @@ def links(fps: DataFrame, *, full_bucket: int = FULL_BUCKET) -> DataFrame:
     Every linked pair is there, save that in full buckets a chain through the smallest of up to
     four fingerprints stands for them.
     """
-    index = _index(fps)
+    index = _index(fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() // INDEXED_AT_ONCE + 1), "fp"))
     met = index.groupBy("key").agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
     met = met.where("n > 1 and (ones is null or ones between 1 and n - 1)")
     rows = durable(index.join(met, "key").select("key", "bit", "fp", "n"))
