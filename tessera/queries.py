@@ -7,10 +7,10 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .functions import terms
-from .operators import changes, entries, paging, tables
+from .functions import literals, terms
+from .operators import changes, entries, indexes, paging, tables
 from .plans import patterns
-from .sources import quads
+from .sources import quads, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,3 +431,74 @@ def cmp3(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT p_partkey, p_name, kind || hex(encode(p_name)) || '.' AS up FROM (SELECT *, '2' AS kind FROM part)")
 def sort_keys(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "part").select("p_partkey", "p_name", terms.sort_key(F.col("p_name"), "2").alias("up"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_name, '[0-9]+|[^0-9]+'), lambda w: CASE WHEN regexp_matches(w, '^[0-9]') THEN lpad(length(w::BIGINT::VARCHAR)::VARCHAR, 9, '0') || w::BIGINT ELSE w END), '') AS natural FROM part")
+def natural_order(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "part").select("p_partkey", terms.natural_key(F.col("p_name")).alias("natural"))
+
+
+@query("""SELECT p_partkey, p_partkey::VARCHAR AS whole, 'integer' AS whole_type, p_size || '.5' AS part, CASE WHEN p_size % 2 = 1 THEN 'true' ELSE 'false' END AS odd FROM part""")
+def canonical_terms(spark: SparkSession, sf: str) -> DataFrame:
+    held = lambda text, kind: literals.canonical(text, F.lit(literals.XSD + kind))
+    part = _t(spark, sf, "part").select("p_partkey", held(F.concat(F.lit("+00"), "p_partkey"), "int").alias("w"), held(F.concat(F.lit("0"), "p_size", F.lit(".500")), "decimal").alias("d"), held((F.col("p_size") % 2).cast("string"), "boolean").alias("b"))
+    return part.select("p_partkey", F.col("w.lex").alias("whole"), F.replace("w.datatype", F.lit(literals.XSD), F.lit("")).alias("whole_type"), F.col("d.lex").alias("part"), F.col("b.lex").alias("odd"))
+
+
+# Stores and indexes
+
+
+@query("""WITH t AS (SELECT '<customer/' || c_custkey || '>' AS nt FROM customer UNION SELECT '<c_mktsegment>' UNION SELECT '"' || c_mktsegment || '"' FROM customer)
+SELECT nt, CASE WHEN nt LIKE '<%' THEN 2 ELSE 3 END AS kind, substr(nt, 2, length(nt) - 2) AS lex, CASE WHEN nt NOT LIKE '<%' THEN 'string' END AS datatype FROM t""")
+def term_table(spark: SparkSession, sf: str) -> DataFrame:
+    return stores.term_table(quads.quads_of(_t(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "customer", "people")).drop("lang")
+
+
+@query("SELECT '<order/' || o_orderkey || '>' AS s, o_orderstatus AS o, o_orderpriority AS g FROM orders WHERE substr(o_orderpriority, 1, 1)::INTEGER <= 2")
+def as_of_step(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _t(spark, sf, "orders").select(F.concat(F.lit("<order/"), "o_orderkey", F.lit(">")).alias("s"), F.lit("<status>").alias("p"), F.col("o_orderstatus").alias("o"), F.col("o_orderpriority").alias("g"))
+    steps = rows.select("g").distinct().withColumn("step", F.substring("g", 1, 1).cast("int"))
+    return stores.as_of(rows, steps, 2).drop("p")
+
+
+@query("SELECT p_partkey, 'local' AS origin, p_name FROM part WHERE p_size < 10 UNION ALL SELECT p_partkey, 'packed', p_name FROM part WHERE p_size >= 10")
+def starter_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    part = _t(spark, sf, "part")
+    local, packed = (rows.select("p_partkey", F.lit(origin).alias("origin"), "p_name") for rows, origin in ((part.where("p_size < 10"), "local"), (part, "packed")))
+    return stores.overlaid(local, packed, "p_partkey")
+
+
+@query("SELECT DISTINCT l_partkey AS code, l_suppkey AS subject FROM lineitem")
+def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
+    return indexes.inverted(_t(spark, sf, "lineitem"), "l_partkey", "l_suppkey")
+
+
+@query("SELECT l_partkey AS target, l_suppkey AS source, bool_or(l_quantity = 50) AS precise FROM lineitem GROUP BY 1, 2")
+def inverse_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    return indexes.inverse_mapping(_t(spark, sf, "lineitem").withColumn("whole", F.col("l_quantity") == 50), "l_suppkey", "l_partkey", "whole")
+
+
+@query("SELECT l_returnflag, count(*) AS n, sum(('0x' || substr(sha256(k), 1, 12))::BIGINT)::VARCHAR AS fingerprint FROM (SELECT DISTINCT l_returnflag, l_partkey::VARCHAR AS k FROM lineitem) GROUP BY 1")
+def set_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _t(spark, sf, "lineitem").select("l_returnflag", F.col("l_partkey").cast("string").alias("k"))
+    return indexes.fingerprint(rows, "k", ["l_returnflag"]).withColumn("fingerprint", F.col("fingerprint").cast("string"))
+
+
+@query("""WITH d AS (SELECT c_custkey, sha256(c_custkey::VARCHAR) AS h, substr(sha256(c_custkey::VARCHAR), 1, 8 + (c_custkey % 5)::INTEGER) AS handle FROM customer)
+SELECT a.handle, min(b.c_custkey) AS c_custkey FROM (SELECT DISTINCT handle FROM d) a JOIN d b ON starts_with(b.h, a.handle) GROUP BY 1 HAVING count(*) = 1""")
+def handle_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    held = _t(spark, sf, "customer").select("c_custkey", F.sha2(F.col("c_custkey").cast("string"), 256).alias("digits"))
+    asked = held.select(F.expr("substr(digits, 1, 8 + int(c_custkey % 5))").alias("handle")).distinct()
+    return indexes.resolved(asked, "handle", held, "digits").select("handle", "c_custkey")
+
+
+@query("SELECT DISTINCT '<customer/' || o_custkey || '>' AS name FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def undescribed(spark: SparkSession, sf: str) -> DataFrame:
+    orders = quads.quads_of(_t(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "order", "orders", {"o_custkey": "customer"})
+    customer = quads.quads_of(_t(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_name"), "c_custkey", "customer", "people")
+    return indexes.undescribed(orders.unionByName(customer))
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type NOT IN ('purchase', 'click')) AS other FROM events GROUP BY 1")
+def counts_per_kind(spark: SparkSession, sf: str) -> DataFrame:
+    return indexes.per_kind(_t(spark, sf, "events"), "user_id", "event_type", ["purchase", "click"])
