@@ -8,7 +8,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import literals, terms
-from .operators import changes, entries, indexes, paging, tables
+from .operators import changes, entries, indexes, paging, shapes, tables
 from .plans import patterns
 from .sources import quads, stores
 
@@ -502,3 +502,31 @@ def undescribed(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type NOT IN ('purchase', 'click')) AS other FROM events GROUP BY 1")
 def counts_per_kind(spark: SparkSession, sf: str) -> DataFrame:
     return indexes.per_kind(_t(spark, sf, "events"), "user_id", "event_type", ["purchase", "click"])
+
+
+# Shapes and texts
+
+
+@query("""SELECT o_orderkey AS node, 'in' AS "constraint", o_orderpriority AS value FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')
+UNION ALL SELECT o_orderkey, 'pattern', o_orderstatus FROM orders WHERE NOT regexp_matches(o_orderstatus, '^[FO]$') UNION ALL SELECT o_orderkey, 'max', o_custkey::VARCHAR FROM orders WHERE o_custkey > 100""")
+def shape_values(spark: SparkSession, sf: str) -> DataFrame:
+    checks = {"in": ("o_orderpriority", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")), "pattern": ("o_orderstatus", F.col("o_orderstatus").rlike("^[FO]$")), "max": ("o_custkey", F.col("o_custkey") <= 100)}
+    return shapes.value_violations(_t(spark, sf, "orders"), "o_orderkey", checks)
+
+
+@query("SELECT c_custkey AS node, count(DISTINCT o_orderpriority) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1 HAVING count(DISTINCT o_orderpriority) NOT BETWEEN 1 AND 4")
+def shape_counts(spark: SparkSession, sf: str) -> DataFrame:
+    given = _t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    return shapes.count_violations(_t(spark, sf, "customer"), given, "c_custkey", least=1, most=4)
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def written_days(spark: SparkSession, sf: str) -> DataFrame:
+    day, k = F.col("o_orderdate"), F.col("o_orderkey") % 3
+    text = F.when(k == 0, F.date_format(day, "yyyyMMddHHmm")).when(k == 1, F.date_format(day, "yyyy-MM-dd'T'HH:mm")).otherwise(F.date_format(day, "MMMM d, yyyy"))
+    return _t(spark, sf, "orders").select("o_orderkey", terms.iso_date(text).alias("day"))
+
+
+@query(r"SELECT conv_id, turn FROM conversations WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])the($|[^\p{L}\p{N}])')")
+def word_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "conversations").where(terms.mentions(F.col("text"), "The")).select("conv_id", "turn")

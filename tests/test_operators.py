@@ -66,11 +66,11 @@ def test_ntriples_round_trip(spark, tmp_path):
 def test_golden_change(spark):
     before, after = [160.0, 158.0, 165.0], [100.0, 98.0, 96.0]
     days = ["2024-01-01", "2024-02-01", "2024-03-04", "2024-04-01", "2024-05-01", "2024-06-01"]
-    results = spark.createDataFrame([("ldl", d, v) for d, v in zip(days, before + after, strict=True)], "test string, day string, value double")
-    events = spark.createDataFrame([("start", "2024-03-04")], "event string, day string")
-    row = changes.scored(changes.sides(events, results)).first()
+    results = spark.createDataFrame([("ada", "ldl", d, v) for d, v in zip(days, before + after, strict=True)], "person string, test string, day string, value double")
+    events = spark.createDataFrame([("ada", "start", "2024-03-04"), ("bob", "stop", "2024-03-04")], "person string, event string, day string")
+    row = changes.scored(changes.sides(events, results, "person")).first()
     assert row.direction == "down" and row.score > 1 and row.before_n == row.after_n == 3
-    assert changes.top_changes(changes.scored(changes.sides(events, results))).count() == 1
+    assert changes.top_changes(changes.scored(changes.sides(events, results, "person"))).count() == 1
 
 
 def test_minus_and_optional_with_unbound(spark):

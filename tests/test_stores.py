@@ -7,7 +7,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from tessera.functions import literals, terms
-from tessera.operators import indexes
+from tessera.operators import indexes, shapes
 from tessera.sources import bundles, stores
 
 X = literals.XSD
@@ -85,3 +85,19 @@ def test_bundles_exports_and_archives(spark, tmp_path):
         z.writestr("d/one.txt", "1")
         z.writestr("two.txt", "")
     assert {(r.name, bytes(r.content)) for r in bundles.archived(spark, str(tmp_path / "x.zip")).collect()} == {("d/one.txt", b"1"), ("two.txt", b"")}
+
+
+def test_shapes_and_written_texts(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, None), (3, "nan")], "k int, v string")
+    found = shapes.value_violations(rows, "k", {"number": ("v", F.when(F.col("v") == "nan", None).otherwise(F.col("v") == "y"))})
+    assert {tuple(r) for r in found.collect()} == {(1, "number", "x"), (3, "number", "nan")}
+    counts = shapes.count_violations(rows, spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "c")], "k int, v string"), "k", least=1, most=1)
+    assert {tuple(r) for r in counts.collect()} == {(2, 2), (3, 0)}
+    types = spark.createDataFrame([("n", "dog"), ("m", "cat"), ("o", "animal")], "node string, class string")
+    below = spark.createDataFrame([("dog", "animal"), ("animal", "animal")], "a string, b string")
+    assert sorted(r.node for r in shapes.targets(types, below, "animal").collect()) == ["n", "o"]
+    days = {"20240304": "2024-03-04", "202403041530+0100": "2024-03-04", "2024-03-04T00:00Z": "2024-03-04", "march 4, 2024": "2024-03-04", "2023-02-29": None, "18991231": None, "Smarch 4, 2024": None, "": None}
+    for r in spark.createDataFrame(list(days.items()), "t string, d string").withColumn("f", terms.iso_date(F.col("t"))).collect():
+        assert r.f == r.d, r.t
+    one = spark.range(1).select(terms.mentions(F.lit("Take ASPIRIN-81 daily"), "aspirin-81").alias("a"), terms.mentions(F.lit("aspirins"), "aspirin").alias("b"), terms.restated(F.lit("Low dose 007"), F.lit("a low dose: 7")).alias("c"), terms.restated(F.lit("low"), F.lit("low")).alias("d")).first()
+    assert tuple(one) == (True, False, True, False)
