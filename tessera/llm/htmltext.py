@@ -1,14 +1,14 @@
 """Main text of web pages, by markup and by nearest-URL page differencing.
 
-A page is cut into lines at its block tags. Markup decides first: what stands in menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments goes. Of the rest, what
-stands in an article (or main part) is the text; a page without one has all its other lines, or those of an element
-named as content.
-
-Then pages are paired by URL: in the order of host and path each page's neighbour is the page before or
-after it on the same host whose path has most first parts in common. The lines of both are aligned by longest
-common subsequence. Lines they share are the site's frame and are deleted, but never from inside an
-article: copies of an article and passages quoted in several pages are its text, not a frame.
+A page is cut into lines at its block tags. Pages are paired by URL: in the order of host and path each page's
+neighbour is the page before or after it on the same host whose path has most first parts in common. All lines of both,
+those of menus, adverts and footers as well, are aligned by longest common subsequence. Lines they share are the site's
+frame and are deleted. Markup checks this twice. A shared line in a paragraph, heading, list, table or quotation of an
+article (or main part) stays: copies of an article and passages quoted in several pages are its text, not a frame; so
+does an article whose every line is shared. And what stands in menus, headers, footers, sidebars, notices, adverts,
+forms and reader comments goes also where the neighbour has another one; scripts and styles are never lines. Of the
+rest, what stands in an article is the text; a page without one has all its other lines, or those of an element named
+as content.
 
 Order and pairs need only URLs and 64-bit line digests: ranks come from a range-partitioned sort, so a
 host with a third of all pages is spread evenly.
@@ -37,6 +37,10 @@ from .urlfilter import host_and_path
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title form button select textarea option datalist nav menu header footer aside dialog".split())
 #: Elements that an article inside ends, if they were left open.
 _LOOSE = frozenset("nav menu header aside footer form".split())
+#: Elements whose content isn't even a line.
+NEVER = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea option datalist".split())
+#: Elements of running text: in an article their lines stay though a neighbour shares them.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a line.
@@ -67,7 +71,7 @@ def _words(attributes: str) -> set[str]:
 
 
 def lines_of(page: str) -> list[tuple[int, str]]:
-    """The page's lines in order, each with its rank: 3 in an article or main element, 2 in an element named as content, 1 elsewhere; frames left out."""
+    """The page's lines in order, each with its rank: 4 in running text of an article or main element, 3 elsewhere in one, 2 in an element named as content, 1 outside, 0 in what markup calls a frame."""
     found: list[tuple[int, str]] = []
     held: list[str] = []
     open_: list[tuple[str, int, bool]] = []  # name, rank inside, whether dropped
@@ -77,11 +81,15 @@ def lines_of(page: str) -> list[tuple[int, str]]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                found.append((rank, text))
+                running = rank == 3 and any(n in RUNNING for n, r, _ in open_ if r == 3)
+                found.append((0 if dropped else rank + running, text))
             held.clear()
 
+    def never() -> bool:
+        return dropped and any(n in NEVER for n, _, _ in open_)
+
     for token in _TOKEN.finditer(page):
-        if not dropped and token.start() > at:
+        if token.start() > at and not never():
             held.append(page[at : token.start()])
         at = token.end()
         name = token[3] or token[6]
@@ -126,7 +134,7 @@ def lines_of(page: str) -> list[tuple[int, str]]:
             inside = (name, max(rank, better), dropped or frame or name in DROPPED or bool(attributes and _HIDDEN.search(attributes)))
         open_.append(inside)
         rank, dropped = inside[1:]
-    if not dropped and at < len(page):
+    if at < len(page) and not never():
         held.append(page[at:])
     flush()
     return found
@@ -172,12 +180,15 @@ def shared(a: Sequence[int], b: Sequence[int]) -> list[int]:
 
 
 def main_lines(lines: Sequence[tuple[int, str]], neighbour: Sequence[int] | None) -> list[str]:
-    """The lines of a page's best rank, less those shared with the neighbour's lines (digests), save in an article."""
-    if not lines:
+    """The lines of a page's best part, less those shared with the neighbour's lines (digests), save in an article's running text; an article that is shared whole stays."""
+    best = min(max((rank for rank, _ in lines), default=0), 3)
+    if not best:
         return []
-    best = max(rank for rank, _ in lines)
-    frame = set(shared([digest(t) for _, t in lines], list(neighbour))) if neighbour is not None and best < 3 and len(neighbour) else ()
-    return [t for i, (rank, t) in enumerate(lines) if rank == best and i not in frame]
+    frame = set(shared([digest(t) for _, t in lines], list(neighbour))) if neighbour is not None and len(neighbour) else set()
+    own = [(i, rank, t) for i, (rank, t) in enumerate(lines) if rank >= best]
+    if best == 3 and all(i in frame for i, _, _ in own):
+        frame = set()
+    return [t for i, rank, t in own if rank == 4 or i not in frame]
 
 
 def digest(line: str) -> int:
@@ -212,10 +223,11 @@ def neighbours(pages: DataFrame) -> DataFrame:
     for part in sorted(sizes):
         before[part], total = total, total + sizes[part]
     starts = F.create_map(*(F.lit(x) for p in before for x in (p, before[p]))).cast("map<int,bigint>")
-    ranked = ordered.select("page_id", "url", "host", "path", (F.coalesce(F.try_element_at(starts, F.col("part")), F.lit(0)) + F.col("place")).alias("rank"))
-    near = ranked.select(F.col("rank").alias("near_rank"), F.col("page_id").alias("near_id"), F.col("url").alias("near_url"), F.col("host").alias("near_host"), F.col("path").alias("near_path"))
+    ranked = ordered.select("page_id", "url", (F.coalesce(F.try_element_at(starts, F.col("part")), F.lit(0)) + F.col("place")).alias("rank"))
+    near = ranked.select(F.col("rank").alias("near_rank"), F.col("page_id").alias("near_id"), F.col("url").alias("near_url"))
     asked = ranked.withColumn("near_rank", F.explode(F.array(F.col("rank") - 1, F.col("rank") + 1)))
-    met = asked.join(near, "near_rank").where("host = near_host")
+    near_host, near_path = host_and_path(F.col("near_url"))
+    met = asked.join(near, "near_rank").select("*", host.alias("host"), path.alias("path"), near_host.alias("near_host"), near_path.alias("near_path")).where("host = near_host")
     pairs = F.zip_with(F.split("path", "/"), F.split("near_path", "/"), lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     common = F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(1).alias("on")), lambda s, x: F.struct((s.n + s.on * x).alias("n"), (s.on * x).alias("on")), lambda s: s.n)
     choice = F.max_by(F.struct("near_id", "near_url"), F.struct(common.alias("common"), (-F.col("near_rank")).alias("earlier")))

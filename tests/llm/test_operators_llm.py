@@ -118,3 +118,18 @@ def test_main_text_of_small_pages(spark):
     df = spark.createDataFrame([(1, "http://h/a", page), (2, None, None), (3, "http://k/a/1", frame.format("x", 1)), (4, "http://k/a/2", frame.format("y", 2))], "page_id long, url string, html string")
     found = {r.page_id: r.text for r in htmltext.main_text(df).collect()}
     assert found[1] == "A & B one two" and found[2] == "" and found[3] == "x own 1" and found[4] == "y own 2"
+
+
+def test_main_text_aligns_all_lines(spark):
+    page = "<body>{}<article><div>Read on this site</div><p>quoted passage</p><p>own {}</p></article></body>"
+    rows = [
+        (1, "http://h/a/1", page.format("<nav>Start</nav>", 1)),  # inside an article what a neighbour shares goes, but not running text
+        (2, "http://h/a/2", page.format("<nav>Other</nav>", 2)),
+        (3, "http://k/a/1", "<body><nav>Our site</nav><p>x</p></body>"),  # a menu here is a frame there
+        (4, "http://k/a/2", "<body><div>Our site</div><p>y</p></body>"),
+        (5, "http://l/a/1", "<article>one<br>two</article>"),
+        (6, "http://l/a/2", "<article>one<br>two</article>"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in htmltext.main_text(df).collect()}
+    assert found == {1: "quoted passage own 1", 2: "quoted passage own 2", 3: "x", 4: "y", 5: "one two", 6: "one two"}
