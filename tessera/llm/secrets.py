@@ -40,7 +40,7 @@ LENGTHS = (16, 20, 24, 32, 48, 96)
 _ASSIGN = r"""(?:(?i)password|passwd|secret|token|api_?key)["']?+ *+[:=] *+["']?+([A-Za-z0-9+/_.=-]++)"""
 _ACCESS = r"AKIA[A-Z0-9]{16,}+"
 _HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-_CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+_CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 
 #: Alphabets of the encodings, tried in this order; the value of a symbol is its place.
 ALPHABETS: dict[str, str] = {

@@ -96,6 +96,20 @@ def test_random_strings_are_secrets_and_words_are_not(spark):
     assert not any("random" in found[50 + i] for i in range(len(plain)))
 
 
+def test_random_values_after_a_name_are_secrets(spark):
+    rng = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ["client_id={}", "https://h.example/a?b=1&sig={}&c=2", "SIG={}==", 'x="{}"', "sig: {}"]
+    drawn = [form.format("".join(rng.choice(alphabet) for _ in range(40))) for form in forms for _ in range(20)]
+    plain = ["path=http/server/path/to/file2", "pad=aaaaaaaaaaaaaaaaaaaaaaaa1", "configuration_value_number_2=report-of-the-week-2024-11-27"] * 20
+    looked = secrets.looked_at(rows(spark, [*drawn, *plain]))
+    found = {r[0]: r[1] for r in secrets.decided(looked, secrets.fitted(looked)).select("row.doc_id", spans.written(F.col("found"))).collect()}
+    for k, (form, length) in enumerate(zip(forms, (40, 40, 42, 40, 40), strict=True)):
+        start = form.index("{")
+        assert sum(f"random:{start}:{start + length}" in found[20 * k + i] for i in range(20)) >= 17, form
+    assert not any("random" in found[len(drawn) + i] for i in range(len(plain)))
+
+
 def test_masked_text_and_odd_rows(spark):
     df = spark.createDataFrame([(1, "é mail a@b.com, ip 10.0.0.1.", "z"), (None, None, None), (3, "", "w"), (1, "é mail a@b.com, ip 10.0.0.1.", "z")], "doc_id long, text string, base string")
     got = sorted((tuple(r) for r in pii.redact(df).collect()), key=str)
