@@ -7,25 +7,27 @@ from collections.abc import Sequence
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
-from .lineage import durable
+from .lineage import forget, stored, unused
 
 
 def components(edges: DataFrame) -> DataFrame:
     """`node, root`: the least node that each node of the edges `a, b` reaches.
 
     Large-star and small-star steps by grouping and joining until nothing changes; only a count and a checksum
-    of the edges reach the driver. Rows never outnumber edges and nodes.
+    of the edges reach the driver. Rows never outnumber edges and nodes, and each round's table replaces the one before.
     """
-    edges = durable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    checksum = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = checksum(edges)
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
-        edges = durable(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        newer = stored(small)
+        forget(edges)
+        edges, now = newer, checksum(newer)
         if now == before:
             break
         before = now
