@@ -28,7 +28,8 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import durable, named
+from ..operators.entries import components
+from .common import forget, named, spread_join, stored
 
 SEED = 42
 #: Shingles whose bits are counted at once: bounds the memory of very long texts.
@@ -98,7 +99,7 @@ def links(fps: DataFrame, *, full_bucket: int = FULL_BUCKET) -> DataFrame:
     index = _index(fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() // INDEXED_AT_ONCE + 1), "fp"))
     met = index.groupBy("key").agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
     met = met.where("n > 1 and (ones is null or ones between 1 and n - 1)")
-    rows = durable(index.join(met, "key").select("key", "bit", "fp", "n"))
+    rows = stored(index.join(met, "key").select("key", "bit", "fp", "n"))
 
     some = rows.where(F.col("n") <= full_bucket)
     one, two = some.select("key", "bit", F.col("fp").alias("a")), some.select("key", F.col("bit").alias("bit_b"), F.col("fp").alias("b"))
@@ -117,46 +118,13 @@ def links(fps: DataFrame, *, full_bucket: int = FULL_BUCKET) -> DataFrame:
     return joined.unionByName(starred).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """`node, root` for every node of the edges `a, b`: the smallest node that it reaches.
-
-    Alternating large-star and small-star steps, each a grouping of the edges, until nothing
-    changes; only the count of edges reaches the driver.
-    """
-    edges = durable(edges.select("a", "b"))
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
-        edges = durable(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    stars = edges.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root")
-    return stars.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-
-
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", full_bucket: int = FULL_BUCKET) -> DataFrame:
     """`doc_id, fp, component_id` of every document: component_id is the smallest doc_id reachable over links of two bits or fewer."""
-    docs = durable(fingerprints(df, id_col=id_col, text_col=text_col))
-    alike = durable(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    docs = stored(fingerprints(df, id_col=id_col, text_col=text_col))
+    alike = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     found = components(links(alike.select("fp"), full_bucket=full_bucket))
-    rooted = alike.join(found, alike.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named_fps = rooted.join(least, "root").select("fp", "component_id")
-    return docs.join(named_fps, "fp").select("doc_id", "fp", "component_id")
-
-
-def first_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df`, all columns, of the documents that name their component: one document of each group stays.
-
-    Of repeated rows of one doc_id one stays as well. Rows whose component has no doc_id at all can't be told
-    apart by name and all stay.
-    """
-    stay = near_duplicates(df, id_col=id_col, text_col=text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    kept = df.join(stay, F.col(f"`{id_col}`") == F.col("_stays"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(df.where(F.col(f"`{id_col}`").isNull()))
+    rooted = alike.join(found, alike.fp == found.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    named_roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named_fps = stored(spread_join(rooted, named_roots, "root", "n").select("fp", "component_id", "copies"))
+    forget(alike)
+    return spread_join(docs, named_fps, "fp", "copies").select("doc_id", "fp", "component_id")
