@@ -4,31 +4,36 @@ Counting rules reject short and repetitive texts. Of the rest, a linear-chain co
 marks each line as content or boilerplate, Viterbi decoding finds the most probable sequence of marks, and the
 share of characters in content lines decides whether a document stays.
 
-The field has a weight for each line feature and for each pair of neighbouring marks. It is fitted by
-gradient ascent of the conditional likelihood (forward-backward sums) on at most `TRAINING_DOCS` labelled documents, at most
-`TRAINING_LINES` lines of each: lines of documents of good quality are content, of bad quality boilerplate. A normal prior
-around hand-set weights keeps the fit steady and stands alone where no document is labelled.
+The field has a weight for each line feature and for each pair of neighbouring marks, fitted by gradient ascent of the
+conditional likelihood on at most `TRAINING_DOCS` labelled documents, whole. Only documents are labelled, so the truth of a
+line comes from the lines. A line that stands in several documents in different surroundings (a licence, a notice) is boilerplate. In a document
+of bad quality a line is boilerplate if a classifier of single lines tells it from the lines of good documents; other lines are content. So marks do change
+within a text. A normal prior around hand-set weights keeps the fit steady and stands alone where no document is labelled. The least
+content share is the one that best tells the good from the bad documents of the sample, of equally good ones the nearest to a half.
 
 Cases: a null text counts as empty and fails the rules; lines without a word take part in no count and no
-sequence. Labels that are null or name no document are left out; of several labels of one document the largest counts.
+sequence. Labels that are null or name no document are left out; of several labels of one document the largest counts, of repeated rows of one document one does.
 Repeated rows give a row each. Only the named columns take part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
+import xxhash
 from pyspark.sql import DataFrame
 
-from .common import named, texts_of
+from .common import named, of_texts
 
 #: Bound of the labelled sample that the field is fitted on.
-TRAINING_DOCS, TRAINING_LINES = 2000, 100
-#: Least share of characters in content lines.
+TRAINING_DOCS = 2000
+#: Least share of characters in content lines, where no sample says better.
 LEAST_CONTENT = 0.5
+#: Documents and different lines before it that make a line a shared one.
+SHARED_BY = 3
 
 _SYMBOLS = b"#*$%&|<>"
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -74,14 +79,17 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n, word_chars, n_symbols, repeated, covered
 
 
-def line_features(text: str | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A row of features and the length of each line that has a word."""
-    rows, sizes = [], []
+def lines_of(text: str | None) -> list[bytes]:
+    """The lines that have a word."""
+    return [line for line in (text or "").encode().split(b"\n") if line.strip(_WHITE)]
+
+
+def line_features(lines: Sequence[bytes]) -> np.ndarray:
+    """A row of features for each line."""
+    rows = []
     seen: set[bytes] = set()
-    for line in (text or "").encode().split(b"\n"):
+    for line in lines:
         words = line.split()
-        if not words:
-            continue
         n, ink = len(words), max(1, len(line) - line.count(b" "))
         rows.append((
             1.0,
@@ -93,19 +101,29 @@ def line_features(text: str | None, most: int | None = None) -> tuple[np.ndarray
             (len(line) - len(line.translate(None, b"0123456789"))) / ink,
             float(n < 4),
         ))
-        sizes.append(len(line))
         seen.add(line)
-        if len(rows) == most:
-            break
-    return np.array(rows, np.float64).reshape(-1, len(FEATURES)), np.array(sizes, np.int64)
+    return np.array(rows, np.float64).reshape(-1, len(FEATURES))
+
+
+def _products(m: np.ndarray, longest: int, backwards: bool) -> np.ndarray:
+    """Products of 2 x 2 matrices up to each place (or from it on), scaled to a sum of 1, in rounds that double their reach; right wherever `longest` matrices reach a reset."""
+    p, reach = m / m.sum((1, 2), keepdims=True), 1
+    while reach < longest and reach < len(p):
+        left, right = p[:-reach], p[reach:]
+        both = np.stack([np.stack([left[:, i, 0] * right[:, 0, j] + left[:, i, 1] * right[:, 1, j] for j in (0, 1)], -1) for i in (0, 1)], 1)
+        both /= both.sum((1, 2), keepdims=True)
+        p = np.concatenate([both, p[-reach:]]) if backwards else np.concatenate([p[:reach], both])
+        reach *= 2
+    return p
 
 
 class Field:
-    """A linear-chain field of two marks: 0 content, 1 boilerplate."""
+    """A linear-chain field of two marks: 0 content, 1 boilerplate; `least` is the least content share of a document that stays."""
 
-    def __init__(self, weights: np.ndarray | None = None, pairs: np.ndarray | None = None):
+    def __init__(self, weights: np.ndarray | None = None, pairs: np.ndarray | None = None, least: float = LEAST_CONTENT):
         self.weights = np.array(list(FEATURES.values())) if weights is None else weights
         self.pairs = np.array([[STAY, 0.0], [0.0, STAY]]) if pairs is None else pairs
+        self.least = least
 
     def decode(self, features: np.ndarray) -> np.ndarray:
         """The most probable marks, by Viterbi."""
@@ -128,87 +146,142 @@ class Field:
             marks[i] = at = int(back[i][at])
         return marks
 
-    def fit(self, documents: list[np.ndarray], marks: list[int], steps: int = 120, rate: float = 0.1, prior: float = 0.5) -> Field:
-        """Weights of greatest posterior: Adam steps on padded arrays of all documents at once."""
-        documents, marks = zip(*[(d, m) for d, m in zip(documents, marks, strict=True) if len(d)], strict=True) if any(map(len, documents)) else ((), ())
-        if len(set(marks)) < 2:
+    def marginals(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of boilerplate for each line, and of each pair of marks of a line and the one before (no pair at a text's start).
+
+        Forward and backward sums are running products of 2 x 2 matrices, reset where a text starts.
+        """
+        own = np.exp(np.clip(np.stack([np.zeros(len(x)), x @ self.weights], -1), -30, 30))
+        step = np.exp(self.pairs)[None] * own[:, None, :]
+        step[starts] = own[starts][:, None, :]
+        after = np.full_like(step, 0.5)
+        after[:-1][~starts[1:]] = step[1:][~starts[1:]]
+        longest = int(np.diff(np.append(np.flatnonzero(starts), len(x))).max()) if len(x) else 0
+        ahead, behind = _products(step, longest, False)[:, 0, :], _products(after, longest, True).sum(2)
+        one = ahead * behind
+        two = np.zeros_like(step)
+        two[1:] = ahead[:-1, :, None] * step[1:] * behind[1:, None, :]
+        two[starts] = 0
+        total = two.sum((1, 2), keepdims=True)
+        return one[:, 1] / one.sum(1), two / np.where(total > 0, total, 1)
+
+    def fit(self, x: np.ndarray, marks: np.ndarray, starts: np.ndarray, steps: int = 300, rate: float = 0.1, prior: float = 0.5, close_enough: float = 3e-3) -> Field:
+        """Weights of greatest posterior: Adam steps until no part of the gradient exceeds `close_enough`. starts: where a text's lines begin."""
+        if len(set(marks.tolist())) < 2:
             return self
-        longest = max(map(len, documents))
-        x, there = np.zeros((len(documents), longest, len(self.weights))), np.zeros((len(documents), longest))
-        for k, d in enumerate(documents):
-            x[k, : len(d)], there[k, : len(d)] = d, 1
-        truth = np.array(marks, float)[:, None] * there
-        w, t = self.weights.copy(), self.pairs.copy()
-        state = [np.zeros(w.size + t.size), np.zeros(w.size + t.size)]
-        both = there[:, 1:] * there[:, :-1]
-        stays = np.array([[(1 - truth[:, 0]) @ both.sum(1), 0], [0, truth[:, 0] @ both.sum(1)]])
+        n_docs, found = int(starts.sum()), Field(self.weights.copy(), self.pairs.copy())
+        inside = ~starts[1:]
+        stays = np.array([[float(((marks[:-1] == i) & (marks[1:] == j) & inside).sum()) for j in (0, 1)] for i in (0, 1)])
+        state = np.zeros((2, self.weights.size + 4))
         for step in range(1, steps + 1):
-            scores = np.stack([np.zeros_like(there), x @ w], -1) * there[..., None]
-            ahead = np.zeros_like(scores)
-            ahead[:, 0] = scores[:, 0]
-            for i in range(1, longest):
-                ahead[:, i] = np.logaddexp.reduce(ahead[:, i - 1, :, None] + t, axis=1) + scores[:, i]
-                ahead[:, i] = np.where(there[:, i, None] > 0, ahead[:, i], ahead[:, i - 1])
-            behind = np.zeros_like(scores)
-            for i in range(longest - 2, -1, -1):
-                step_back = np.logaddexp.reduce(t + (scores[:, i + 1] + behind[:, i + 1])[:, None, :], axis=2)
-                behind[:, i] = np.where(there[:, i + 1, None] > 0, step_back, 0)
-            total = np.logaddexp.reduce(ahead[:, -1], axis=1)
-            one = np.exp(ahead[..., 1] + behind[..., 1] - total[:, None]) * there
-            two = np.exp(ahead[:, :-1, :, None] + t + (scores + behind)[:, 1:, None, :] - total[:, None, None, None]) * both[..., None, None]
-            gradient = np.concatenate([np.einsum("dl,dlf->f", truth - one, x) - prior * (w - self.weights) * len(documents) / 100, (stays - two.sum((0, 1)) - prior * (t - self.pairs) * len(documents) / 10).ravel()]) / len(documents)
-            state[0] = 0.9 * state[0] + 0.1 * gradient
-            state[1] = 0.99 * state[1] + 0.01 * gradient**2
-            move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
-            w, t = w + move[: w.size], t + move[w.size :].reshape(2, 2)
-        return Field(w, t)
+            one, two = found.marginals(x, starts)
+            gradient = np.concatenate([x.T @ (marks - one) - prior * (found.weights - self.weights) * n_docs / 100, (stays - two.sum(0) - prior * (found.pairs - self.pairs) * n_docs / 10).ravel()]) / n_docs
+            if np.abs(gradient).max() <= close_enough:
+                break
+            state = state * [[0.9], [0.99]] + [0.1 * gradient, 0.01 * gradient**2]
+            move = rate * step**-0.25 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
+            found = Field(found.weights + move[: self.weights.size], found.pairs + move[self.weights.size :].reshape(2, 2))
+        return found
+
+
+def shared_lines(digests: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Which lines of each text stand in `SHARED_BY` texts or more, after as many different lines: copies of a text share their surroundings, a notice doesn't."""
+    texts, lines, before = [], [], []
+    for i, d in enumerate(digests):
+        texts.append(np.full(len(d), i))
+        lines.append(d)
+        before.append(np.concatenate([[0], d[:-1]])[: len(d)])
+    if not sum(map(len, digests)):
+        return [np.zeros(0, bool) for _ in digests]
+    line, number = np.unique(np.concatenate(lines), return_inverse=True)
+    distinct = lambda other: np.bincount(np.unique(np.stack([number, np.unique(other, return_inverse=True)[1]]), axis=1)[0], minlength=len(line))
+    shared = (distinct(np.concatenate(texts)) >= SHARED_BY) & (distinct(np.concatenate(before)) >= SHARED_BY)
+    return np.split(shared[number], np.cumsum([len(d) for d in digests])[:-1])
+
+
+def line_truth(x: np.ndarray, good: np.ndarray, shared: np.ndarray, steps: int = 200, rate: float = 0.5) -> np.ndarray:
+    """The marks of labelled documents' lines. good: whether a line's document is; a logistic classifier tells lines of bad documents, both kinds weighing the same."""
+    w, kinds = np.zeros(x.shape[1]), [max(1, int(good.sum())), max(1, int((~good).sum()))]
+    weight = np.where(good, 0.5 / kinds[0], 0.5 / kinds[1])
+    for _ in range(steps):
+        w += rate * 4 * (x.T @ (weight * (~good - 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))) - 1e-3 * w)
+    return (shared | ~good & (x @ w > 0)).astype(np.int8)
 
 
 def content_share(field: Field, text: str | None) -> float:
     """Share of characters in the lines marked as content; 0 without any line."""
-    features, sizes = line_features(text)
-    return float(sizes[field.decode(features) == 0].sum() / sizes.sum()) if len(sizes) else 0.0
+    lines = lines_of(text)
+    if not lines:
+        return 0.0
+    sizes = np.array([len(line) for line in lines])
+    return float(sizes[field.decode(line_features(lines)) == 0].sum() / sizes.sum())
 
 
 def labelled(df: DataFrame, labels: DataFrame, label_col: str, most: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id, text, label` of at most `most` labelled documents, the same ones whatever the partitioning."""
+    """`doc_id, text, label` of at most `most` labelled documents, the same ones whatever the partitioning; only ids are broadcast."""
     given = named(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     bounded = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return named(df, doc_id=id_col, text=text_col).join(F.broadcast(bounded), "doc_id")
 
 
-def _line_rows(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def learnt(field: Field, rows: Sequence[tuple[int, bytes, bytes, bytes]]) -> Field:
+    """The field of documents `label, features, digests, sizes`."""
+    rows = [r for r in rows if r[1]]
+    if len({r[0] > 0 for r in rows}) < 2:
+        return field
+    features = [np.frombuffer(r[1], np.float32).reshape(-1, len(FEATURES)).astype(float) for r in rows]
+    shared = shared_lines([np.frombuffer(r[2], np.uint64) for r in rows])
+    good = np.array([r[0] > 0 for r in rows])
+    lengths = [len(f) for f in features]
+    x, starts = np.concatenate(features), np.zeros(sum(lengths), bool)
+    starts[np.cumsum([0, *lengths[:-1]])] = True
+    found = field.fit(x, line_truth(x, np.repeat(good, lengths), np.concatenate(shared)), starts)
+    shares = []
+    for f, r in zip(features, rows, strict=True):
+        sizes = np.frombuffer(r[3], np.int32)
+        shares.append(sizes[found.decode(f) == 0].sum() / sizes.sum())
+    shares = np.array(shares)
+    tries = np.arange(0.3, 0.951, 0.05)
+    scores = [(shares[good] >= t).mean() + (shares[~good] < t).mean() for t in tries]
+    best = tries[np.isclose(scores, max(scores))]
+    found.least = float(round(best[np.argmin(np.abs(best - LEAST_CONTENT))], 2))
+    return found
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [line_features(t, most)[0].ravel().tolist() for t in texts_of(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "label", "features"])
+        texts, packed = batch.column("text"), []
+        for i in range(batch.num_rows):
+            lines = lines_of(texts[i].as_py())
+            digests = np.array([xxhash.xxh64_intdigest(line) for line in lines], np.uint64)
+            packed.append((line_features(lines).astype(np.float32).tobytes(), digests.tobytes(), np.array([len(line) for line in lines], np.int32).tobytes()))
+        columns = [pa.array([p[k] for p in packed], pa.binary()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int64()), *columns], names=["doc_id", "label", "features", "digests", "sizes"])
 
 
-def fitted(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = TRAINING_DOCS, most_lines: int = TRAINING_LINES) -> Field:
-    """The field of the labelled documents."""
+def fitted(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = TRAINING_DOCS) -> Field:
+    """The field of the labelled documents: a document's features, not its text, leave its task, and repeated rows are one before that."""
     sample = labelled(df, labels, label_col, most_docs, id_col=id_col, text_col=text_col)
-    rows = sample.mapInArrow(lambda b: _line_rows(most_lines, b), f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label bigint, features array<double>")
-    found = sorted(rows.select("doc_id", "label", "features").collect(), key=lambda r: (r.doc_id, r.features))[: 2 * most_docs]
-    return Field().fit([np.array(r.features).reshape(-1, len(FEATURES)) for r in found], [int(r.label == 0) for r in found])
+    rows = sample.mapInArrow(_line_rows, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label bigint, features binary, digests binary, sizes binary")
+    once = rows.groupBy("doc_id").agg(F.min(F.struct("label", "features", "digests", "sizes")).alias("f"))
+    return learnt(Field(), [r.f for r in sorted(once.collect(), key=lambda r: r.doc_id)])  # `most_docs` rows
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _judged(field: Field, least: float, text_col: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text_col)
-        counts, share = np.zeros((batch.num_rows, len(_COUNTS)), np.int64), np.zeros(batch.num_rows)
-        for i in range(batch.num_rows):  # one text of Python's at a time
-            text = texts[i].as_py()
-            counts[i], share[i] = base_counts(text), content_share(field, text)
-        failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
-        columns = [batch.column("row"), *(pa.array(counts[:, k]) for k in range(len(_COUNTS))), pa.array(failed), pa.array(share), pa.array(~failed & (share >= least))]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", *_COUNTS, "base_failed", "content_share", "kept"])
+def _judged(field: Field, least: float, texts: list[str]) -> pa.StructArray:
+    counts, share = np.zeros((len(texts), len(_COUNTS)), np.int64), np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        counts[i], share[i] = base_counts(text), content_share(field, text)
+    failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
+    columns = [*(pa.array(counts[:, k]) for k in range(len(_COUNTS))), pa.array(failed), pa.array(share), pa.array(~failed & (share >= least))]
+    return pa.StructArray.from_arrays(columns, names=[*_COUNTS, "base_failed", "content_share", "kept"])
 
 
-def judge(df: DataFrame, field: Field, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", least_content: float = LEAST_CONTENT) -> DataFrame:
+def judge(df: DataFrame, field: Field, *, keep: Sequence[str] = ("doc_id",), text_col: str = "text", least_content: float | None = None) -> DataFrame:
     """A struct `row` of the columns to keep, the counts, `base_failed`, `content_share` and `kept` of every document."""
-    own = () if text_col in keep else (F.col(f"`{text_col}`").alias("text"),)
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), *own)
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in _COUNTS) + ", base_failed boolean, content_share double, kept boolean"
-    return rows.mapInArrow(lambda b: _judged(field, least_content, text_col, b), schema)
+    least = field.least if least_content is None else least_content
+    found = of_texts(lambda texts: _judged(field, least, texts), ", ".join(f"{c}: bigint" for c in _COUNTS) + ", base_failed: boolean, content_share: double, kept: boolean")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), found(F.col(f"`{text_col}`")).alias("judged"))
+    return rows.select("row", "judged.*")
