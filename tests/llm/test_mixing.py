@@ -2,8 +2,10 @@
 
 import numpy as np
 import pyspark.sql.functions as F
+import pytest
 
 from tessera.llm import mixing, queries
+from tessera.llm.common import stored
 
 TEXTS = {"a": "the quick brown fox and the lazy dog ", "b": "der schnelle braune fuchs und der faule hund "}
 
@@ -15,8 +17,8 @@ def documents(spark, n=60):
 
 def test_rates_meet_the_targets(spark):
     df = documents(spark)
-    model = mixing.fitted(df, df)
-    scored = mixing.narrow(mixing.score(df, model))
+    model = mixing.fitted(df, df, domain_col="lang")
+    scored = stored(mixing.score(df, model))
     steps = mixing.solved(scored, model.domains, {"a": 0.5, "b": 0.5})
     rows = mixing.with_rates(scored, steps).collect()
     tokens, shares, rates = np.array([r.n_tokens for r in rows]), np.array([r.shares for r in rows]), np.array([r.rate for r in rows])
@@ -27,36 +29,42 @@ def test_rates_meet_the_targets(spark):
 
 def test_least_squares_where_targets_are_out_of_reach(spark):
     df = documents(spark)
-    model = mixing.fitted(df, df)
-    scored = mixing.narrow(mixing.score(df, model))
+    model = mixing.fitted(df, df, domain_col="lang")
+    scored = stored(mixing.score(df, model))
     steps = mixing.solved(scored, model.domains, {"a": 1.0})
     rows = mixing.with_rates(scored, steps).collect()
     # brute force: many plain projected gradient steps on dense arrays
     tokens, shares = np.array([float(r.n_tokens) for r in rows]), np.array([r.shares for r in rows])
-    own, rate = tokens @ shares, np.ones(len(rows))
+    measure, rate = np.linalg.inv((shares * tokens[:, None]).T @ shares), np.ones(len(rows))
+    off = lambda r: (r * tokens) @ shares - np.array([tokens.sum(), 0])
     for _ in range(5000):
-        rate = np.maximum(0, rate - shares @ (((rate * tokens) @ shares - np.array([tokens.sum(), 0])) / own))
-    loss = lambda r: float(((((r * tokens) @ shares - np.array([tokens.sum(), 0])) ** 2) / own).sum())
-    assert loss(np.array([r.rate for r in rows])) <= loss(rate) * 1.01 + 1e-2
+        rate = np.maximum(0, rate - shares @ (measure @ off(rate)))
+    loss = lambda r: float(off(r) @ measure @ off(r))
+    assert loss(np.array([r.rate for r in rows])) <= loss(rate) * 1.05 + 1e-2
+    with pytest.raises(ArithmeticError):
+        mixing.solved(scored, model.domains, {"a": 0.5, "b": 0.5}, most_steps=0)
 
 
 def test_classifier_on_held_out_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars > 100")
-    model = mixing.fitted(docs, docs.where("doc_id % 2 = 0"))
+    model = mixing.fitted(docs, docs.where("doc_id % 2 = 0"), domain_col="lang")
     best = mixing.score(docs.where("doc_id % 2 = 1"), model, keep=("lang",)).collect()
     assert np.mean([model.domains[int(np.argmax(r.shares))] == r.row.lang for r in best]) > 0.95
 
 
 def test_mixed_rows_and_odd_cases(spark):
     df = documents(spark).unionByName(spark.createDataFrame([(None, None, None, None), (7, "", "a", "y"), (7, "", "a", "y")], documents(spark, 1).schema))
-    model = mixing.fitted(df, df)
+    model = mixing.fitted(df, df, domain_col="lang")
     out = mixing.mixed(df, model, {"a": 0.3, "b": 0.7}, least=1.0)
     assert out.columns == df.columns
     assert out.distinct().count() == df.distinct().count()
     tokens = {r[0]: r[1] for r in out.groupBy("lang").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
     assert abs(tokens["b"] / (tokens["a"] + tokens["b"]) - 0.7) < 0.1
     assert mixing.mixed(df.where("false"), model, {"a": 1.0}).count() == 0
-    assert mixing.fitted(df, df.where("false")) is None
+    assert mixing.fitted(df, df.where("false"), domain_col="lang") is None
+    assert mixing.fitted(df, df.withColumn("lang", F.lit(None).cast("string")), domain_col="lang") is None
+    clash = df.withColumn("rated", F.lit(3)).withColumn("row", F.lit("r"))
+    assert mixing.mixed(clash, model, {"a": 0.3, "b": 0.7}, least=1.0).columns == clash.columns
     assert mixing.mixed(df, None, {"a": 1.0}).count() == df.count()
 
 
@@ -67,10 +75,20 @@ def test_words_and_long_texts():
     assert mixing.features(None)[1] == 0 and mixing.features(" ")[1] == 0
 
 
+def test_labelled_domains_on_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    domains = queries.domains_of(labels)
+    model = mixing.fitted(docs, domains.where("doc_id % 4 <> 0"))
+    held = {r.doc_id: r.domain for r in domains.where("doc_id % 4 = 0").collect()}
+    best = {r.row.doc_id: model.domains[int(np.argmax(r.shares))] for r in mixing.score(docs.where("doc_id % 4 = 0"), model).collect()}
+    assert np.mean([best[d] == x for d, x in held.items()]) > 0.87
+
+
 def test_query(spark, sf):
     found = queries.op9_mixing(spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = found.collect()
     assert len(rows) == docs.count() and all(r.rate >= 0 for r in rows)
-    en = sum(r.rate * r.n_tokens * r.p_en for r in rows) / sum(r.rate * r.n_tokens for r in rows)
-    assert abs(en - 0.5) < 0.01
+    for domain, share in queries.TARGET_WEIGHTS.items():
+        got = sum(r.rate * r.n_tokens * r[f"p_{domain}"] for r in rows) / sum(r.n_tokens for r in rows)
+        assert abs(got - share) < 0.01
