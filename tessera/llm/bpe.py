@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the `tokenizers` library over Arrow batches.
 
-Every match of the splitting pattern is encoded on its own, each different one of a segment once, and a worker
-remembers a bounded number of them. The vocabulary is a public rank file; its merges follow from the ranks (the two parts of a token are
+Every match of the splitting pattern is encoded on its own, each different one once, and a worker
+remembers a bounded number of them; a long text's matches are taken in bounded numbers, never its beginning alone and never cut anywhere. The vocabulary is a public rank file; its merges follow from the ranks (the two parts of a token are
 what the lower ranks alone make of it). Every byte is written as one printable character, by the
 usual byte table of byte-level BPE, so that `tokenizers` can work on characters; decoding reverses
 that table byte by byte and only then reads UTF-8, so characters split over tokens come back whole.
@@ -17,8 +17,8 @@ from __future__ import annotations
 import base64
 import functools
 import os
-import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,10 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from .common import named, parts_of, texts_of
 
-#: Segments in which long texts are worked on; a cut falls only where one match of the pattern must end.
-SEGMENT_CHARS = 1 << 16
+#: Texts of up to so many characters have all their matches taken at once, longer ones as many matches at a time as `MATCHES_AT_ONCE`.
+SHORT_CHARS, MATCHES_AT_ONCE = 1 << 16, 1 << 14
 #: Matches of the pattern whose ids a worker remembers, and how many new ones are encoded at once.
-CACHED_PIECES, ENCODED_AT_ONCE = 300_000, 4096
-
-_CUT = re.compile(r"(?<=\S)(?=\s)")
+CACHED_PIECES, ENCODED_AT_ONCE = 150_000, 4096
 
 
 @functools.cache
@@ -83,9 +81,10 @@ class Coder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.made_of = hash((text_json, pattern))
         self.tokenizer = Tokenizer.from_str(text_json)
-        self.split = regex.compile(pattern).findall
+        self.split = regex.compile(pattern)
         self.ids: dict[str, bytes] = {}
         self.offsets: dict[str, np.ndarray] = {}
+        self.inside: dict[str, int] = {}
         of = {c: b for b, c in enumerate(byte_characters())}
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.empty(max(vocabulary.values()) + 1, object)
@@ -102,36 +101,45 @@ class Coder:
     def _learn(self, pieces: list[str], offsets: bool = False) -> None:
         """Encode what isn't remembered, each match once."""
         if len(self.ids) > CACHED_PIECES:
-            self.ids.clear()
-            self.offsets.clear()
+            for held in (self.ids, self.offsets, self.inside):
+                held.clear()
         new = list(set(pieces).difference(self.offsets if offsets else self.ids))
-        encode = self.tokenizer.encode_batch if offsets else self.tokenizer.encode_batch_fast
         for start in range(0, len(new), ENCODED_AT_ONCE):
             part = new[start : start + ENCODED_AT_ONCE]
-            for piece, e in zip(part, encode(part, add_special_tokens=False), strict=True):
+            for piece, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                places = e.offsets
                 self.ids[piece] = np.array(e.ids, np.int32).tobytes()
+                self.inside[piece] = sum(a[1] > b[0] for a, b in zip(places, places[1:], strict=False))
                 if offsets:
-                    self.offsets[piece] = np.array(e.offsets, np.int32).reshape(-1, 2)
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text."""
-        found = []
-        for segment in segments(text):
-            pieces = self.split(segment)
-            self._learn(pieces)
-            found.append(b"".join(map(self.ids.__getitem__, pieces)))
-        return np.frombuffer(b"".join(found), np.int32)
+                    self.offsets[piece] = np.array(places, np.int32).reshape(-1, 2)
+
+    def pieces(self, text: str, most: int = SHORT_CHARS) -> Iterator[list[str]]:
+        """The matches of the pattern, in lists of bounded length; what it doesn't match is left out."""
+        if len(text) <= most:
+            yield self.split.findall(text)
+            return
+        matches = self.split.finditer(text)
+        while part := [m.group() for m in islice(matches, MATCHES_AT_ONCE)]:
+            yield part
+
+    def encode(self, text: str) -> tuple[np.ndarray, int]:
+        """Ids of a text, and how many tokens begin inside a character, as the offsets say: those of a split character but its first."""
+        found, inside = [], 0
+        for part in self.pieces(text):
+            self._learn(part)
+            found.append(b"".join(map(self.ids.__getitem__, part)))
+            inside += sum(map(self.inside.__getitem__, part))
+        return np.frombuffer(b"".join(found), np.int32), inside
 
     def encode_with_offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text, and the first and the last but one character of each."""
-        found, spans, at = [], [], 0
-        for segment in segments(text):
-            pieces = self.split(segment)
+        found, spans = [], []
+        matches = self.split.finditer(text)
+        while part := list(islice(matches, MATCHES_AT_ONCE)):
+            pieces = [m.group() for m in part]
             self._learn(pieces, offsets=True)
             found.append(b"".join(map(self.ids.__getitem__, pieces)))
-            for piece in pieces:
-                spans.append(self.offsets[piece] + at)
-                at += len(piece)
+            spans += [self.offsets[m.group()] + m.start() for m in part]
         return np.frombuffer(b"".join(found), np.int32), np.concatenate(spans or [np.zeros((0, 2), np.int32)])
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -139,18 +147,6 @@ class Coder:
         return b"".join(self.bytes[ids].tolist())
 
 
-def segments(text: str, most: int = SEGMENT_CHARS) -> Iterator[str]:
-    """Parts of a long text, cut before white space that follows something else: no match of the pattern spans that place."""
-    start = 0
-    while len(text) - start > most:
-        cut = _CUT.search(text, start + most)
-        if cut is None:
-            break
-        yield text[start : cut.start()]
-        start = cut.start()
-    yield text[start:]
-
-
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values or [np.zeros(0, np.int32)])))
@@ -158,22 +154,24 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 def _encode(coder: Coder, offsets: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, part in parts_of(batch, "text"):
+        for part in parts_of(batch, "text"):
             texts = texts_of(part.column("text"))
             if offsets:
                 both = [coder.encode_with_offsets(t) for t in texts]
-                columns = {"ids": [ids for ids, _ in both], "starts": [s[:, 0] for _, s in both], "ends": [s[:, 1] for _, s in both]}
+                columns = {"ids": _lists([ids for ids, _ in both]), "starts": _lists([s[:, 0] for _, s in both]), "ends": _lists([s[:, 1] for _, s in both])}
             else:
-                columns = {"ids": [coder.encode(t) for t in texts]}
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(_lists, columns.values())], names=["doc_id", *columns])
+                both = [coder.encode(t) for t in texts]
+                columns = {"ids": _lists([ids for ids, _ in both]), "n_inside": pa.array([n for _, n in both], pa.int64())}
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns.values()], names=["doc_id", *columns])
 
 
 def _decode(coder: Coder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids").fill_null([]) if batch.column("ids").null_count else batch.column("ids")
         values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        decoded = [coder.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "bytes"])
+        decoded = pa.array([coder.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+        rest = [c for c in batch.schema.names if c not in ("doc_id", "ids")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, decoded, *map(batch.column, rest)], names=["doc_id", "ids", "bytes", *rest])
 
 
 def _sent(df: DataFrame, vocabulary: str, pattern: str):
@@ -183,13 +181,13 @@ def _sent(df: DataFrame, vocabulary: str, pattern: str):
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """`doc_id, ids` of every whole text; with `offsets` also `starts, ends`, the characters each token covers.
+    """`doc_id, ids, n_inside` of every whole text, the last how many tokens begin inside a character; with `offsets` instead `starts, ends`, the characters each token covers.
 
     Every match of the pattern is encoded on its own. A token that holds some bytes of a character
     covers that whole character.
     """
     rows, coder = named(df, doc_id=id_col, text=text_col), _sent(df, vocabulary, pattern)
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else ", n_inside bigint")
     return rows.mapInArrow(lambda batches: _encode(coder(), offsets, batches), schema)
 
 
@@ -205,6 +203,6 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_i
 
 
 def round_trip(df: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id, ids, bytes` of every whole text, encoded and decoded again in one pass over its batches."""
+    """`doc_id, ids, bytes, n_inside` of every whole text, encoded and decoded again in one pass over its batches."""
     rows, coder = named(df, doc_id=id_col, text=text_col), _sent(df, vocabulary, pattern)
-    return rows.mapInArrow(lambda batches: _decode(coder(), _encode(coder(), False, batches)), _decoded_schema(rows))
+    return rows.mapInArrow(lambda batches: _decode(coder(), _encode(coder(), False, batches)), _decoded_schema(rows) + ", n_inside bigint")
