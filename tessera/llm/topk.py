@@ -1,9 +1,10 @@
 """Exact top-k search by tiled matrix products.
 
-Vectors are turned into whole numbers, floor(256 x). Queries are taken in rounds of a bounded size;
+Vectors are turned into whole numbers, floor(256 x). Queries are taken in rounds of a bounded size, one after the other:
 a round's queries are broadcast as one matrix and every partition of the vectors multiplies it with
 its shards, tile by tile. A tile keeps only each query's best k by partial selection, a partition
-merges its tiles, and the partitions' lists are merged as a tree, `FAN_IN` lists at a time.
+merges its tiles, and the partitions' lists are merged as a tree, `FAN_IN` lists at a time. What a round finds is
+written to the shared folder and its broadcast destroyed before the next begins, so neither driver nor executors ever hold more than one round's matrix.
 
 Products are taken in float64 where their sums stay below 2^53 and so are exact, else with whole
 numbers of any size; a score outside 64 bits is an error.
@@ -16,6 +17,7 @@ repeated rows are candidates each. A query without candidates and an empty table
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import durable, named
+from .common import forget, named, shared_folder, stored
 
 SCALE = 256
 #: Queries of one round: their matrix is what is broadcast, 8 bytes a component.
@@ -121,19 +123,21 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str = "vec
     every = named(vectors, vec_id=id_col, embedding=vector_col).where("vec_id is not null")
     every = every.withColumn("vec_id", F.col("vec_id").cast("long"))
     asked = named(queries, vec_id=id_col, embedding=vector_col).where("vec_id is not null and embedding is not null")
-    asked = durable(asked.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.monotonically_increasing_id().alias("number")))
+    asked = stored(asked.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.monotonically_increasing_id().alias("number")))
     rounds = max(1, -(-asked.count() // queries_a_round))
     parts = every.rdd.getNumPartitions()
-    found = []
+    folder = f"{shared_folder(spark)}/top-{uuid.uuid4().hex}"
     for turn in range(rounds):
         of_round = asked.where(F.pmod(F.xxhash64("number"), F.lit(rounds)) == turn).toArrow()  # about `queries_a_round` rows
         ids, numbers = (of_round.column(c).to_numpy() for c in ("vec_id", "number"))
         matrices = {n: (numbers[rows], ids[rows], matrix) for n, (rows, matrix) in whole(of_round.column("embedding"))[1].items()} if len(ids) else {}
         sent = spark.sparkContext.broadcast(matrices)
         tiles = every.mapInArrow(lambda batches, sent=sent: _tiles(sent.value, k, batches), "number long, vec_id long, score long")
-        found.append(_merged(tiles.withColumn("part", F.spark_partition_id()), k, parts))
-    tops = found[0]
-    for more in found[1:]:
-        tops = tops.unionByName(more)
+        _merged(tiles.withColumn("part", F.spark_partition_id()), k, parts).write.parquet(f"{folder}/round={turn}")
+        sent.destroy()
+    entry = "struct<minus:bigint,vec_id:bigint,score:bigint>"
+    tops = spark.read.schema(f"number bigint, top array<{entry}>, round int").parquet(folder).drop("round")
     ranked = tops.select("number", F.posexplode("top").alias("at", "e")).select("number", (F.col("at") + 1).alias("rank"), "e.vec_id", "e.score")
-    return ranked.join(asked.select("number", F.col("vec_id").alias("query_id")), "number").select("query_id", "rank", "vec_id", "score")
+    found = stored(ranked.join(asked.select("number", F.col("vec_id").alias("query_id")), "number").select("query_id", "rank", "vec_id", "score"))
+    forget(asked)
+    return found
