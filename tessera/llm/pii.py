@@ -1,13 +1,14 @@
 """Personal data by weak supervision, with Spark's own functions only.
 
 Base spans come from fixed expressions and stay as they are. The method looks at further candidates,
-such as numbers that a base expression misses because it runs on into a neighbouring number. Five
+such as numbers that a base expression misses because it runs on into a neighbouring number, disguised addresses, account numbers and names after a title. Five
 labelers vote on each candidate, and on the base spans: its format (checksums, counts of digits), gazetteers (card issuers,
-dialling codes, countries, top-level domains), cue words before it, its shape, and base spans in the same text.
-Expectation-maximisation over the counts of vote patterns estimates how reliable each
-labeler is on private and on other spans; a logistic classifier over votes and kinds, trained on the posteriors, decides.
+dialling codes, countries, top-level domains, given names), cue words before it, its shape, and base spans in the same text.
+Expectation-maximisation over the counts of vote patterns, begun at the majority's vote, estimates how reliable each
+labeler is on private and on other spans. Its posteriors are the truth that the final span classifier is trained on: a logistic model of the kind, the votes and
+features of the span and of what stands beside it, so it can tell spans apart on which the labelers agree.
 
-The counts have a row for each kind and vote pattern, `len(KINDS) * 3 ** 5` at most, so the driver fits
+The counts have a row for each kind, vote pattern and set of features that occur, of which there are boundedly many, so the driver fits
 on a small table however large the corpus is. The expressions use possessive repetition: time is linear
 in a text's length and no long run overflows the stack.
 
@@ -30,10 +31,10 @@ from .common import stored
 #: Base kinds in the order in which they are written.
 BASE = ("email", "ip", "card", "phone")
 #: All kinds: what the method adds comes after the base kinds of the same name.
-KINDS = (*BASE, "ssn", "iban")
+KINDS = (*BASE, "ssn", "iban", "name")
 #: Posterior from which a candidate is personal data.
 LEAST_POSTERIOR = 0.9
-#: Characters before a candidate in which cue words count.
+#: Characters before and after a candidate that are its context.
 CONTEXT = 32
 
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -48,21 +49,36 @@ CANDIDATES: dict[str, str] = {
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{14,19}+|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}+[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Sra?|Monsieur|Madame|Mme)\.? \p{Lu}\p{Ll}++(?:[ -]\p{Lu}\p{Ll}++){0,2}+(?![\p{L}])",
 }
 
 #: Without one of these a text has no candidate of the kind.
-CANDIDATE_SIGNS: dict[str, tuple[str, ...]] = {"email": ("[at]", "(at)"), "phone": ("(",)}
-
-#: Gazetteers and cue words; fixed values.
-ISSUER_DIGITS = "^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
-DIALLING_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
-IBAN_COUNTRIES = "^(?:AD|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM|TR)"
-COMMON_DOMAINS = "(?i)(?:com|org|net|edu|gov|info|de|fr|es|uk|eu|io)$"
-PRIVATE_CUES = r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|card|visa|mastercard|credit|ssn|social security|iban|account|bank|e-?mail|mail|contact|reach|write)\b"
-OTHER_CUES = r"(?i)\b(?:order|invoice|isbn|version|serial|part|sku|ref|reference|model|page|figure|table|equation|total|sum|build|ticket)\b"
+CANDIDATE_SIGNS: dict[str, tuple[str, ...]] = {"email": ("[at]", "(at)"), "phone": ("(",), "name": ("Mr", "Ms", "Dr", "Prof", "Herr ", "Frau ", "Señor", "Sr", "Monsieur ", "Madame ", "Mme")}
+
+#: Gazetteers and cue words; fixed values. First digits of card issuers, with the digits that their numbers have.
+ISSUERS = "^(?:4[0-9]{15}|5[1-5][0-9]{14}|2(?:2[2-9]|[3-6][0-9]|7[01])[0-9]{13}|3[47][0-9]{13}|3(?:0[0-5]|6[0-9]|8[0-9])[0-9]{11}|(?:6011|65[0-9]{2}|35[0-9]{2})[0-9]{12})$"
+#: Country calling codes.
+DIALLING_CODES = (
+    r"^\+(?:1|7|20|21[1-368]|22[0-9]|23[0-9]|24[0-9]|25[0-8]|26[0-9]|27|29[01789]|30|31|32|33|34|35[0-9]|36|37[0-8]|38[0-35-79]|39|40|41|42[013]|43|44|45|46|47|48|49|50[0-9]|51|52|53|54|55|56|57|58|59[0-9]|60|61|62|63|64|65|66|67[02-9]|68[0-35-9]|69[0-2]"
+    r"|81|82|84|85[02356]|86|88[06]|90|91|92|93|94|95|96[0-8]|97[0-79]|98|99[2-68])"
+)
+#: Length of an account number by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22,
+    "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
+TOP_DOMAINS = "(?i)(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|io|co|me|tv|ai|eu|uk|de|fr|es|it|nl|be|at|ch|dk|se|no|fi|pl|cz|pt|ie|gr|ru|ua|tr|us|ca|mx|br|ar|cl|au|nz|jp|kr|cn|in|za|example)$"
+GIVEN_NAMES = (
+    "Ana Anna Anne Antonio Barbara Carlos Carmen Catherine Charles Christine Claire Claude Daniel David Diego Elena Elizabeth Emma Eva François Franz Friedrich Georg Hans Heinrich Helen Inés Isabel Jacques James Jane Jean Jennifer John José Joseph Juan Julia "
+    "Karl Katharina Klaus Laura Linda Lucas Luis Manuel Maria María Marie Mark Martin Mary Michael Monika Nicolas Olivier Pablo Patricia Paul Pedro Peter Philippe Pierre Richard Robert Sabine Sarah Sofia Sophie Stefan Susan Thomas Ursula William Wolfgang"
+).split()
+PRIVATE_CUES = r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|card|visa|mastercard|credit|ssn|social security|iban|account|bank|e-?mail|mail|contact|reach|write|name|signed|patient|customer|telefon|konto|rufen|cuenta|teléfono|compte|téléphone)\b"
+OTHER_CUES = r"(?i)\b(?:order|invoice|isbn|version|serial|part|sku|ref|reference|model|page|figure|table|equation|total|sum|build|ticket|batch|lot|case|chapter)\b"
 
 LABELERS = ("format", "gazetteer", "context", "shape", "company")
+#: Features of a span and what stands beside it, each with its number of values.
+FEATURES = {"grouped": 2, "labelled": 2, "ended": 2, "dense": 2, "capital": 2, "length": 4}
 
 
 def _digits(match: Column) -> Column:
@@ -111,53 +127,84 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.coalesce(yes, F.lit(False)).cast("int") - F.coalesce(no, F.lit(False)).cast("int")
 
 
+def checks_out(match: Column) -> Column:
+    """Whether an account number has its country's length and the checksum 1 modulo 97."""
+    body = F.replace(match, F.lit(" "), F.lit(""))
+    lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+    turned = F.split(F.concat(F.substring(body, 5, 64), F.substring(body, 1, 4)), "")
+    value = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(turned, F.lit(0), lambda r, c: F.when(c == "", r).otherwise((r * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97))
+    return (F.length(body) == F.try_element_at(lengths, F.substring(body, 1, 2))) & (rest == 1)
+
+
+def beside(text: Column, span: Column) -> tuple[Column, Column]:
+    """What stands before and after a span, `CONTEXT` characters at most."""
+    begin = F.greatest(span.start - CONTEXT, F.lit(0))
+    return F.substring(text, begin + 1, span.start - begin), F.substring(text, span.end + 1, F.lit(CONTEXT))
+
+
 def votes(text: Column, span: Column, base: Column) -> Column:
     """The labelers' votes on a span, each -1, 0 or 1."""
     kind, match, digits = span.kind, span.match, _digits(span.match)
     of = lambda k, c: (kind == k) & c
     n = F.length(digits)
-    fits = of("card", luhn(match)) | of("phone", (n >= 9) & (n <= 15)) | of("email", match.rlike(r"[A-Za-z]{2,}$")) | of("ip", F.lit(True))
-    fits = fits | of("ssn", match.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")) | of("iban", match.rlike("[0-9]{8}"))
-    known = of("card", digits.rlike(ISSUER_DIGITS)) | of("phone", match.rlike(DIALLING_CODES)) | of("email", match.rlike(COMMON_DOMAINS)) | of("iban", match.rlike(IBAN_COUNTRIES))
-    unknown = (of("card", F.lit(True)) | of("iban", F.lit(True))) & ~known
-    begin = F.greatest(span.start - CONTEXT, F.lit(0))
-    before = F.substring(text, begin + 1, span.start - begin)
+    fits = of("card", luhn(match)) | of("phone", (n >= 9) & (n <= 15) & ~match.rlike(r"\([01]")) | of("email", match.rlike(r"[A-Za-z]{2,}$")) | of("ip", F.lit(True))
+    fits = fits | of("ssn", match.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")) | of("iban", checks_out(match)) | of("name", match.rlike(r" \p{Lu}\p{Ll}+[ -]\p{Lu}"))
+    known = of("card", digits.rlike(ISSUERS)) | of("phone", match.rlike(DIALLING_CODES)) | of("email", match.rlike(TOP_DOMAINS)) | of("iban", F.substring(match, 1, 2).isin(*IBAN_LENGTHS))
+    known = known | of("name", match.rlike(rf" (?:{'|'.join(GIVEN_NAMES)})\b"))
+    unknown = (of("card", F.lit(True)) | of("iban", F.lit(True)) | of("email", F.lit(True))) & ~known
+    before, _ = beside(text, span)
     plain = F.size(F.array_distinct(F.split(digits, ""))) <= 2
     near = F.exists(base, lambda b: (b.start != span.start) | (b.end != span.end))
     return F.struct(
-        _vote(fits, ~fits).alias("format"),
+        _vote(fits, ~fits & (kind != "name")).alias("format"),
         _vote(known, unknown).alias("gazetteer"),
         _vote(before.rlike(PRIVATE_CUES), before.rlike(OTHER_CUES)).alias("context"),
-        _vote(F.lit(False), (n >= 7) & plain).alias("shape"),
+        _vote(kind.isin("email", "name"), (n >= 7) & plain).alias("shape"),
         _vote(near, F.lit(False)).alias("company"),
     )
 
 
+def features(text: Column, span: Column) -> Column:
+    """Small numbers that say how a span is written and what stands beside it."""
+    before, after = beside(text, span)
+    n = F.length(span.match)
+    return F.struct(
+        span.match.rlike(r"[0-9][ .()-]+[0-9]").cast("int").alias("grouped"),
+        before.rlike(r"[:=#] ?$").cast("int").alias("labelled"),
+        after.rlike(r"^(?:$|[\s.,;:!?)\]\"'])").cast("int").alias("ended"),
+        F.concat(F.regexp_replace(before, "[^0-9]", ""), F.regexp_replace(after, "[^0-9]", "")).rlike("[0-9]{6}").cast("int").alias("dense"),
+        before.rlike(r"\p{Lu}[\p{L}]*\W{1,3}$").cast("int").alias("capital"),
+        F.when(n < 12, 0).when(n < 17, 1).when(n < 25, 2).otherwise(3).alias("length"),
+    )
+
+
 def looked_at(df: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """All columns of `df` as `row`, with arrays `base` of the base spans, `more` of the candidates and `ballots` of kind and votes on all of them."""
+    """All columns of `df` as `row`, with arrays `base` of the base spans, `more` of the candidates and `ballots` of kind, votes and features of all of them. Store them before `trained` and `decided`, which both read them."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), text.alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     rows = with_candidates(rows)
-    every = F.transform(F.concat("base", "more"), lambda s: F.struct(s.kind.alias("kind"), votes(F.col("text"), s, F.col("base")).alias("votes")))
+    every = F.transform(F.concat("base", "more"), lambda s: F.struct(s.kind.alias("kind"), votes(F.col("text"), s, F.col("base")).alias("votes"), features(F.col("text"), s).alias("features")))
     return rows.withColumn("ballots", F.when(F.size("base") + F.size("more") > 0, every).otherwise(F.slice(every, 1, 0)))
 
 
-Counts = Mapping[tuple[str, tuple[int, ...]], int]
+#: How often a kind got a vote pattern and a set of features.
+Counts = Mapping[tuple[str, tuple[int, ...], tuple[int, ...]], int]
 
 
-def counted(ballots: DataFrame) -> dict[tuple[str, tuple[int, ...]], int]:
-    """How often each kind got each vote pattern: a row for each that occurs."""
-    each = ballots.select(F.explode("ballots").alias("b")).groupBy("b.kind", *(F.col(f"b.votes.{v}").alias(v) for v in LABELERS)).count()
-    return {(r["kind"], tuple(r[v] for v in LABELERS)): r["count"] for r in each.collect()}
+def counted(ballots: DataFrame) -> dict[tuple[str, tuple[int, ...], tuple[int, ...]], int]:
+    """The counts of a corpus: a row for each combination that occurs, one aggregation."""
+    each = ballots.select(F.explode("ballots").alias("b")).groupBy("b.kind", *(F.col(f"b.votes.{v}").alias(v) for v in LABELERS), *(F.col(f"b.features.{f}").alias(f) for f in FEATURES)).count()
+    return {(r["kind"], tuple(r[v] for v in LABELERS), tuple(r[f] for f in FEATURES)): r["count"] for r in each.collect()}
 
 
 def posteriors(counts: Counts, rounds: int = 60) -> dict[tuple[int, ...], float]:
-    """Probability that a vote pattern is private, by expectation-maximisation with a reliability for each labeler, class and vote."""
+    """Probability that a vote pattern is private, by expectation-maximisation with a reliability for each labeler, class and vote; it begins at the majority's vote."""
     patterns: dict[tuple[int, ...], int] = {}
-    for (_, pattern), n in counts.items():
+    for (_, pattern, _), n in counts.items():
         patterns[pattern] = patterns.get(pattern, 0) + n
-    belief = {p: min(0.95, max(0.05, 0.5 + 0.2 * sum(p))) for p in patterns}
+    belief = {p: (1 + sum(v > 0 for v in p)) / (2 + sum(v != 0 for v in p)) for p in patterns}
     for _ in range(rounds):
         weight = [1.0, 1.0]
         table = [[{-1: (2.0, 0.4)[c], 0: 1.0, 1: (0.4, 2.0)[c]} for _ in LABELERS] for c in (0, 1)]
@@ -174,38 +221,42 @@ def posteriors(counts: Counts, rounds: int = 60) -> dict[tuple[int, ...], float]
 
 
 class Classifier:
-    """A logistic model of kinds and votes."""
+    """A logistic model of kinds, votes and features."""
+
+    def __init__(self, weights: Mapping[tuple[str, object], float] | None = None):
+        self.weights = dict(weights or {})
 
-    def __init__(self, bias: float, kinds: Mapping[str, float], votes_: Sequence[Mapping[int, float]]):
-        self.bias, self.kinds, self.votes = bias, dict(kinds), [dict(v) for v in votes_]
+    @staticmethod
+    def parts(kind: str, pattern: Sequence[int], values: Sequence[int]) -> list[tuple[str, object]]:
+        """What a span's score sums the weights of."""
+        return [("bias", 0), ("kind", kind), *zip(LABELERS, pattern, strict=True), *zip(FEATURES, values, strict=True)]
 
     @classmethod
-    def fit(cls, counts: Counts, belief: Mapping[tuple[int, ...], float], steps: int = 400, ridge: float = 0.02) -> Classifier:
-        bias, kinds, weights = 0.0, dict.fromkeys(KINDS, 0.0), [dict.fromkeys((-1, 0, 1), 0.0) for _ in LABELERS]
+    def fit(cls, counts: Counts, belief: Mapping[tuple[int, ...], float], steps: int = 400, rate: float = 2.0, ridge: float = 0.005) -> Classifier:
         total = sum(math.log1p(n) for n in counts.values())  # frequent patterns count more, but not alone
+        rows = [(cls.parts(*key), math.log1p(n) / total, belief[key[1]]) for key, n in counts.items()]
+        model = cls()
         for _ in range(steps if counts else 0):
-            model, move = cls(bias, kinds, weights), [0.0, dict.fromkeys(KINDS, 0.0), [dict.fromkeys((-1, 0, 1), 0.0) for _ in LABELERS]]
-            for (kind, pattern), n in counts.items():
-                error = math.log1p(n) / total * (belief[pattern] - model.probability(kind, pattern))
-                move[0] += error
-                move[1][kind] += error
-                for k, v in enumerate(pattern):
-                    move[2][k][v] += error
-            bias += 2 * move[0]
-            kinds = {k: w + 2 * (move[1][k] - ridge * w) for k, w in kinds.items()}
-            weights = [{v: w + 2 * (move[2][k][v] - ridge * w / 4) for v, w in each.items()} for k, each in enumerate(weights)]
-        return cls(bias, kinds, weights)
-
-    def probability(self, kind: str, pattern: Sequence[int]) -> float:
-        score = self.bias + self.kinds[kind] + sum(w[v] for w, v in zip(self.votes, pattern, strict=True))
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, score))))
+            move: dict[tuple[str, object], float] = {}
+            for parts, share, truth in rows:
+                error = share * (truth - model.probability(parts))
+                for p in parts:
+                    move[p] = move.get(p, 0.0) + error
+            model = cls({p: model.weights.get(p, 0.0) * (1 - rate * ridge * (p[0] != "bias")) + rate * m for p, m in move.items()})
+        return model
+
+    def probability(self, parts: Sequence[tuple[str, object]]) -> float:
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, sum(self.weights.get(p, 0.0) for p in parts)))))
 
     def accepts(self, ballot: Column, least: float) -> Column:
         """Whether a ballot's probability reaches `least`, as an expression of literal weights."""
-        kinds = F.create_map(*(F.lit(x) for k, w in self.kinds.items() for x in (k, float(w))))
-        score = F.lit(self.bias) + F.element_at(kinds, ballot.kind)
-        for name, w in zip(LABELERS, self.votes, strict=True):
-            score = score + F.element_at(F.array(*(F.lit(float(w[v])) for v in (-1, 0, 1))), ballot.votes[name] + 2)
+        weight = lambda *p: F.lit(float(self.weights.get(p, 0.0)))
+        kinds = F.create_map(*(x for k in KINDS for x in (F.lit(k), weight("kind", k))))
+        score = weight("bias", 0) + F.element_at(kinds, ballot.kind)
+        for name in LABELERS:
+            score = score + F.element_at(F.array(*(weight(name, v) for v in (-1, 0, 1))), ballot.votes[name] + 2)
+        for name, n in FEATURES.items():
+            score = score + F.element_at(F.array(*(weight(name, v) for v in range(n))), ballot.features[name] + 1)
         return score >= math.log(least / (1 - least))
 
 
