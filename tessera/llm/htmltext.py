@@ -1,17 +1,19 @@
-"""Main text of web pages, by markup and by nearest-URL page differencing.
+"""Main text of web pages, by nearest-URL page differencing, checked by markup.
 
-A page is cut into lines at its block tags. Pages are paired by URL: in the order of host and path each page's
-neighbour is the page before or after it on the same host whose path has most first parts in common. All lines of both,
-those of menus, adverts and footers as well, are aligned by longest common subsequence. Lines they share are the site's
+A page is cut into lines at its block tags, once. Pages are paired by URL: in the order of host and path each page meets the two
+before and the two after it on the same host, those first whose path has most first parts in common. All lines of both,
+those of menus, adverts and footers as well, are aligned by longest common subsequence. A neighbour most of whose lines are shared is a copy and
+says nothing of frames. Lines shared with two other neighbours, or with the only one there is, are the site's
 frame and are deleted. Markup checks this twice. A shared line in a paragraph, heading, list, table or quotation of an
-article (or main part) stays: copies of an article and passages quoted in several pages are its text, not a frame; so
-does an article whose every line is shared. And what stands in menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments goes also where the neighbour has another one; scripts and styles are never lines. Of the
+article (or main part) stays unless neighbours have it at the same place of their articles: passages quoted in several pages are text, not a frame; so
+is an article whose every line is shared. And what stands in menus, headers, footers, sidebars, notices, adverts,
+forms and reader comments goes also where the neighbours have others; scripts and styles are never lines. Of the
 rest, what stands in an article is the text; a page without one has all its other lines, or those of an element named
 as content.
 
-Order and pairs need only URLs and 64-bit line digests: ranks come from a range-partitioned sort, so a
-host with a third of all pages is spread evenly.
+The lines of a page, compressed, and their 64-bit digests are one row. Rows are range-partitioned by URL, so a
+host with a third of all pages is spread evenly, and each partition is one pass with a window of five rows. The first and last four rows of each partition
+are decided afterwards, next to those of the partition beside it: as many short groups as there are partitions.
 
 Cases: null html gives an empty text; a null URL or one without `://` has an empty host and path, and such pages are one
 host. Repeated rows give a row each. Unclosed and crossed tags end with their page at the latest; an article that starts
@@ -22,17 +24,27 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator, Sequence
+import zlib
+from collections import Counter, deque
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import durable, named, parts_of
+from .common import SLICE_BYTES, forget, named, parts_of, stored
 from .urlfilter import host_and_path
 
+#: Share of two pages' lines beyond which they are copies.
+COPY = 0.8
+#: Rows at a partition's beginning and end that are kept for the neighbours beyond it: two to decide and the two that these need.
+EDGE = 4
 #: Elements whose content is never text.
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title form button select textarea option datalist nav menu header footer aside dialog".split())
 #: Elements that an article inside ends, if they were left open.
@@ -179,70 +191,188 @@ def shared(a: Sequence[int], b: Sequence[int]) -> list[int]:
     return sorted(found)
 
 
-def main_lines(lines: Sequence[tuple[int, str]], neighbour: Sequence[int] | None) -> list[str]:
-    """The lines of a page's best part, less those shared with the neighbour's lines (digests), save in an article's running text; an article that is shared whole stays."""
-    best = min(max((rank for rank, _ in lines), default=0), 3)
-    if not best:
-        return []
-    frame = set(shared([digest(t) for _, t in lines], list(neighbour))) if neighbour is not None and len(neighbour) else set()
-    own = [(i, rank, t) for i, (rank, t) in enumerate(lines) if rank >= best]
-    if best == 3 and all(i in frame for i, _, _ in own):
-        frame = set()
-    return [t for i, rank, t in own if rank == 4 or i not in frame]
-
-
 def digest(line: str) -> int:
     """64 bits of a line, as a signed long."""
     h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [[digest(t) for _, t in lines_of(p or "")] for p in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.list_(pa.int64()))], names=["page_id", "url", "digests"])
+class Page(NamedTuple):
+    """A page's row: its lines as text, their digests and ranks."""
+
+    page_id: object
+    url: str | None
+    host: str
+    path: str
+    digests: list[int]
+    ranks: bytes
+    lines: bytes
+
+    def texts(self) -> list[str]:
+        return zlib.decompress(self.lines).decode("utf-8", "surrogatepass").split("\n") if self.digests else []
+
+    def article(self) -> list[int]:
+        """Digests of the lines inside an article, in order."""
+        return [d for d, rank in zip(self.digests, self.ranks, strict=True) if rank >= 3]
+
+
+def common_parts(a: str, b: str) -> int:
+    """How many first parts two paths have in common."""
+    n = 0
+    for x, y in zip(a.split("/"), b.split("/"), strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def frames(page: Page, around: Sequence[Page | None]) -> tuple[set[int], set[int]]:
+    """Places of the page's lines that neighbours of other content share, and of the article lines that two of them have at the same place of their articles.
+
+    around: the rows before and after, nearest first.
+    """
+    near = sorted((p for p in around if p is not None and p.host == page.host), key=lambda p: -common_parts(page.path, p.path))
+    others = []
+    for p in near:
+        places = shared(page.digests, p.digests)
+        if 2 * len(places) <= COPY * (len(page.digests) + len(p.digests)):
+            others.append((p, places))
+    counts = Counter(i for _, places in others for i in places)
+    frame = {i for i, n in counts.items() if n >= min(2, len(others))}
+    own = [i for i, rank in enumerate(page.ranks) if rank >= 3]
+    like: Counter[int] = Counter()
+    for p, places in others:
+        article, held = p.article(), set(places)
+        for k, i in enumerate(own):
+            if i in held and (k < len(article) and article[k] == page.digests[i] or len(own) - k <= len(article) and article[k - len(own)] == page.digests[i]):
+                like[i] += 1
+    return frame, {i for i, n in like.items() if n >= 2}
+
+
+def main_lines(page: Page, around: Sequence[Page | None]) -> list[str]:
+    """The lines of a page's best part, less its frames."""
+    best = min(max(page.ranks, default=0), 3)
+    if not best:
+        return []
+    frame, like = frames(page, around)
+    own = [i for i, rank in enumerate(page.ranks) if rank >= best]
+    gone = {i for i in own if i in frame and (page.ranks[i] < 4 or i in like)}
+    if best == 3 and len(gone) == len(own):
+        gone = set()
+    texts = page.texts()
+    return [texts[i] for i in own if i not in gone]
+
+
+def _text(page: Page, around: Sequence[Page | None]) -> str:
+    return " ".join(main_lines(page, around)).encode("utf-8", "replace").decode()
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, part in parts_of(batch, "html"):
-            rows = zip(part.column("html").to_pylist(), part.column("neighbour").to_pylist(), strict=True)
-            texts = [" ".join(main_lines(lines_of(p or ""), n)).encode("utf-8", "replace").decode() for p, n in rows]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        for part in parts_of(batch, "html"):
+            digests, ranks, lines = [], [], []
+            for p in part.column("html"):
+                found = lines_of(p.as_py() or "")
+                digests.append([digest(t) for _, t in found])
+                ranks.append(bytes(r for r, _ in found))
+                lines.append(zlib.compress("\n".join(t for _, t in found).encode("utf-8", "surrogatepass"), 1))
+            kept = [part.column(c) for c in ("page_id", "url", "host", "path")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(digests, pa.list_(pa.int64())), pa.array(ranks, pa.binary()), pa.array(lines, pa.binary())], names=[*Page._fields])
+
+
+def _pages(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+    """Rows one by one: the page, then further columns."""
+    for batch in batches:
+        columns = [batch.column(c) for c in (*Page._fields, *more)]
+        for i in range(batch.num_rows):
+            values = [c[i].as_py() for c in columns]
+            yield Page(*values[: len(Page._fields)]), *values[len(Page._fields) :]
 
 
-def neighbours(pages: DataFrame) -> DataFrame:
-    """`page_id, url, near_id, near_url` of the distinct pages that have a neighbour on their host."""
-    host, path = host_and_path(F.col("url"))
-    keys = pages.select("page_id", "url", host.alias("host"), path.alias("path")).distinct()
-    ordered = keys.repartitionByRange("host", "path", "url", "page_id").sortWithinPartitions("host", "path", "url", "page_id")
-    ordered = durable(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
-    ordered = ordered.withColumn("place", F.col("place") - F.shiftleft(F.col("part").cast("long"), 33))
-    sizes = dict(ordered.groupBy("part").count().collect())  # one row a partition
-    before, total = {}, 0
-    for part in sorted(sizes):
-        before[part], total = total, total + sizes[part]
-    starts = F.create_map(*(F.lit(x) for p in before for x in (p, before[p]))).cast("map<int,bigint>")
-    ranked = ordered.select("page_id", "url", (F.coalesce(F.try_element_at(starts, F.col("part")), F.lit(0)) + F.col("place")).alias("rank"))
-    near = ranked.select(F.col("rank").alias("near_rank"), F.col("page_id").alias("near_id"), F.col("url").alias("near_url"))
-    asked = ranked.withColumn("near_rank", F.explode(F.array(F.col("rank") - 1, F.col("rank") + 1)))
-    near_host, near_path = host_and_path(F.col("near_url"))
-    met = asked.join(near, "near_rank").select("*", host.alias("host"), path.alias("path"), near_host.alias("near_host"), near_path.alias("near_path")).where("host = near_host")
-    pairs = F.zip_with(F.split("path", "/"), F.split("near_path", "/"), lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    common = F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(1).alias("on")), lambda s, x: F.struct((s.n + s.on * x).alias("n"), (s.on * x).alias("on")), lambda s: s.n)
-    choice = F.max_by(F.struct("near_id", "near_url"), F.struct(common.alias("common"), (-F.col("near_rank")).alias("earlier")))
-    return met.groupBy("rank").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), choice.alias("near")).select("page_id", "url", "near.*")
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def _in_parts(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row) + 64
+        if total > SLICE_BYTES:
+            yield _batch(held, schema)
+            held, total = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _passed(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """A partition's rows in order, each with its text where both neighbours on each side are in it; the first and last `EDGE` rows keep what their texts follow from."""
+    held: deque[tuple[int, Page]] = deque()
+    part = None
+
+    def out(at: int, end: int | None) -> tuple:
+        place = {i: p for i, p in held}
+        page = place[at]
+        whole = at >= 2 and (end is None or at + 2 < end)
+        text = _text(page, [place.get(at + k) for k in (-1, 1, -2, 2)]) if whole else None
+        edge = at < EDGE or end is not None and at >= end - EDGE
+        return (page.page_id, page.url, text, part, at, *(page[2:] if edge else [None] * (len(Page._fields) - 2)))
+
+    n = 0
+    for page, part in rows:  # noqa: B007
+        held.append((n, page))
+        n += 1
+        if n > EDGE:
+            yield out(n - 1 - EDGE, None)
+            while held[0][0] < n - 1 - EDGE - 1:
+                held.popleft()
+    for at in range(max(0, n - EDGE), n):
+        yield out(at, n)
+
+
+def _windows(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = ((page, part) for page, part in _pages(batches, "part"))
+    yield from _in_parts(_passed(rows), schema, lambda r: len(r[2] or "") + len(r[-1] or b""))
+
+
+def _met(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Of chains of neighbouring rows at partitions' edges those without a text, with it."""
+    for _, chain in groupby(rows, key=lambda r: r[1]):
+        near: list[tuple[Page, bool]] = [(page, open_) for page, _, open_ in chain]  # eight rows, and less for each partition with fewer
+        for k, (page, open_) in enumerate(near):
+            if open_:
+                yield page.page_id, page.url, _text(page, [near[k + d][0] if 0 <= k + d < len(near) else None for d in (-1, 1, -2, 2)])
+
+
+def _edges(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _in_parts(_met(_pages(batches, "chain", "open")), schema, lambda r: len(r[2]))
 
 
 def main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """`page_id, url, text` of every page."""
     pages = named(df, page_id=id_col, url=url_col, html=html_col)
-    schema = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    digests = pages.mapInArrow(_digests, f"page_id {schema['page_id']}, url {schema['url']}, digests array<bigint>")
-    one_each = digests.groupBy(F.col("page_id").alias("near_id"), F.col("url").alias("near_url")).agg(F.max_by("digests", F.xxhash64("digests")).alias("digests"))
-    near = neighbours(pages.select("page_id", "url")).alias("n")
-    same = F.col("n.near_id").eqNullSafe(F.col("o.near_id")) & F.col("n.near_url").eqNullSafe(F.col("o.near_url"))
-    aligned = near.join(one_each.alias("o"), same).select("page_id", "url", F.col("digests").alias("neighbour")).alias("a")
-    own = F.col("p.page_id").eqNullSafe(F.col("a.page_id")) & F.col("p.url").eqNullSafe(F.col("a.url"))
-    joined = pages.alias("p").join(aligned, own, "left").select("p.page_id", "p.url", "p.html", "a.neighbour")
-    return joined.mapInArrow(_texts, f"page_id {schema['page_id']}, url {schema['url']}, text string")
+    host, path = host_and_path(F.col("url"))
+    keys = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url {pages.schema['url'].dataType.simpleString()}"
+    rest = "host string, path string, digests array<bigint>, ranks binary, lines binary"
+    parsed = stored(pages.withColumn("host", host).withColumn("path", path).mapInArrow(_parsed, f"{keys}, {rest}"))
+    order = ("host", "path", "url", "page_id")
+    ordered = parsed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    wanted = f"{keys}, text string, part int, place bigint, {rest}"
+    schema = to_arrow_schema(_schema(df, wanted))
+    passed = stored(ordered.mapInArrow(lambda b: _windows(schema, b), wanted))
+    forget(parsed)
+
+    chains, chain = [], 0
+    for part, n in sorted(passed.groupBy("part").count().collect()):  # a row a partition
+        chains.append((part, n, chain, chain := chain + (n >= 2 * EDGE)))
+    of_part = df.sparkSession.createDataFrame(chains, "part int, n bigint, head int, tail int")
+    edges = passed.where("lines is not null").join(F.broadcast(of_part), "part")
+    edges = edges.withColumn("chain", F.when((F.col("place") < EDGE) | (F.col("n") < 2 * EDGE), F.col("head")).otherwise(F.col("tail"))).withColumn("open", F.col("text").isNull())
+    placed = edges.repartition("chain").sortWithinPartitions("chain", "part", "place")
+    texts = to_arrow_schema(_schema(df, f"{keys}, text string"))
+    met = placed.select(*Page._fields, "chain", "open").mapInArrow(lambda b: _edges(texts, b), f"{keys}, text string")
+    return passed.where("text is not null").select("page_id", "url", "text").unionByName(met)
+
+
+def _schema(df: DataFrame, ddl: str) -> StructType:
+    return df.sparkSession.createDataFrame([], ddl).schema
