@@ -7,15 +7,18 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, htmltext, mixing, pii, quality, secrets, simhash, spans, topk, toxicity, urlfilter
-from .common import durable, table
+from .common import stored, table
 
 #: Rules of op3: entry `host/path` and verdict.
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Hosts that op3's list blocks where no rule fits.
-BLOCKED_HOSTS = ("cheap-pills.example.com/", "cheap-pills.example.net/", "spam-farm.example.com/", "spam-farm.example.net/")
+#: The list of hosts that op3 blocks where no rule fits, by rule: two words joined by a hyphen, bare or with the number of a mirror, under each domain.
+BLOCKED_FIRST = ("adult", "ads", "bet", "best", "casino", "cheap", "click", "fast", "free", "hot", "loan", "lucky", "mega", "pop", "prize", "quick", "spam", "super", "top", "win")
+BLOCKED_SECOND = ("bank", "bets", "bonus", "cash", "chat", "clicks", "deals", "farm", "games", "gifts", "loans", "mail", "pills", "play", "pop", "prize", "shop", "slots", "spins", "store", "track", "video", "win", "x", "zone")
+BLOCKED_DOMAINS, BLOCKED_MIRRORS = ("example.com", "example.net", "example.org"), 40
 
-#: Target weights of op9's domains, the languages.
-TARGET_WEIGHTS = {"en": 0.5, "de": 1 / 6, "es": 1 / 6, "fr": 1 / 6}
+#: op9's domains, as the labelled table gives them, and their target weights.
+DOMAIN = "CASE WHEN toxic > 0 THEN 'toxic' WHEN quality = 0 THEN 'poor' WHEN quality > 0 THEN 'good' END"
+TARGET_WEIGHTS = {"good": 0.84, "poor": 0.03, "toxic": 0.13}
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -27,27 +30,37 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
+        F.col("n_inside").alias("n_inside_characters"),
     )
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and places of personal data."""
     rows = pii.looked_at(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = durable(rows.select(F.struct("row.doc_id").alias("row"), "base", "more", "ballots"))
+    rows = stored(rows.select(F.struct("row.doc_id").alias("row"), "base", "more", "ballots"))
     found = pii.decided(rows, pii.trained(rows))
     return found.select(
         "row.doc_id",
         *(spans.count(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE),
         F.sha2(spans.written(F.col("base")), 256).alias("base_sha256"),
         spans.written(F.col("found")).alias("spans"),
+        F.size("found").cast("long").alias("n_spans"),
     )
 
 
+def blocked_hosts(spark: SparkSession) -> DataFrame:
+    """The list of op3 as a table: `entry`."""
+    words = spark.range(1).select(*(F.explode(F.array(*map(F.lit, values))).alias(c) for c, values in (("first", BLOCKED_FIRST),)))
+    words = words.withColumn("second", F.explode(F.array(*map(F.lit, BLOCKED_SECOND)))).withColumn("domain", F.explode(F.array(*map(F.lit, BLOCKED_DOMAINS))))
+    number = words.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(BLOCKED_MIRRORS - 1))))
+    mirror = F.when(F.col("n") == 0, "").otherwise(F.concat(F.lit("-"), F.col("n").cast("string")))
+    return number.select(F.concat("first", F.lit("-"), "second", mirror, F.lit("."), "domain", F.lit("/")).alias("entry"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     rules = spark.createDataFrame(URL_RULES, "entry string, verdict string")
-    blocked = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "entry string")
-    found = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, blocked)
+    found = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, blocked_hosts(spark))
     return found.select("row.page_id", "host", "path", "rule", "verdict")
 
 
@@ -84,12 +97,17 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def domains_of(labels: DataFrame) -> DataFrame:
+    """`doc_id, domain` of a labelled table."""
+    return labels.select("doc_id", F.expr(DOMAIN).alias("domain"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, domain probabilities and rate."""
     documents = table(spark, sf_dir, "documents")
-    model = mixing.fitted(documents, table(spark, sf_dir, "labels"))
+    model = mixing.fitted(documents, domains_of(table(spark, sf_dir, "labels")))
     domains = model.domains if model else []
-    scored = mixing.narrow(mixing.score(documents, model))
+    scored = stored(mixing.score(documents, model))
     found = mixing.with_rates(scored, mixing.solved(scored, domains, TARGET_WEIGHTS))
     return found.select("row.doc_id", "n_tokens", *(F.col("shares")[i].alias(f"p_{d}") for i, d in enumerate(domains)), "rate")
 
@@ -97,7 +115,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and places of secrets."""
     rows = secrets.looked_at(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = durable(rows.select(F.struct("row.doc_id").alias("row"), "base", "more", "tests"))
+    rows = stored(rows.select(F.struct("row.doc_id").alias("row"), "base", "more", "tests"))
     found = secrets.decided(rows, secrets.fitted(rows))
     return found.select(
         "row.doc_id",
@@ -116,16 +134,16 @@ WITH parts AS (
     coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
   FROM pages),
 rules AS (SELECT * FROM (VALUES {", ".join(f"('{e}', '{v}')" for e, v in URL_RULES)}) r(entry, verdict)),
-blocked AS (SELECT * FROM (VALUES {", ".join(f"('{h}')" for h in BLOCKED_HOSTS)}) b(entry)),
+blocked AS (SELECT a || '-' || b || CASE WHEN n = 0 THEN '' ELSE '-' || n END || '.' || d AS host FROM unnest({list(BLOCKED_FIRST)}) x(a), unnest({list(BLOCKED_SECOND)}) y(b), unnest({list(BLOCKED_DOMAINS)}) z(d), range({BLOCKED_MIRRORS}) r(n)),
+ends AS (SELECT page_id, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS suffix, path FROM parts),
+listed AS (SELECT DISTINCT page_id FROM ends JOIN blocked ON suffix = host AND starts_with(path, '/')),
 fits AS (
   SELECT p.page_id, p.host, p.path,
     (SELECT arg_max(entry, length(entry)) FROM rules r
-     WHERE ('.' || p.host) LIKE '%.' || split_part(entry, '/', 1) AND starts_with(p.path, substr(entry, strpos(entry, '/')))) AS rule,
-    (SELECT count(*) FROM blocked b
-     WHERE ('.' || p.host) LIKE '%.' || split_part(entry, '/', 1) AND starts_with(p.path, substr(entry, strpos(entry, '/')))) AS n
+     WHERE ('.' || p.host) LIKE '%.' || split_part(entry, '/', 1) AND starts_with(p.path, substr(entry, strpos(entry, '/')))) AS rule
   FROM parts p)
-SELECT page_id, host, path, f.rule, coalesce(r.verdict, CASE WHEN n > 0 THEN 'block' ELSE 'allow' END) AS verdict
-FROM fits f LEFT JOIN rules r ON f.rule = r.entry""",
+SELECT f.page_id, host, path, f.rule, coalesce(r.verdict, CASE WHEN l.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM fits f LEFT JOIN rules r ON f.rule = r.entry LEFT JOIN listed l ON f.page_id = l.page_id""",
     "op7_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings

@@ -7,6 +7,7 @@ import re
 import pyspark.sql.functions as F
 
 from tessera.llm import pii, queries, secrets, spans
+from tessera.llm.common import stored
 
 NAMES = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 SECRETS = [("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+")]
@@ -69,45 +70,98 @@ def test_queries_equal_brute_force(spark, sf):
             assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
 
 
-def test_numbers_that_run_into_each_other_are_found_by_the_method(spark):
-    private = [f"Call +1 ({a}) 555-{b} today, thanks" for a, b in zip(range(201, 280), range(1000, 9000, 100), strict=False)]
-    cards = [f"Card 4111111111111111 was used {i}" for i in range(40)]
-    plain = [f"Order 1234567890123{i:03d} of the list" for i in range(60)]
-    both = "call +1 (269) 555-3296 4111111111111111 now"
-    df = rows(spark, [*private, *cards, *plain, both, "nothing here"])
-    looked = pii.looked_at(df)
-    found = {r[0]: r[1] for r in pii.decided(looked, pii.trained(looked)).select("row.doc_id", spans.written(F.col("found"))).collect()}
-    n = len(private) + len(cards)
-    assert found[n + len(plain)] == f"phone:{both.index('+')}:{both.index(' 4111')},card:{both.index('4111')}:{both.index(' now')}"
-    assert all(found[i] for i in range(n))
-    brute_plain = [brute(t, NAMES) for t in plain]
-    assert [found[n + i] for i in range(len(plain))] == brute_plain
+def found_by(module, fit, df):
+    """What the method says of each text, and its base spans."""
+    looked = stored(module.looked_at(df))
+    found = module.decided(looked, fit(looked)).select("row.doc_id", spans.written(F.col("found")), spans.written(F.col("base")))
+    return {r[0]: (r[1], r[2]) for r in found.collect()}
 
 
-def test_random_strings_are_secrets_and_words_are_not(spark):
+def with_check_digit(rng, n):
+    digits = "".join(str(rng.randint(0, 9)) for _ in range(n - 1))
+    return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+
+def account(rng, country):
+    digits = "".join(str(rng.randint(0, 9)) for _ in range(pii.IBAN_LENGTHS[country] - 4))
+    return f"{country}{98 - int(''.join(str(int(c, 36)) for c in digits + country + '00')) % 97:02d}{digits}"
+
+
+def test_the_methods_own_personal_data(spark):
+    rng = random.Random(11)
+    private, plain = [], []
+    for i in range(120):
+        a, b, c, name = rng.randint(201, 989), rng.randint(200, 999), rng.randint(1000, 9999), rng.choice(pii.GIVEN_NAMES)
+        private += [
+            f"Please call ({a}) {b}-{c} after noon.",
+            f"Write to {name.lower()} [at] example [dot] {rng.choice(['com', 'org', 'de'])} soon",
+            f"SSN: {rng.randint(1, 664):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d} on file.",
+            f"Pay to account {account(rng, rng.choice(['FR', 'GB', 'ES']))}.",
+            f"The patient, Dr. {name} {rng.choice(['Schmidt', 'Miller', 'Lopez'])}, was seen.",
+            f"phone +1 ({a}) {b}-{c} {with_check_digit(rng, 16)} now",
+        ]
+        plain += [
+            f"isbn 978316{rng.randint(10**7, 10**8 - 1)} of the book",
+            f"version ({rng.randint(100, 999)}) {rng.randint(100, 999)}-{c} build",
+            f"Serial {rng.randint(1, 999):03d}-00-{rng.randint(1, 9999):04d} of part",
+            f"ref AB12 {c} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} page",
+            f"mail a{i}@b.com and 10.0.0.{i}",
+            "nothing to see here",
+        ]
+    found = found_by(pii, pii.trained, rows(spark, [*private, *plain]))
+    own = [found[i][0] != found[i][1] for i in range(len(found))]
+    base = [bool(found[i][1]) for i in range(len(found))]
+    assert sum(own[: len(private)]) / sum(not x for x in base[: len(private)]) >= 0.9
+    assert sum(own[len(private) :]) <= 0.02 * len(plain)
+    assert all(found[i][1] == brute(t, NAMES) for i, t in enumerate([*private, *plain]))
+
+
+def test_account_checksums(spark):
+    df = spark.createDataFrame([("DE89 3704 0044 0532 0130 00",), ("GB29NWBK60161331926819",), ("DE88370400440532013000",), ("XX89370400440532013000",), ("DE8937040044053201300",)], "t string")
+    assert [bool(r[0]) for r in df.select(pii.checks_out(F.col("t"))).collect()] == [True, True, False, False, False]
+
+
+ORDINARY = "configuration server report week path user value list file image module handler service request response factory builder context provider adapter total index order table customer status update".split()
+
+
+def ordinary_runs(rng, n):
+    for _ in range(n):
+        words = [rng.choice(ORDINARY) for _ in range(rng.randint(2, 6))]
+        yield rng.choice(["/".join(words) + str(rng.randint(1, 999)), "".join(w.title() for w in words) + str(rng.randint(0, 99)), "-".join(words) + "-2024-11-27", "_".join(words).upper() + "_1", "_".join(words) + "_v2", "".join(words)])
+
+
+def test_random_strings_by_encoding_and_length(spark):
     rng = random.Random(3)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    drawn = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(50)]
-    plain = ["http/server/path/to/file2", "aaaaaaaaaaaaaaaaaaaaaaaa1", "internationalization2024edition", "abcdefghijklmnopqrstuvwxyz012345", "2024-11-27-report-of-the-week"] * 20
-    df = rows(spark, [f"x {t} y" for t in [*drawn, *plain]])
-    looked = secrets.looked_at(df)
-    found = {r[0]: r[1] for r in secrets.decided(looked, secrets.fitted(looked)).select("row.doc_id", spans.written(F.col("found"))).collect()}
-    assert sum("random:2:42" in found[i] for i in range(50)) >= 45
-    assert not any("random" in found[50 + i] for i in range(len(plain)))
+    drawn = [(name, n, "".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(n))) for name in ("base62", "base64", "base64url", "hex", "base36") for n in (16, 20, 32, 40, 64) for _ in range(30)]
+    fixed = ["http/server/path/to/file2", "aaaaaaaaaaaaaaaaaaaaaaaa1", "internationalization2024edition", "abcdefghijklmnopqrstuvwxyz012345", "2024-11-27-report-of-the-week", "ABABABABABABABABAB12"]
+    plain = [*(x for x in ordinary_runs(rng, 1500) if len(x) >= 16), *fixed * 5]
+    found = found_by(secrets, secrets.fitted, rows(spark, [f"x {t} y" for t in [*(t for _, _, t in drawn), *plain]]))
+    hit = {}
+    for i, (name, n, t) in enumerate(drawn):
+        hit.setdefault((name, n), []).append(f"random:2:{2 + len(t)}" in found[i][0] or f"hex:2:{2 + len(t)}" in found[i][0])
+    for name in ("base62", "base64", "base64url", "hex"):
+        assert sum(map(sum, (v for (k, n), v in hit.items() if k == name and n >= 32))) >= 0.9 * 90, name
+    assert sum(hit["base62", 20]) >= 0.8 * 30
+    false = [t for i, t in enumerate(plain) if "random" in found[len(drawn) + i][0]]
+    assert len(false) <= 0.01 * len(plain), false
 
 
 def test_random_values_after_a_name_are_secrets(spark):
     rng = random.Random(5)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     forms = ["client_id={}", "https://h.example/a?b=1&sig={}&c=2", "SIG={}==", 'x="{}"', "sig: {}"]
-    drawn = [form.format("".join(rng.choice(alphabet) for _ in range(40))) for form in forms for _ in range(20)]
+    drawn = [form.format("".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(40))) for form in forms for _ in range(20)]
     plain = ["path=http/server/path/to/file2", "pad=aaaaaaaaaaaaaaaaaaaaaaaa1", "configuration_value_number_2=report-of-the-week-2024-11-27"] * 20
-    looked = secrets.looked_at(rows(spark, [*drawn, *plain]))
-    found = {r[0]: r[1] for r in secrets.decided(looked, secrets.fitted(looked)).select("row.doc_id", spans.written(F.col("found"))).collect()}
+    found = found_by(secrets, secrets.fitted, rows(spark, [*drawn, *plain]))
     for k, (form, length) in enumerate(zip(forms, (40, 40, 42, 40, 40), strict=True)):
         start = form.index("{")
-        assert sum(f"random:{start}:{start + length}" in found[20 * k + i] for i in range(20)) >= 17, form
-    assert not any("random" in found[len(drawn) + i] for i in range(len(plain)))
+        assert sum(f"random:{start}:{start + length}" in found[20 * k + i][0] for i in range(20)) >= 17, form
+    assert not any("random" in found[len(drawn) + i][0] for i in range(len(plain)))
+
+
+def test_step_up_rule():
+    counts = {("base62 32", 50): 10, ("base62 32", 20): 5, ("base62 32", -10): 985, ("hex 16", 25): 3}
+    assert secrets.thresholds(counts) == {"base62 32": 50, "hex 16": 25}
+    assert secrets.thresholds({("base62 32", 10): 50}) == {}
 
 
 def test_masked_text_and_odd_rows(spark):
