@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 
+from . import carry
 from .lineage import forget, stored, unused
 
 
@@ -42,14 +43,78 @@ def entries(records: DataFrame, same: DataFrame) -> DataFrame:
     return found.join(least, ["root", "kind"]).select("record", "kind", F.sha2("least", 256).alias("entry"))
 
 
-def blocked_pairs(records: DataFrame, record: str, block: Sequence[str], origin: str | None = None) -> DataFrame:
-    """`record, other` of records that agree on the block's columns, the smaller first; with `origin` also the sorted origins that join them."""
+# Links: enough pairs to connect all that a rule joins, one or two for each record instead of every pair of a block
+
+
+def linked(records: DataFrame, record: str, block: Sequence[str]) -> DataFrame:
+    """`record, other`: each record that shares a block's columns, none null, with the block's least. The least is found by a partial aggregation."""
+    rows = records.select(F.col(record).alias("record"), *block).dropna(subset=list(block)).distinct()
+    least = rows.groupBy(*block).agg(F.min("record").alias("other"), F.count("*").alias("_held")).where("_held > 1")
+    return rows.join(least, list(block)).where("record <> other").select("record", "other").distinct()
+
+
+def linked_unequal(records: DataFrame, record: str, block: Sequence[str], differing: str) -> DataFrame:
+    """`record, other` of one block with different values of a column: each record with the least record of another value than its own.
+
+    Two rows a block decide: the least record, and the least of those with another value than that one's.
+    """
+    rows = records.select(F.col(record).alias("record"), *block, F.col(differing).alias("_own")).dropna(subset=[*block, "_own"])
+    values = rows.groupBy(*block, "_own").agg(F.min("record").alias("least"))
+    order = Window.partitionBy(*block).orderBy("least")
+    first = values.withColumn("place", F.row_number().over(order)).where("place <= 2")
+    pair = first.groupBy(*block).agg(F.min_by("least", "place").alias("one"), F.min_by("_own", "place").alias("one_own"), F.max_by("least", "place").alias("two"), F.max("place").alias("n")).where("n = 2")
+    met = rows.join(pair, list(block)).select("record", F.when(F.col("_own") == F.col("one_own"), F.col("two")).otherwise(F.col("one")).alias("other"))
+    return met.select(F.least("record", "other").alias("record"), F.greatest("record", "other").alias("other")).distinct()
+
+
+def overlap_links(spans: DataFrame, record: str, block: Sequence[str], start: str, end: str, bucket: Column) -> DataFrame:
+    """`record, other` of one block whose closed intervals overlap: each with the one that reaches furthest of those that start no later.
+
+    bucket: a column that never falls as `start` grows (a month, say): a block with many intervals is many tasks. An interval without a start joins nothing; one without an end never ends.
+    """
+    rows = spans.where(F.col(start).isNotNull())
+    reach = F.struct(F.col(end).isNull().alias("open"), F.col(end).alias("end"), F.col(record).alias("other"))
+    met = carry.before(rows, block, [start, record], bucket, reach, "_reach")
+    return met.where(F.col("_reach.open") | (F.col("_reach.end") >= F.col(start))).select(F.col(record).alias("record"), F.col("_reach.other").alias("other"))
+
+
+def grown(notes: DataFrame, note: str, text: str, block: Sequence[str]) -> DataFrame:
+    """`record, other`: notes of one block of which the second's text begins or ends, by whole lines, with the first's.
+
+    Equality of digests: each note has one for every beginning and every end of whole lines, and meets the notes whose whole text it is.
+    """
+    rows = notes.where(F.length(text) > 0).select(F.col(note).alias("note"), *block, F.col(text).alias("_text"), F.split(text, "\n").alias("_lines"))
+    n = F.size("_lines")
+    cuts = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    whole = lambda lines: F.xxhash64(F.array_join(lines, "\n"))
+    parts = F.flatten(F.transform(cuts, lambda k: F.array(whole(F.slice("_lines", F.lit(1), k)), whole(F.slice("_lines", k + 1, n)))))
+    longer = rows.select(F.col("note").alias("other"), *block, F.col("_text").alias("_longer"), F.explode(F.array_distinct(parts)).alias("_digest"))
+    met = rows.select("note", *block, "_text", F.xxhash64("_text").alias("_digest")).join(longer, [*block, "_digest"])
+    extends = F.startswith(F.col("_longer"), F.concat("_text", F.lit("\n"))) | F.endswith(F.col("_longer"), F.concat(F.lit("\n"), F.col("_text")))
+    return met.where(extends).select(F.col("note").alias("record"), "other").distinct()
+
+
+# Pairs: where every pair is asked for
+
+
+def blocked_pairs(records: DataFrame, record: str, block: Sequence[str], origin: str | None = None, *, most: int | None = None) -> DataFrame:
+    """`record, other` of records that agree on the block's columns, the smaller first; with `origin` also the sorted origins that join them.
+
+    Rows grow with the square of a block. With `most`, blocks of more records are left out; `full_blocks` names them, and `linked` connects them.
+    """
+    if most is not None:
+        records = records.join(full_blocks(records, record, block, most).select(*block), list(block), "left_anti")
     one = records.select(F.col(record).alias("record"), *block, *([F.col(origin).alias("origin")] if origin else []))
     two = records.select(F.col(record).alias("other"), *block)
     met = one.join(two, list(block)).where("record < other")
     return met.groupBy("record", "other").agg(F.array_sort(F.collect_set("origin")).alias("origins")) if origin else met.select("record", "other").distinct()
 
 
+def full_blocks(records: DataFrame, record: str, block: Sequence[str], most: int) -> DataFrame:
+    """The block's columns and `n_records` of the blocks with more than `most` records."""
+    return records.groupBy(*block).agg(F.countDistinct(record).alias("n_records")).where(F.col("n_records") > most)
+
+
 def overlapping(spans: DataFrame, record: str, block: Sequence[str], start: str, end: str) -> DataFrame:
     """`record, other` of one block whose closed intervals overlap, the smaller record first."""
     one = spans.select(F.col(record).alias("record"), *block, F.col(start).alias("s1"), F.col(end).alias("e1"))
@@ -59,14 +124,47 @@ def overlapping(spans: DataFrame, record: str, block: Sequence[str], start: str,
 
 def one_to_one(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """The pairs whose two members are in no other pair."""
-    left = pairs.groupBy(a).agg(F.count("*").alias("_n")).where("_n = 1").select(a)
-    right = pairs.groupBy(b).agg(F.count("*").alias("_n")).where("_n = 1").select(b)
+    n = unused(pairs, "_n")
+    left = pairs.groupBy(a).agg(F.count("*").alias(n)).where(F.col(n) == 1).select(a)
+    right = pairs.groupBy(b).agg(F.count("*").alias(n)).where(F.col(n) == 1).select(b)
     return pairs.join(left, a, "left_semi").join(right, b, "left_semi")
 
 
+def mapped_codes(rows: DataFrame, code: str, target: str, version: str) -> DataFrame:
+    """`code, other, origins`: different codes that one table version maps to one target, with the sorted versions that do. As many rows as the table's codes allow, whatever the records."""
+    one = rows.select(F.col(code).alias("code"), F.col(target).alias("_target"), F.col(version).alias("origin")).distinct()
+    met = one.join(one.withColumnRenamed("code", "other"), ["_target", "origin"]).where("code < other")
+    return met.groupBy("code", "other").agg(F.array_sort(F.collect_set("origin")).alias("origins"))
+
+
+def near_codes(rows: DataFrame, a: str, b: str, version: str) -> DataFrame:
+    """`code, other, hops`: different codes one or two rows of one table version apart, the fewest hops."""
+    edge = rows.select(F.col(a).alias("x"), F.col(b).alias("y"), F.col(version).alias("v")).dropna().distinct()
+    both = edge.unionByName(edge.select(F.col("y").alias("x"), F.col("x").alias("y"), "v")).distinct()
+    two = both.join(both.select(F.col("x").alias("y"), F.col("y").alias("z"), "v"), ["y", "v"]).select("x", F.col("z").alias("y"), F.lit(2).alias("hops"))
+    every = both.select("x", "y", F.lit(1).alias("hops")).unionByName(two).where("x < y")
+    return every.groupBy(F.col("x").alias("code"), F.col("y").alias("other")).agg(F.min("hops").alias("hops"))
+
+
+def found_once(records: DataFrame, record: str, code: str, listed: DataFrame) -> DataFrame:
+    """`record, found` of the records of whose codes the table (`code, found`) finds exactly one different row; the others are left out."""
+    met = records.select(F.col(record).alias("record"), F.col(code).alias("code")).join(listed, "code")
+    return met.groupBy("record").agg(F.min("found").alias("found"), F.max("found").alias("_most")).where("found = _most").drop("_most")
+
+
+def one_time(records: DataFrame, block: Sequence[str], time: str) -> DataFrame:
+    """The records of the blocks in which all that have a time have the same one."""
+    agreed = records.groupBy(*block).agg(F.min(time).alias("_low"), F.max(time).alias("_high")).where("_low <=> _high").select(*block)
+    return records.join(agreed, list(block), "left_semi")
+
+
+# What is derived
+
+
 def least_of_each(records: DataFrame, entry: Sequence[str], order: Sequence[F.Column]) -> DataFrame:
     """The first row of each entry in the order, which has to be total."""
-    return records.withColumn("_n", F.row_number().over(Window.partitionBy(*entry).orderBy(*order))).where("_n = 1").drop("_n")
+    place = unused(records, "_place")
+    return records.withColumn(place, F.row_number().over(Window.partitionBy(*entry).orderBy(*order))).where(F.col(place) == 1).drop(place)
 
 
 def heads(revisions: DataFrame, revision: str, previous: str) -> DataFrame:
@@ -77,3 +175,16 @@ def heads(revisions: DataFrame, revision: str, previous: str) -> DataFrame:
 def first_arrivals(arrivals: DataFrame, key: Sequence[str], order: Sequence[F.Column]) -> DataFrame:
     """Of arrivals with the same key the first; what came again writes nothing."""
     return least_of_each(arrivals, key, order)
+
+
+def descent(revisions: DataFrame, revision: str, previous: str, *, most_rounds: int = 64) -> DataFrame:
+    """`revision, first, steps`: the revision that each goes back to, and over how many steps. Paths double each round; a line that leads back to itself is an error."""
+    line = stored(revisions.select(F.col(revision).alias("revision"), F.coalesce(F.col(previous), F.col(revision)).alias("first"), F.col(previous).isNotNull().cast("long").alias("steps")))
+    for _ in range(most_rounds):
+        further = line.select(F.col("revision").alias("first"), F.col("first").alias("_next"), F.col("steps").alias("_more"))
+        longer = stored(line.join(further, "first", "left").select("revision", F.coalesce("_next", "first").alias("first"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps")))
+        if longer.join(line.select("revision", F.col("first").alias("_was")), "revision").where("first <> _was").isEmpty():
+            return longer
+        forget(line)
+        line = longer
+    raise ValueError("a line of revisions leads back to itself")

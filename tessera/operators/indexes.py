@@ -10,6 +10,8 @@ from collections.abc import Sequence
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from .lineage import unused
+
 #: Fewest digits of a handle.
 LEAST_DIGITS = 8
 
@@ -36,7 +38,7 @@ def fingerprint(rows: DataFrame, text: str, by: Sequence[str] = ()) -> DataFrame
 
     Texts are made distinct by their digests and summed partially before any row of a group moves.
     """
-    digests = rows.where(F.col(text).isNotNull()).select(*by, F.substring(F.sha2(text, 256), 1, 64).alias("_digest")).distinct()
+    digests = rows.where(F.col(text).isNotNull()).select(*by, F.sha2(text, 256).alias("_digest")).distinct()
     number = F.conv(F.substring("_digest", 1, 12), 16, 10).cast("decimal(20,0)")
     return digests.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum(number), F.lit(0)).cast("decimal(38,0)").alias("fingerprint"))
 
@@ -46,11 +48,13 @@ def resolved(asked: DataFrame, handle: str, held: DataFrame, digits: str) -> Dat
 
     The first digits are the join's key, so no handle meets all rows.
     """
-    key = lambda c: F.substring(c, 1, LEAST_DIGITS)
-    wanted = asked.select(handle).where(F.length(handle) >= LEAST_DIGITS).distinct().withColumn("_key", key(handle))
-    met = wanted.join(held.withColumn("_key", key(digits)), "_key").where(F.startswith(F.col(digits), F.col(handle))).drop("_key")
+    held = held.select(*(F.col(c) for c in held.columns if c != handle))
+    key, n = unused(held, "_key"), unused(held, "_n")
+    first = lambda c: F.substring(c, 1, LEAST_DIGITS)
+    wanted = asked.select(handle).where(F.length(handle) >= LEAST_DIGITS).distinct().withColumn(key, first(handle))
+    met = wanted.join(held.withColumn(key, first(digits)), key).where(F.startswith(F.col(digits), F.col(handle))).drop(key)
     others = [c for c in met.columns if c != handle]
-    one = met.groupBy(handle).agg(F.count("*").alias("_n"), *(F.min(c).alias(c) for c in others)).where("_n = 1").drop("_n")
+    one = met.groupBy(handle).agg(F.count("*").alias(n), *(F.min(c).alias(c) for c in others)).where(F.col(n) == 1).drop(n)
     return asked.join(one, handle)
 
 

@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import literals, terms
 from .operators import changes, entries, indexes, paging, shapes, tables
 from .plans import patterns
+from .registry import ORACLE_SQL, QUERIES, query
+from .registry import table as _t
 from .sources import quads, stores
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 PAGE_AFTER, PAGE_SIZE = 1000, 25
 STATUSES = ("P", "F")
 
 
-def query(sql: str) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
-        return f
-
-    return register
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 def _graph(spark: SparkSession, sf: str) -> DataFrame:
     """Nations, regions, customers and suppliers as quads, the nations in two graphs."""
     nation = _t(spark, sf, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("inRegion"))
@@ -44,6 +28,11 @@ def _graph(spark: SparkSession, sf: str) -> DataFrame:
     return patterns.union(region, *nations, customer, supplier)
 
 
+def _apart(spark: SparkSession, sf: str) -> DataFrame:
+    """The union graph of all but the copy of the nations: graphs that share no triple."""
+    return patterns.union_graph(_graph(spark, sf), ["geo", "people"], disjoint=True)
+
+
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
     return quads.quads_of(_t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey", "order", "orders", {"o_custkey": "customer"})
 
@@ -53,14 +42,14 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey::VARCHAR AS o, o_custkey::VARCHAR AS c, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'F'")
 def bgp_star(spark: SparkSession, sf: str) -> DataFrame:
-    g = patterns.union_graph(_orders(spark, sf))
+    g = patterns.union_graph(_orders(spark, sf), disjoint=True)
     found = patterns.join(patterns.pattern(g, "?o", "<o_orderstatus>", '"F"'), patterns.pattern(g, "?o", "<o_custkey>", "?c"), patterns.pattern(g, "?o", "<o_orderpriority>", "?priority"))
     return found.select(*(quads.value(F.col(c)).alias(c) for c in ("o", "c", "priority")))
 
 
 @query("SELECT c_custkey::VARCHAR AS c, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def bgp_chain(spark: SparkSession, sf: str) -> DataFrame:
-    g = patterns.union_graph(_graph(spark, sf))
+    g = _apart(spark, sf)
     steps = [("?c", "<inNation>", "?n"), ("?c", "<c_mktsegment>", "?segment"), ("?n", "<n_name>", "?nation"), ("?n", "<inRegion>", "?r"), ("?r", "<r_name>", "?region")]
     return patterns.join(*(patterns.pattern(g, *s) for s in steps)).select(*(quads.value(F.col(c)).alias(c) for c in ("c", "nation", "region")))
 
@@ -124,14 +113,14 @@ def graph_scope(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH RECURSIVE e(a, b) AS (SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey FROM customer UNION SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier
 UNION SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation), r(a, b) AS (SELECT a, a FROM e UNION SELECT b, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r""")
 def path_star(spark: SparkSession, sf: str) -> DataFrame:
-    g = patterns.union_graph(_graph(spark, sf))
+    g = _apart(spark, sf)
     edges = patterns.union(*(patterns.pattern(g, "?a", p, "?b") for p in ("<inNation>", "<inRegion>")))
     return patterns.closure(edges).select(*(F.translate(c, "<>", "").alias(c) for c in "ab"))
 
 
 @query("SELECT s, count(*)::BIGINT AS n FROM (SELECT 'nation/' || c_nationkey AS s FROM customer UNION ALL SELECT 'nation/' || s_nationkey FROM supplier) GROUP BY 1")
 def path_inverse_count(spark: SparkSession, sf: str) -> DataFrame:
-    found = patterns.pattern(patterns.union_graph(_graph(spark, sf)), "?x", "<inNation>", "?s")
+    found = patterns.pattern(_apart(spark, sf), "?x", "<inNation>", "?s")
     return found.groupBy(F.translate("s", "<>", "").alias("s")).agg(F.count("*").alias("n"))
 
 
@@ -190,10 +179,11 @@ def day_equal(spark: SparkSession, sf: str) -> DataFrame:
     return entries.blocked_pairs(_t(spark, sf, "events").withColumn("day", F.to_date("ts")), "event_id", ["user_id", "event_type", "day"])
 
 
-@query("""WITH p AS (SELECT DISTINCT p_brand AS a, p_name AS b FROM part WHERE p_size > 48)
+@query("""WITH p AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS a, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS b FROM pages)
 SELECT a, b FROM p WHERE a IN (SELECT a FROM p GROUP BY a HAVING count(*) = 1) AND b IN (SELECT b FROM p GROUP BY b HAVING count(*) = 1)""")
 def one_to_one(spark: SparkSession, sf: str) -> DataFrame:
-    return entries.one_to_one(_t(spark, sf, "part").where("p_size > 48").select(F.col("p_brand").alias("a"), F.col("p_name").alias("b")).distinct(), "a", "b")
+    parts = [F.regexp_extract("url", p, 1) for p in ("://([^/?#]*)", "://[^/?#]*([^?#]*)")]
+    return entries.one_to_one(_t(spark, sf, "pages").select(parts[0].alias("a"), parts[1].alias("b")).distinct(), "a", "b")
 
 
 @query("SELECT p_brand, p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS n FROM part) WHERE n = 1")
@@ -219,7 +209,7 @@ def dedupe_arrivals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, value, before FROM (SELECT *, max(value) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before > value")
 def went_back(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.went_back(_t(spark, sf, "events"), ["user_id", "event_type"], "ts", "value").select("event_id", "value", "before")
+    return tables.went_back(_t(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value", F.to_date("ts")).select("event_id", "value", "before")
 
 
 # Measurements
@@ -246,9 +236,10 @@ def event_sides(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_SIDES + """SELECT event, test, round(abs(after_mean - before_mean) / greatest(sqrt(q / (before_n + after_n - 2)), abs(before_mean) * 0.01, 2.220446049250313e-16), 4) AS score,
-CASE WHEN after_mean > before_mean THEN 'up' WHEN after_mean < before_mean THEN 'down' ELSE 'same' END AS direction FROM s WHERE before_n >= 3 AND after_n >= 3""")
+CASE WHEN after_mean > before_mean THEN 'up' ELSE 'down' END AS direction FROM s WHERE before_n >= 3 AND after_n >= 3
+UNION ALL SELECT event, test, 0, 'not enough results' FROM s WHERE before_n > 0 AND after_n > 0 AND (before_n < 3 OR after_n < 3)""")
 def change_score(spark: SparkSession, sf: str) -> DataFrame:
-    return changes.scored(_sides(spark, sf)).where("direction <> 'not enough results'").select("event", "test", F.round("score", 4).alias("score"), "direction")
+    return changes.scored(_sides(spark, sf)).select("event", "test", F.round("score", 4).alias("score"), "direction")
 
 
 @query("SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(ts), event_type) AS n FROM events GROUP BY 1, 2) WHERE n = 1")
@@ -256,16 +247,17 @@ def majority_unit(spark: SparkSession, sf: str) -> DataFrame:
     return changes.majority_unit(_t(spark, sf, "events"), "user_id", "event_type", "ts")
 
 
-@query("SELECT o_custkey AS drug, strftime(min(o_orderdate), '%Y-%m-%d') AS started, strftime(max(o_orderdate), '%Y-%m-%d') AS ended FROM orders GROUP BY 1")
+@query("""SELECT l_partkey AS drug, strftime(min(o_orderdate), '%Y-%m-%d') AS started, strftime(max(l_shipdate), '%Y-%m-%d') AS ended FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
 def therapy_fold(spark: SparkSession, sf: str) -> DataFrame:
-    found = changes.therapies(_t(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_orderdate")
+    lineitem, orders = _t(spark, sf, "lineitem"), _t(spark, sf, "orders")
+    found = changes.therapies(lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey), "l_partkey", "o_orderdate", "l_shipdate")
     return found.select("drug", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("started", "ended")))
 
 
-@query("""WITH x AS (SELECT DISTINCT l_suppkey AS r, l_partkey AS e, s_nationkey AS g FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45)
+@query("""WITH x AS (SELECT DISTINCT l_suppkey AS r, l_partkey AS e, s_nationkey AS g FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
 SELECT a.r AS record, b.r AS other, min(a.e) AS first_shared, count(*) AS n_shared FROM x a JOIN x b ON a.e = b.e AND a.r < b.r AND a.g <> b.g GROUP BY 1, 2""")
 def shared_ingredient_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    lineitem, supplier = _t(spark, sf, "lineitem").where("l_quantity > 45"), _t(spark, sf, "supplier")
+    lineitem, supplier = _t(spark, sf, "lineitem"), _t(spark, sf, "supplier")
     return changes.shared_element_pairs(lineitem.join(supplier, lineitem.l_suppkey == supplier.s_suppkey), "l_suppkey", "l_partkey", "s_nationkey")
 
 
@@ -286,7 +278,7 @@ def offset_page(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT o_orderkey, sum(starts) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::BIGINT AS run FROM (SELECT *,
 CASE WHEN lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = o_orderstatus THEN 0 ELSE 1 END AS starts FROM orders)""")
 def row_run_page(spark: SparkSession, sf: str) -> DataFrame:
-    return paging.runs(_t(spark, sf, "orders"), ["o_custkey"], [F.asc("o_orderkey")], "o_orderstatus").select("o_orderkey", F.col("run").cast("long").alias("run"))
+    return paging.runs(_t(spark, sf, "orders"), ["o_custkey"], ["o_orderkey"], "o_orderstatus", F.floor(F.col("o_orderkey") / 65_536)).select("o_orderkey", F.col("run").cast("long").alias("run"))
 
 
 @query("""WITH d AS (SELECT c_custkey, sha256(c_custkey::VARCHAR) AS h FROM customer), w AS (SELECT *, coalesce(lag(h) OVER (ORDER BY h), '') AS p, coalesce(lead(h) OVER (ORDER BY h), '') AS q FROM d)
@@ -301,7 +293,7 @@ y AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN
 SELECT l_orderkey, count(*) FILTER (WHERE s > b) AS n_gaps, min(s) AS covered_from, max(e) AS covered_to FROM y GROUP BY 1""")
 def coverage_gap(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("l_linenumber").cast("long")
-    return paging.gaps(_t(spark, sf, "lineitem").select("l_orderkey", n.alias("s"), (n + 1).alias("e")), ["l_orderkey"], "s", "e")
+    return paging.gaps(_t(spark, sf, "lineitem").select("l_orderkey", n.alias("s"), (n + 1).alias("e")), ["l_orderkey"], "s", "e", F.floor(F.col("s") / 1024))
 
 
 # Differences, refresh, preference
@@ -386,9 +378,13 @@ def token_costs(spark: SparkSession, sf: str) -> DataFrame:
 # Scalar functions
 
 
-@query("SELECT page_id, regexp_extract(url, '([^/#]*)$', 1) AS notation FROM pages WHERE regexp_extract(url, '([^/#]*)$', 1) <> '' AND NOT contains(url, '%')")
+_LAST = "regexp_extract(url || CASE WHEN page_id % 3 = 0 THEN '%20a%C3%A9+b' ELSE '' END, '([^/#]*)$', 1)"
+
+
+@query(f"SELECT page_id, url_decode({_LAST}) AS notation FROM pages WHERE {_LAST} <> ''")
 def code_notation(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "pages").where("not contains(url, '%')").select("page_id", terms.notation_of(F.col("url")).alias("notation")).where("notation is not null")
+    url = F.concat("url", F.when(F.col("page_id") % 3 == 0, "%20a%C3%A9+b").otherwise(""))
+    return _t(spark, sf, "pages").select("page_id", terms.notation_of(url).alias("notation")).where("notation is not null")
 
 
 @query("SELECT p_partkey, 'http://codes.example/' || url_encode(p_name || ' *~/é') AS iri FROM part")
@@ -396,14 +392,20 @@ def iri_encode(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "part").select("p_partkey", terms.code_iri("http://codes.example/", F.concat("p_name", F.lit(" *~/é"))).alias("iri"))
 
 
-@query("SELECT c_custkey, 'ni:///sha-256;' || rtrim(replace(replace(base64(unhex(sha256(c_name))), '+', '-'), '/', '_'), '=') AS name, lower(c_mktsegment) AS kind FROM customer")
+@query("SELECT c_custkey, 'ni:///sha-256;' || rtrim(replace(replace(base64(unhex(sha256(c_name || 'é😀'))), '+', '-'), '/', '_'), '=') AS name, lower(c_mktsegment || 'ÀÉ') AS kind FROM customer")
 def sha_name(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "customer").select("c_custkey", terms.document_name(F.col("c_name")).alias("name"), F.lower("c_mktsegment").alias("kind"))
+    return _t(spark, sf, "customer").select("c_custkey", terms.document_name(F.concat("c_name", F.lit("é😀"))).alias("name"), F.lower(F.concat("c_mktsegment", F.lit("ÀÉ"))).alias("kind"))
 
 
-@query("SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '\\p{L}+|\\p{N}+'), lambda w: true))::BIGINT AS n FROM documents")
+_MONTHS = "['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec']"
+_MONTH_WORDS = "'^(january|february|march|april|june|july|august|september|sept|october|november|december)$'"
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '\\p{{L}}+|\\p{{N}}+'), lambda w: w NOT IN ('t', 'z', 'utc')) AS words FROM documents)
+SELECT doc_id, array_to_string(list_transform(words, lambda w: CASE WHEN list_position({_MONTHS}, w[:3]) > 0 AND (length(w) = 3 OR regexp_matches(w, {_MONTH_WORDS}))
+THEN list_position({_MONTHS}, w[:3])::VARCHAR ELSE regexp_replace(w, '^0+(\\p{{N}})', '\\1') END), ' ') AS words FROM w""")
 def word_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").select("doc_id", F.size(terms.word_tokens(F.col("text"))).cast("long").alias("n"))
+    return _t(spark, sf, "documents").select("doc_id", F.array_join(terms.word_tokens(F.col("text")), " ").alias("words"))
 
 
 @query("SELECT conv_id, turn, list_max(regexp_extract_all(text, '\\b(?:19|20)\\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\\d|3[01])\\b')) AS latest FROM conversations")
@@ -530,3 +532,6 @@ def written_days(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"SELECT conv_id, turn FROM conversations WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])the($|[^\p{L}\p{N}])')")
 def word_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "conversations").where(terms.mentions(F.col("text"), "The")).select("conv_id", "turn")
+
+
+from . import matching_queries, record_queries, term_queries  # noqa: E402, F401  (they register their own)
