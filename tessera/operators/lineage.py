@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder and read back: a plan of one scan, whatever made them. `forget` deletes them."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._stored_at = path
     return found

@@ -348,12 +348,12 @@ def shape_targets(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.focus_nodes(graph, subjects_of=["<inNation>"], objects_of=["<inNation>"], nodes=["<region/2>"]).select(F.translate("node", "<>", "").alias("node"))
 
 
-@query("""SELECT o_custkey AS node, 'order ' || o_orderkey || ' costs ' || (o_totalprice::BIGINT) AS message FROM orders WHERE o_totalprice > 400000""")
+@query("""SELECT o_custkey AS node, 'order ' || o_orderkey || ' costs ' || (floor(o_totalprice)::BIGINT) AS message FROM orders WHERE o_totalprice > 400000""")
 def shape_query(spark: SparkSession, sf: str) -> DataFrame:
     """A constraint that is a query, with a message for each row it finds."""
     orders = table(spark, sf, "orders")
     nodes = orders.select(F.col("o_custkey").alias("node"))
-    rows = orders.where("o_totalprice > 400000").select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("order"), F.round("o_totalprice").cast("long").alias("price"))
+    rows = orders.where("o_totalprice > 400000").select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("order"), F.floor("o_totalprice").cast("long").alias("price"))
     return shapes.query_violations(nodes, rows, "order {order} costs {price}").select("node", "message")
 
 
