@@ -11,9 +11,9 @@ forms and reader comments goes also where the neighbours have others; scripts an
 rest, what stands in an article is the text; a page without one has all its other lines, or those of an element named
 as content.
 
-The lines of a page, compressed, and their 64-bit digests are one row. Rows are range-partitioned by URL, so a
-host with a third of all pages is spread evenly, and each partition is one pass with a window of five rows. The first and last four rows of each partition
-are decided afterwards, next to those of the partition beside it: as many short groups as there are partitions.
+The lines of a page, compressed, and their 64-bit digests are one row. The URLs alone are range-partitioned first, which gives the bounds of parts of even size; the one pass over the pages
+deals its rows to these, so a host with a third of all pages is spread evenly, and each part is one pass with a window of five rows. The first and last four rows of each part
+are decided afterwards, next to those of the part beside it: as many short groups as there are parts.
 
 Cases: null html gives an empty text; a null URL or one without `://` has an empty host and path, and such pages are one
 host. Repeated rows give a row each. Unclosed and crossed tags end with their page at the latest; an article that starts
@@ -25,6 +25,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import SLICE_BYTES, forget, named, parts_of, stored
+from .common import SLICE_BYTES, named, parts_of, stored
 from .urlfilter import host_and_path
 
 #: Share of two pages' lines beyond which they are copies.
@@ -267,7 +268,8 @@ def _text(page: Page, around: Sequence[Page | None]) -> str:
     return " ".join(main_lines(page, around)).encode("utf-8", "replace").decode()
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(bounds: list[tuple], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parsed rows with their part: the first whose largest key isn't below the row's."""
     for batch in batches:
         for part in parts_of(batch, "html"):
             digests, ranks, lines = [], [], []
@@ -277,7 +279,9 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ranks.append(bytes(r for r, _ in found))
                 lines.append(zlib.compress("\n".join(t for _, t in found).encode("utf-8", "surrogatepass"), 1))
             kept = [part.column(c) for c in ("page_id", "url", "host", "path")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(digests, pa.list_(pa.int64())), pa.array(ranks, pa.binary()), pa.array(lines, pa.binary())], names=[*Page._fields])
+            keys = zip(*(part.column(c).to_pylist() for c in ("host", "path", "address", "spread")), strict=True)
+            parts = pa.array([bisect_left(bounds, k) for k in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(digests, pa.list_(pa.int64())), pa.array(ranks, pa.binary()), pa.array(lines, pa.binary()), part.column("spread"), parts], names=[*Page._fields, "spread", "part"])
 
 
 def _pages(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
@@ -306,7 +310,7 @@ def _in_parts(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple],
 
 
 def _passed(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """A partition's rows in order, each with its text where both neighbours on each side are in it; the first and last `EDGE` rows keep what their texts follow from."""
+    """A part's rows in order, each with its text where both neighbours on each side are in it; the first and last `EDGE` rows keep what their texts follow from."""
     held: deque[tuple[int, Page]] = deque()
     part = None
 
@@ -331,8 +335,8 @@ def _passed(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 
 def _windows(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = ((page, part) for page, part in _pages(batches, "part"))
-    yield from _in_parts(_passed(rows), schema, lambda r: len(r[2] or "") + len(r[-1] or b""))
+    parts = groupby(_pages(batches, "part"), key=lambda r: r[1])
+    yield from _in_parts((row for _, rows in parts for row in _passed(rows)), schema, lambda r: len(r[2] or "") + len(r[-1] or b""))
 
 
 def _met(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -354,13 +358,15 @@ def main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", h
     host, path = host_and_path(F.col("url"))
     keys = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url {pages.schema['url'].dataType.simpleString()}"
     rest = "host string, path string, digests array<bigint>, ranks binary, lines binary"
-    parsed = stored(pages.withColumn("host", host).withColumn("path", path).mapInArrow(_parsed, f"{keys}, {rest}"))
-    order = ("host", "path", "url", "page_id")
-    ordered = parsed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    pages = pages.select("*", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("address"), F.xxhash64("page_id").alias("spread"))
+    order = ("host", "path", "address", "spread")
+    ranged = pages.select(*order).repartitionByRange(*order).select(F.struct(*order).alias("key"), F.spark_partition_id().alias("part"))
+    bounds = sorted(tuple(r.key) for r in ranged.groupBy("part").agg(F.max("key").alias("key")).collect())  # a row a part
+    parsed = pages.mapInArrow(lambda b: _parsed(bounds, b), f"{keys}, {rest}, spread bigint, part int")
+    ordered = parsed.repartition("part").sortWithinPartitions("part", "host", "path", F.coalesce("url", F.lit("")), "spread")
     wanted = f"{keys}, text string, part int, place bigint, {rest}"
     schema = to_arrow_schema(_schema(df, wanted))
     passed = stored(ordered.mapInArrow(lambda b: _windows(schema, b), wanted))
-    forget(parsed)
 
     chains, chain = [], 0
     for part, n in sorted(passed.groupBy("part").count().collect()):  # a row a partition

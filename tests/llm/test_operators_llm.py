@@ -283,9 +283,9 @@ def test_pairing_and_alignment_do_not_depend_on_partitions(spark):
     for i in range(300):
         host = rng.choice(["big.org"] * 4 + ["a.net", "b.net"])
         lines = [f"<p>frame {host} {k}</p>" for k in range(rng.randint(0, 3))] + [f"<p>own {i} {k}</p>" for k in range(rng.randint(0, 4))] + [f"<div>end {host}</div>"] * rng.randint(0, 1)
-        rows.append((i, f"http://{host}/{rng.choice('xyz')}/{rng.randint(0, 99)}", "<body>" + "".join(lines) + "</body>"))
+        rows.append((i, f"http://{host}/{rng.choice('xyz')}/{rng.randint(0, 99)}?{i}", "<body>" + "".join(lines) + "</body>"))
 
-    held = sorted((htmltext.Page(i, u, u.split("/")[2], "/" + u.split("/", 3)[3], [htmltext.digest(t) for _, t in htmltext.lines_of(h)], bytes(r for r, _ in htmltext.lines_of(h)), zlib.compress("\n".join(t for _, t in htmltext.lines_of(h)).encode())) for i, u, h in rows), key=lambda p: (p.host, p.path, p.url, p.page_id))
+    held = sorted((htmltext.Page(i, u, u.split("/")[2], "/" + u.split("/", 3)[3].split("?")[0], [htmltext.digest(t) for _, t in htmltext.lines_of(h)], bytes(r for r, _ in htmltext.lines_of(h)), zlib.compress("\n".join(t for _, t in htmltext.lines_of(h)).encode())) for i, u, h in rows), key=lambda p: (p.host, p.path, p.url, p.page_id))
     want = {p.page_id: " ".join(htmltext.main_lines(p, [held[k + d] if 0 <= k + d < len(held) else None for d in (-1, 1, -2, 2)])) for k, p in enumerate(held)}
     for parts in (1, 5, 60):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
