@@ -21,10 +21,13 @@ def counts_by_window(stream: DataFrame, time: str, by: str, width: str, delay: s
 
 
 def refreshing(stream: DataFrame, key: Sequence[str], path: str, derive: Callable[[DataFrame], DataFrame]) -> DataStreamWriter:
-    """A writer that appends each batch's rows derived from its touched keys as a generation `batch=n` under `path`; the newest generation of a key counts. A batch that is run again overwrites its own generation."""
+    """A writer that appends each batch's rows derived from its touched keys as a generation `batch=n` under `path`; the newest generation of a key counts. A batch that is run again overwrites its own generation.
+
+    A batch's rows without a key, which no generation could replace, are left out.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
-        derive(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        derive(batch.dropna(subset=list(key))).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return stream.writeStream.foreachBatch(write)
 
@@ -33,3 +36,9 @@ def current(table: DataFrame, key: Sequence[str]) -> DataFrame:
     """The rows of each key's newest generation."""
     newest = table.groupBy(*key).agg(F.max("batch").alias("batch"))
     return table.join(newest, [*key, "batch"], "left_semi").drop("batch")
+
+
+def compacted(table: DataFrame, key: Sequence[str], path: str) -> None:
+    """Write the newest generation of every key to another place, as one generation for each batch that still has any, so that a reader no longer meets those replaced."""
+    newest = table.groupBy(*key).agg(F.max("batch").alias("batch"))
+    table.join(newest, [*key, "batch"], "left_semi").write.mode("overwrite").partitionBy("batch").parquet(path)

@@ -1,14 +1,16 @@
 """The reference's operators: edge cases, and every registered query against DuckDB."""
 
+import random
+
 import duckdb
 import pyspark.sql.functions as F
 import pytest
 
 from tessera import queries
-from tessera.functions import terms
-from tessera.operators import changes, entries, paging, tables
+from tessera.functions import terms, texts
+from tessera.operators import changes, citations, entries, filing, paging, tables
 from tessera.plans import patterns
-from tessera.sources import quads
+from tessera.sources import clinical, quads, turtle
 from tessera.streaming import arrivals
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -87,7 +89,7 @@ def test_terms(spark):
     assert value(terms.notation_of(F.lit("http://x/y#a%20b"))) == "a b" and value(terms.notation_of(F.lit("http://x/%zz"))) == "%zz"
     assert value(terms.decimal_quotient(F.lit("2"), F.lit("-3"))) == "-0.666666666666666666" and value(terms.decimal_quotient(F.lit("1"), F.lit("0"))) is None
     assert value(terms.compare(F.lit("10"), F.lit("9.5"))) == 1 and value(terms.compare(F.lit("b"), F.lit("a"))) == 1 and value(terms.compare(F.lit(None).cast("string"), F.lit("a"))) is None
-    assert value(terms.day_of(F.lit("2024"))) is None and value(terms.word_tokens(F.lit("Dose 007 mg"))) == ["dose", "7", "mg"]
+    assert value(terms.day_of(F.lit("2024"))) is None and value(terms.word_tokens(F.lit("Dose 007 mg March 27, 2025 12:00 UTC"))) == ["dose", "7", "mg", "3", "27", "2025", "12", "0"]
     keys = [value(terms.sort_key(F.lit(x), "2", descending=True)) for x in ("a", "ab", "b")]
     assert keys == sorted(keys, reverse=True)
 
@@ -110,3 +112,135 @@ def test_streamed_arrivals(spark, tmp_path):
     writer = arrivals.refreshing(stream, ["record"], str(tmp_path / "view"), lambda b: b.groupBy("record").agg(F.count("*").alias("n")))
     writer.option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     assert dict(arrivals.current(spark.read.parquet(str(tmp_path / "view")), ["record"]).collect()) == {"r1": 2, "r2": 1}
+    arrivals.compacted(spark.read.parquet(str(tmp_path / "view")), ["record"], str(tmp_path / "short"))
+    assert dict(arrivals.current(spark.read.parquet(str(tmp_path / "short")), ["record"]).collect()) == {"r1": 2, "r2": 1}
+
+
+def test_patterns_without_a_shared_variable(spark):
+    one, two = spark.createDataFrame([(1,), (2,)], "a int"), spark.createDataFrame([(3,)], "b int")
+    for wrong in (lambda: patterns.join(one, two), lambda: patterns.optional(one, two), lambda: patterns.compatible_join(one, two, [], ["a"])):
+        with pytest.raises(ValueError):
+            wrong()
+    assert patterns.join(one, two, cross=True).count() == 2
+    assert patterns.exists(one, two).count() == 2 and patterns.exists(one, two.where("false")).count() == 0
+    assert patterns.not_exists(one, two).count() == 0 and patterns.not_exists(one, two.where("false")).count() == 2
+
+
+def test_values_of_several_variables(spark):
+    left = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "x")], "p string, q string")
+    assert {r.p for r in patterns.values(left, ["p", "q"], [("a", "x"), ("b", "x"), (None, "y")]).collect()} == {"a", "b"}
+    assert patterns.values(left, "p", []).count() == 0 and patterns.values(left, ["p", "q"], [(None, None)]).count() == 3
+
+
+def test_no_column_is_lost_to_a_helpers_name(spark):
+    rows = spark.createDataFrame([(1, 5, 7), (1, 4, 8), (2, 1, 9)], "k long, _place long, _n long")
+    assert entries.least_of_each(rows, ["k"], [F.asc("_place")]).columns == rows.columns
+    assert tables.preferred(rows.withColumn("source", F.lit("s")), ["k"], "source", ["s"]).columns == [*rows.columns, "source"]
+    assert tables.holds(rows.withColumnRenamed("_n", "_there"), rows.select("k"), ["k"]).columns == ["k", "_place", "_there", "held"]
+    assert set(tables.multiset_difference(rows.withColumnRenamed("_n", "_sign"), rows.withColumnRenamed("_n", "_sign").limit(0)).columns) == {"side", "k", "_place", "_sign", "n"}
+    named = spark.createDataFrame([(1, 1, "a", 3), (1, 2, "a", 4), (1, 3, "b", 5)], "k long, at long, _was string, _starts long")
+    found = paging.runs(named, ["k"], ["at"], "_was", F.floor(F.col("at") / 2))
+    assert found.columns == [*named.columns, "run"] and [r.run for r in found.orderBy("at").collect()] == [1, 1, 2]
+
+
+def test_spreads_of_large_means_don_t_cancel(spark):
+    values = [1e9 + x for x in (0.1, 0.2, 0.3, 5.1, 5.2, 5.3)]
+    days = ["2024-01-01", "2024-01-02", "2024-01-03", "2024-02-01", "2024-02-02", "2024-02-03"]
+    results = spark.createDataFrame([("p", "t", d, v) for d, v in zip(days, values, strict=True)], "person string, test string, day string, value double")
+    events = spark.createDataFrame([("p", "e", "2024-01-15")], "person string, event string, day string")
+    row = changes.sides(events, results, "person").first()
+    assert abs(row.before_squares - 0.02) < 1e-6 and abs(row.after_squares - 0.02) < 1e-6
+
+
+def test_written_dates(spark):
+    told = {"Mar 4, 2024": "2024-03-04", "Mar. 4, 2024": "2024-03-04", "march 14, 2024": "2024-03-14", "20240304 and more": "2024-03-04", "202403041530": "2024-03-04", "2024-03-04T10": "2024-03-04", "Foo 4, 2024": None, "2024-02-30": None, "18991231": None, "2024": None, "123456789": None}
+    rows = spark.createDataFrame(list(told.items()), "t string, d string")
+    assert all(r.f == r.d for r in rows.select("d", terms.iso_date(F.col("t")).alias("f")).collect())
+    latest = {"on 2024-01-02 and Mar 4, 2024": "2024-03-04", "in 2024-02, no day": "2024-02-29", "20231231 then 2023-11": "2023-12-31", "none": None}
+    rows = spark.createDataFrame(list(latest.items()), "t string, d string")
+    assert all(r.f == r.d for r in rows.select("d", terms.latest_date(F.col("t")).alias("f")).collect())
+
+
+def test_text_functions(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).first().x
+    assert value(texts.sparql_replace(F.lit("aaa"), "a*", "x")) == "x" and value(texts.sparql_replace(F.lit("a.b\nA"), ".", "-", "qi")) == "a-b\nA"
+    assert value(texts.sparql_replace(F.lit("ab"), "(a)(b)", "$2${1}$$")) == "ba$" and value(texts.sparql_replace(F.lit("a"), "a", "b", "z")) is None
+    decimal = lambda *a: value(texts.sparql_decimal(a[0], *map(F.lit, a[1:])))
+    assert decimal("/", "-2", "3") == "-0.666666666666666666" and decimal("/", "1", "0") is None and decimal("+", "0.1", "0.2") == "0.3"
+    assert decimal("*", "0.0000000001", "0.0000000001") is None and decimal("floor", "-1.5") == "-2" and decimal("-", "x", "1") is None
+    assert value(texts.unescaped(F.lit("a\\u00e9\\U0001F600\\'\\\\n\\n"))) == "aé😀'\\n\n"
+    urls = {"HTTP://Ex.ORG:80/a/../b/./%7ec?q=%c3#F": "http://ex.org/b/~c?q=%C3#F", "https://[::1]:443": "https://[::1]/", "http://a:99999/": None, "mailto:x": "mailto:x"}
+    assert all(value(texts.normal_url(F.lit(u))) == w for u, w in urls.items())
+    compare = lambda *a: value(terms.typed_compare(*map(F.lit, a)))
+    assert compare("2", "integer", "10.0", "decimal") == -1 and compare("1e3", "double", "1000", "int") == 0 and compare("true", "boolean", "0", "boolean") == 1
+    assert compare("2024-01-01T00:00:00Z", "dateTime", "2024-01-01T10:00:00", "dateTime") is None and compare("2024-01-01T00:00:00Z", "dateTime", "2024-01-02T00:00:00", "dateTime") == -1
+    assert compare("a", "string", "1", "integer") is None and compare("b", "lang:en", "a", "lang:EN") == 1
+    with pytest.raises(Exception, match="no order of"):
+        compare("P1D", "duration", "P2D", "duration")
+    assert value(terms.in_utc(F.lit("2024-01-01T24:00:00+01:00"))) == "2024-01-01T23:00:00Z" and value(terms.in_utc(F.lit("2024-02-30T00:00:00Z"))) is None
+
+
+def test_turtle(spark, tmp_path):
+    text = """@prefix ex: <http://e/> . PREFIX : <http://d/>
+    ex:a a ex:T ; ex:p "x \\"y\\""@en, 'z'^^ex:t , 3, 4.5, 1e3, true ; ex:q [ ex:r <rel> ; ex:s _:b ] .  # note
+    _:b :list ( 1 "two" ) . <> ex:says \"\"\"long "quoted"
+text\"\"\" ."""
+    (tmp_path / "a.ttl").write_text(text)
+    found = {(r.s, r.p, r.o) for r in turtle.read_turtle(spark, str(tmp_path / "a.ttl"), "g").collect()}
+    plain = {(s, p, o) for s, p, o in found if not s.startswith("_:") and not o.startswith("_:")}
+    xsd, a = "http://www.w3.org/2001/XMLSchema#", "<http://e/a>"
+    assert {(a, "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>", "<http://e/T>"), (a, "<http://e/p>", '"x \\"y\\""@en'), (a, "<http://e/p>", '"z"^^<http://e/t>'), (a, "<http://e/p>", f'"4.5"^^<{xsd}decimal>'), (a, "<http://e/p>", f'"true"^^<{xsd}boolean>')} <= plain
+    assert any(o == '"long \\"quoted\\"\\ntext"' for _, _, o in plain) and len(found) == 16
+    (tmp_path / "b.ttl").write_text("<a> <p> .")
+    with pytest.raises(Exception, match="b.ttl"):
+        turtle.read_turtle(spark, [str(tmp_path / "a.ttl"), str(tmp_path / "b.ttl")]).collect()
+    assert turtle.read_turtle(spark, str(tmp_path / "a.ttl")).select("g").distinct().count() == 1
+    assert [p.rsplit("/", 1)[1] for p in quads.files(spark, str(tmp_path), left_out="b[.]ttl$")] == ["a.ttl"]
+
+
+def test_graphs_alike_but_for_blank_labels(spark):
+    graph = lambda a, b, end: spark.createDataFrame([(a, "<p>", b), (b, "<p>", a), (a, "<name>", '"x"'), (b, "<name>", end)], "s string, p string, o string")
+    assert patterns.look_alike(graph("_:1", "_:2", '"y"'), graph("_:z", "_:k", '"y"'))
+    assert not patterns.look_alike(graph("_:1", "_:2", '"y"'), graph("_:1", "_:2", '"z"'))
+
+
+def test_clinical_documents(spark, tmp_path):
+    (tmp_path / "d.xml").write_text("""<ClinicalDocument xmlns="urn:hl7-org:v3"><id root="1.2" extension="d1"/><code code="34133-9"/><title>Summary</title><effectiveTime value="20240304101500-0500"/>
+    <component><structuredBody><component><section><code code="30954-2" codeSystem="2.16"/><title>Results</title><text>two  words</text><entry><x/></entry><entry><y/></entry></section></component>
+    <component><section><code code="48765-2"/><title>Allergies</title></section></component></structuredBody></component></ClinicalDocument>""")
+    head = clinical.headers(spark, str(tmp_path / "d.xml")).first()
+    assert (head.id, head.system, head.title, head.written, head.custodian) == ("d1", "1.2", "Summary", "2024-03-04T15:15:00Z", None)
+    assert [(r.code, r.title, r.n_entries) for r in clinical.sections(spark, str(tmp_path / "d.xml")).orderBy("title").collect()] == [("48765-2", "Allergies", 0), ("30954-2", "Results", 2)]
+
+
+def test_records_absences_and_checked_rules(spark):
+    files = spark.createDataFrame([("a",), ("b",)], "file string")
+    absences = spark.createDataFrame([(1,), (2,), (3,), (4,)], "absence int")
+    sources = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "absence int, file string")
+    holding = spark.createDataFrame([(3, "b"), (1, "z")], "absence int, file string")
+    found = {r.absence: (r.backed, r.reason, r.files) for r in citations.check_records_absences(absences, sources, files, files, holding).collect()}
+    assert found == {1: (True, None, []), 2: (False, "sources leave out", ["b"]), 3: (False, "records hold it", ["b"]), 4: (True, None, [])}
+    unread = citations.check_records_absences(absences, sources, files, files.where("file = 'a'"), holding.where("false"))
+    assert {r.reason for r in unread.where("absence = 4").collect()} == {"source not read"}
+    rules = spark.createDataFrame([("t", "j", "text")], "term string, justification string, text string").withColumn("hash", F.sha2("text", 256))
+    assert filing.checked_rules(rules).count() == 1
+    for wrong in (rules.unionAll(rules), rules.withColumn("hash", F.lit("0"))):
+        with pytest.raises(Exception, match="rule t has"):
+            filing.checked_rules(wrong).collect()
+
+
+def test_links_connect_what_pairs_connect(spark):
+    rng = random.Random(1)
+    spans = spark.createDataFrame([(i, rng.randint(0, 2), (s := rng.randint(0, 400)) if i % 9 else None, None if i % 13 == 0 or not i % 9 else s + rng.randint(0, 9)) for i in range(150)], "r long, b long, s long, e long")
+    pairs = entries.overlapping(spans.where("s is not null").fillna(10**6, ["e"]), "r", ["b"], "s", "e")
+    links = entries.overlap_links(spans, "r", ["b"], "s", "e", F.floor(F.col("s") / 50))
+    assert dict(entries.components(pairs.toDF("a", "b")).collect()) == dict(entries.components(links.toDF("a", "b")).collect())
+    rows = spark.createDataFrame([(i, rng.randint(0, 20), rng.randint(0, 2)) for i in range(150)], "r long, b long, v long")
+    one = rows.toDF("a", "k", "v").join(rows.toDF("b", "k", "w"), "k").where("a < b and v <> w").select("a", "b")
+    assert dict(entries.components(one).collect()) == dict(entries.components(entries.linked_unequal(rows, "r", ["b"], "v").toDF("a", "b")).collect())
+
+
+def test_queries_read_whole_tables_once(spark, sf):
+    plan = queries.QUERIES["bgp_star"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Aggregate" not in plan  # a pattern of one predicate is a scan of one column
