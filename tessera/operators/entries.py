@@ -11,16 +11,20 @@ from . import carry
 from .lineage import forget, stored, unused
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node of the edges `a, b` is a root or hangs on one root alone: then large and small stars change nothing any more."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("roots"), F.lit(0).alias("hangs")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("roots"), F.lit(1).alias("hangs")))
+    return ends.groupBy("node").agg(F.max("roots").alias("roots"), F.sum("hangs").alias("hangs")).where("hangs > 1 or (roots = 1 and hangs = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """`node, root`: the least node that each node of the edges `a, b` reaches.
 
-    Large-star and small-star steps by grouping and joining until nothing changes; only a count and a checksum
-    of the edges reach the driver. Rows never outnumber edges and nodes, and each round's table replaces the one before.
+    Large-star and small-star steps by grouping and joining until all edges are stars; only that reaches
+    the driver. Rows never outnumber edges and nodes, and each round's table replaces the one before.
     """
     edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    checksum = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = checksum(edges)
-    while before[0]:
+    while not _all_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
@@ -28,10 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
         newer = stored(small)
         forget(edges)
-        edges, now = newer, checksum(newer)
-        if now == before:
-            break
-        before = now
+        edges = newer
     stars = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return stars.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
