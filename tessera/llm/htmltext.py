@@ -360,10 +360,11 @@ def main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", h
     rest = "host string, path string, digests array<bigint>, ranks binary, lines binary"
     pages = pages.select("*", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("address"), F.xxhash64("page_id").alias("spread"))
     order = ("host", "path", "address", "spread")
-    ranged = pages.select(*order).repartitionByRange(*order).select(F.struct(*order).alias("key"), F.spark_partition_id().alias("part"))
+    n_parts = 4 * pages.rdd.getNumPartitions()  # follows the bytes of the pages, not of their URLs
+    ranged = pages.select(*order).repartitionByRange(n_parts, *order).select(F.struct(*order).alias("key"), F.spark_partition_id().alias("part"))
     bounds = sorted(tuple(r.key) for r in ranged.groupBy("part").agg(F.max("key").alias("key")).collect())  # a row a part
     parsed = pages.mapInArrow(lambda b: _parsed(bounds, b), f"{keys}, {rest}, spread bigint, part int")
-    ordered = parsed.repartition("part").sortWithinPartitions("part", "host", "path", F.coalesce("url", F.lit("")), "spread")
+    ordered = parsed.repartition(n_parts, "part").sortWithinPartitions("part", "host", "path", F.coalesce("url", F.lit("")), "spread")
     wanted = f"{keys}, text string, part int, place bigint, {rest}"
     schema = to_arrow_schema(_schema(df, wanted))
     passed = stored(ordered.mapInArrow(lambda b: _windows(schema, b), wanted))
