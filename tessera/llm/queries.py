@@ -6,7 +6,7 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmltext, mixing, pii, quality, secrets, simhash, spans, topk, toxicity, urlfilter
+from . import bpe, htmltext, mixing, phrases, pii, quality, secrets, simhash, spans, topk, toxicity, urlfilter
 from .common import stored, table
 
 #: Rules of op3: entry `host/path` and verdict.
@@ -125,7 +125,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_url_filter, op4_quality, op5_toxicity, op6_simhash, op7_top_k, op8_main_text, op9_mixing, op10_secrets)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best phrases of two to four words."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_url_filter, op4_quality, op5_toxicity, op6_simhash, op7_top_k, op8_main_text, op9_mixing, op10_secrets, op13_phrases)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": f"""
@@ -154,4 +159,24 @@ scored AS (
 SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 WHERE rank <= 5""",
+    "op13_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) AS g FROM words)
+  GROUP BY lang, g HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, 2000000 * c.f::HUGEINT // (l.f + r.f) AS score
+  FROM grams c, range(1, len(c.g)) t(k) JOIN grams l ON l.lang = c.lang AND l.g = c.g[:k] JOIN grams r ON r.lang = c.lang AND r.g = c.g[k + 1:]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, sub, max(f) AS most FROM (
+    SELECT lang, f, unnest(flatten(list_transform(range(2, len(g)), lambda k: list_transform(range(1, len(g) - k + 2), lambda i: g[i:i + k - 1])))) AS sub FROM grams WHERE len(g) > 2)
+  GROUP BY lang, sub)
+SELECT o.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
+  SELECT c.lang, array_to_string(c.g, ' ') AS phrase, a, l, r, score, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, array_to_string(c.g, ' ')) AS rank
+  FROM lowest c LEFT JOIN inner_parts i ON i.lang = c.lang AND i.sub = c.g WHERE most IS NULL OR 100 * most < 80 * a) o
+JOIN totals t ON t.lang = o.lang WHERE rank <= 2000""",
 }
