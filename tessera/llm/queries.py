@@ -6,7 +6,7 @@ import public_tokenizers
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmltext, mixing, phrases, pii, quality, secrets, simhash, spans, topk, toxicity, urlfilter
+from . import bpe, chat, htmltext, mixing, negatives, phrases, pii, quality, secrets, simhash, spans, topk, toxicity, urlfilter
 from .common import stored, table
 
 #: Rules of op3: entry `host/path` and verdict.
@@ -20,6 +20,9 @@ BLOCKED_DOMAINS, BLOCKED_MIRRORS = ("example.com", "example.net", "example.org")
 DOMAIN = "CASE WHEN toxic > 0 THEN 'toxic' WHEN quality = 0 THEN 'poor' WHEN quality > 0 THEN 'good' END"
 TARGET_WEIGHTS = {"good": 0.84, "poor": 0.03, "toxic": 0.13}
 
+#: What both turns of op11's conversation -7 say.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -125,12 +128,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's turns and learnt texts, read back from the template."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    odd = spark.range(1).select(F.lit(-7).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.to_json(F.struct(F.lit(CONTROL_TEXT).alias("prompt"), F.lit(CONTROL_TEXT).alias("response"))).alias("record"))
+    return chat.digests(chat.formatted(chat.turns(rows.unionByName(odd)))).withColumnRenamed("id", "conv_id")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows of other labels for each of the 5 positives of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return negatives.mine(vectors.where("vec_id % 100 = 0"), vectors, 5)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's 2000 best phrases of two to four words."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_url_filter, op4_quality, op5_toxicity, op6_simhash, op7_top_k, op8_main_text, op9_mixing, op10_secrets, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_url_filter, op4_quality, op5_toxicity, op6_simhash, op7_top_k, op8_main_text, op9_mixing, op10_secrets, op11_chat, op12_hard_negatives, op13_phrases)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": f"""
@@ -159,6 +175,28 @@ scored AS (
 SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 WHERE rank <= 5""",
+    "op11_chat": rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
+said AS (SELECT *, '### ' || regexp_replace(role, '([\\#<:])', '\\\1', 'g') || ': ' || regexp_replace(text, '([\\#<])', '\\\1', 'g') || '</turn>' || chr(10) AS said FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, said)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, said) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length(said))::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS anchor_id, q.label AS own, c.vec_id, c.label, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scored s USING (anchor_id) WHERE s.label <> p.own AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY rank <= 5""",
     "op13_phrases": r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),

@@ -104,7 +104,7 @@ def _tiles(asked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int,
         )
 
 
-def _merged(lists: DataFrame, k: int, parts: int) -> DataFrame:
+def merged(lists: DataFrame, k: int, parts: int) -> DataFrame:
     """Lists `number, part, vec_id, score` merged to one of k entries a query, `FAN_IN` parts at a time: `number, top`."""
     entry = F.struct((-F.col("score")).alias("minus"), "vec_id", "score")
     rows = lists.select("number", "part", entry.alias("e"))
@@ -133,7 +133,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str = "vec
         matrices = {n: (numbers[rows], ids[rows], matrix) for n, (rows, matrix) in whole(of_round.column("embedding"))[1].items()} if len(ids) else {}
         sent = spark.sparkContext.broadcast(matrices)
         tiles = every.mapInArrow(lambda batches, sent=sent: _tiles(sent.value, k, batches), "number long, vec_id long, score long")
-        _merged(tiles.withColumn("part", F.spark_partition_id()), k, parts).write.parquet(f"{folder}/round={turn}")
+        merged(tiles.withColumn("part", F.spark_partition_id()), k, parts).write.parquet(f"{folder}/round={turn}")
         sent.destroy()
     entry = "struct<minus:bigint,vec_id:bigint,score:bigint>"
     tops = spark.read.schema(f"number bigint, top array<{entry}>, round int").parquet(folder).drop("round")
