@@ -4,8 +4,8 @@ A record is a JSON object. Its layout is told by a fingerprint: the 64-bit diges
 types and without paths that no layout has. The fingerprint selects a declarative mapping (`Layout`), which names where roles and texts
 are; so prompts with responses, instructions with inputs and outputs, lists of messages and single turns become the same canonical turns.
 
-A turn is written `### role: text</turn>` and a line feed. A backslash goes before each backslash, `#` and `<` of a text or role, and each `:` of a
-role, so no text has a mark of the template, wherever it is cut, and taking the backslashes away gives the text back. The texts of
+A turn is written `### role: text</turn>` and a line feed. In texts and roles a backslash is doubled, `#` is written `\\h` and `<` `\\l`, in roles
+also `:` `\\c`, so no text has a mark of the template or a part of one, wherever it is cut, and reading the escapes gives the text back. The texts of
 the learnt roles are under the loss mask, the marks never. A conversation's turns stay rows of their own, in order of their place:
 its text is what they say one after the other, however long. Reading back goes through these rows as a stream and holds one at a time.
 
@@ -32,6 +32,8 @@ from .common import named, of_texts
 
 #: Roles whose texts are learnt.
 LEARNT = ("assistant",)
+#: How characters that marks of the template have are written in texts, the backslash first, and the last one in roles only.
+ESCAPES = (("\\", "\\\\"), ("#", "\\h"), ("<", "\\l"), (":", "\\c"))
 #: Names that layouts with senders use for roles.
 SENDERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 
@@ -153,21 +155,28 @@ def turns(df: DataFrame, *, id_col: str = "conv_id", record_col: str = "record",
     return read.select("id", F.explode("turns").alias("t")).select("id", "t.place", "t.role", "t.text")
 
 
+def _escaped(text: Column, escapes: Sequence[tuple[str, str]]) -> Column:
+    for c, escape in escapes:
+        text = F.replace(text, F.lit(c), F.lit(escape))
+    return text
+
+
 def formatted(df: DataFrame, *, learnt: Sequence[str] = LEARNT) -> DataFrame:
     """`id, place, said, loss_from, loss_to` of canonical turns: what each says in the template, and the code points of it that are learnt, null where none is."""
-    opened = F.concat(F.lit("### "), F.regexp_replace(F.coalesce("role", F.lit("")), r"([\\#<:])", r"\\$1"), F.lit(": "))
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"([\\#<])", r"\\$1")
+    opened = F.concat(F.lit("### "), _escaped(F.coalesce("role", F.lit("")), ESCAPES), F.lit(": "))
+    text = _escaped(F.coalesce("text", F.lit("")), ESCAPES[:-1])
     rows = df.select("id", "place", F.col("role").isin(*learnt).alias("learn"), opened.alias("opened"), text.alias("text"))
     start = F.length("opened")
     return rows.select("id", "place", F.concat("opened", "text", F.lit("</turn>\n")).alias("said"), F.when(F.col("learn"), start).alias("loss_from"), F.when(F.col("learn"), start + F.length("text")).alias("loss_to"))
 
 
-_TURN = re.compile(r"### ([^\\:]*+(?:\\.[^\\:]*+)*+): ([^\\<]*+(?:\\.[^\\<]*+)*+)</turn>\n", re.S)
-_ESCAPE = re.compile(r"\\(.)", re.S)
+_TURN = re.compile(r"### ([^:<#]*+): ([^<#]*+)</turn>\n")
+_ESCAPE = re.compile(r"\\(.)")
+_MEANT = {escape[1]: c for c, escape in ESCAPES}
 
 
 def _plain(text: str) -> str:
-    return _ESCAPE.sub(r"\1", text)
+    return _ESCAPE.sub(lambda m: _MEANT[m[1]], text)
 
 
 def parsed(said: str) -> Iterator[tuple[str, str]]:
