@@ -5,7 +5,7 @@ before and the two after it on the same host, those first whose path has most fi
 those of menus, adverts and footers as well, are aligned by longest common subsequence. A neighbour most of whose lines are shared is a copy and
 says nothing of frames. Lines shared with two other neighbours, or with the only one there is, are the site's
 frame and are deleted. Markup checks this twice. A shared line in a paragraph, heading, list, table or quotation of an
-article (or main part) stays unless neighbours have it at the same place of their articles: passages quoted in several pages are text, not a frame; so
+article (or main part) stays unless two neighbours have it outside their articles: passages quoted in several pages are text, not a frame; so
 is an article whose every line is shared. And what stands in menus, headers, footers, sidebars, notices, adverts,
 forms and reader comments goes also where the neighbours have others; scripts and styles are never lines. Of the
 rest, what stands in an article is the text; a page without one has all its other lines, or those of an element named
@@ -42,6 +42,10 @@ from pyspark.sql.types import StructType
 from .common import SLICE_BYTES, named, parts_of, stored
 from .urlfilter import host_and_path
 
+#: Columns of a block of an alignment: a block's lines take a bit for each line in it at most, 32 MB.
+BLOCK = 1 << 14
+#: Bytes of html that a part is made for.
+PART_BYTES = 16 << 20
 #: Share of two pages' lines beyond which they are copies.
 COPY = 0.8
 #: Rows at a partition's beginning and end that are kept for the neighbours beyond it: two to decide and the two that these need.
@@ -154,21 +158,34 @@ def lines_of(page: str) -> list[tuple[int, str]]:
 
 
 def _lengths(a: Sequence[int], b: Sequence[int]) -> np.ndarray:
-    """Length of the longest common subsequence of `a` and each beginning of `b`, by bit-parallel rows."""
-    places: dict[int, int] = {}
-    for j, x in enumerate(b):
-        places[x] = places.get(x, 0) | 1 << j
-    every = (1 << len(b)) - 1
-    row = every
-    for x in a:
-        both = row & places.get(x, 0)
-        row = ((row + both) | (row - both)) & every
-    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
-    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+    """Length of the longest common subsequence of `a` and each beginning of `b`, by bit-parallel rows, `BLOCK` columns after the other: what a row carries over to the next block is a bit."""
+    found, carried = [], bytearray(len(a))
+    for start in range(0, len(b), BLOCK):
+        block = b[start : start + BLOCK]
+        places: dict[int, int] = {}
+        for j, x in enumerate(block):
+            places[x] = places.get(x, 0) | 1 << j
+        size = len(block)
+        every = (1 << size) - 1
+        row = every
+        for i, x in enumerate(a):
+            both = row & places.get(x, 0)
+            if both or carried[i]:
+                total = row + both + carried[i]
+                carried[i] = total >> size
+                row = (total | (row - both)) & every
+        found.append(1 - np.unpackbits(np.frombuffer(row.to_bytes(size // 8 + 1, "little"), np.uint8), bitorder="little")[:size].astype(np.int64))
+    return np.concatenate([[0], np.cumsum(np.concatenate(found))]) if found else np.zeros(1, np.int64)
 
 
 def shared(a: Sequence[int], b: Sequence[int]) -> list[int]:
-    """Places in `a` of a longest common subsequence with `b`: equal ends first, then halves of `a` (linear memory)."""
+    """Places in `a` of a longest common subsequence with `b`: equal ends first, then halves of `a`, so memory is linear. Lines that only one of both has are left out before."""
+    both = set(a) & set(b)
+    kept = [i for i, x in enumerate(a) if x in both]
+    return [kept[k] for k in _shared([a[i] for i in kept], [x for x in b if x in both])]
+
+
+def _shared(a: list[int], b: list[int]) -> list[int]:
     found: list[int] = []
     work = [(0, len(a), 0, len(b))]
     while work:
@@ -212,10 +229,6 @@ class Page(NamedTuple):
     def texts(self) -> list[str]:
         return zlib.decompress(self.lines).decode("utf-8", "surrogatepass").split("\n") if self.digests else []
 
-    def article(self) -> list[int]:
-        """Digests of the lines inside an article, in order."""
-        return [d for d, rank in zip(self.digests, self.ranks, strict=True) if rank >= 3]
-
 
 def common_parts(a: str, b: str) -> int:
     """How many first parts two paths have in common."""
@@ -228,7 +241,7 @@ def common_parts(a: str, b: str) -> int:
 
 
 def frames(page: Page, around: Sequence[Page | None]) -> tuple[set[int], set[int]]:
-    """Places of the page's lines that neighbours of other content share, and of the article lines that two of them have at the same place of their articles.
+    """Places of the page's lines that neighbours of other content share, and of those among them that two of these neighbours have outside their articles.
 
     around: the rows before and after, nearest first.
     """
@@ -240,14 +253,8 @@ def frames(page: Page, around: Sequence[Page | None]) -> tuple[set[int], set[int
             others.append((p, places))
     counts = Counter(i for _, places in others for i in places)
     frame = {i for i, n in counts.items() if n >= min(2, len(others))}
-    own = [i for i, rank in enumerate(page.ranks) if rank >= 3]
-    like: Counter[int] = Counter()
-    for p, places in others:
-        article, held = p.article(), set(places)
-        for k, i in enumerate(own):
-            if i in held and (k < len(article) and article[k] == page.digests[i] or len(own) - k <= len(article) and article[k - len(own)] == page.digests[i]):
-                like[i] += 1
-    return frame, {i for i, n in like.items() if n >= 2}
+    outside = Counter(d for p, _ in others for d in {d for d, rank in zip(p.digests, p.ranks, strict=True) if rank < 3})
+    return frame, {i for i in frame if outside[page.digests[i]] >= 2}
 
 
 def main_lines(page: Page, around: Sequence[Page | None]) -> list[str]:
@@ -255,9 +262,9 @@ def main_lines(page: Page, around: Sequence[Page | None]) -> list[str]:
     best = min(max(page.ranks, default=0), 3)
     if not best:
         return []
-    frame, like = frames(page, around)
+    frame, loose = frames(page, around)
     own = [i for i, rank in enumerate(page.ranks) if rank >= best]
-    gone = {i for i in own if i in frame and (page.ranks[i] < 4 or i in like)}
+    gone = {i for i in own if i in frame and (page.ranks[i] < 4 or i in loose)}
     if best == 3 and len(gone) == len(own):
         gone = set()
     texts = page.texts()
@@ -360,11 +367,11 @@ def main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", h
     rest = "host string, path string, digests array<bigint>, ranks binary, lines binary"
     pages = pages.select("*", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("address"), F.xxhash64("page_id").alias("spread"))
     order = ("host", "path", "address", "spread")
-    n_parts = 4 * pages.rdd.getNumPartitions()  # follows the bytes of the pages, not of their URLs
+    n_parts = (pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0) // PART_BYTES + 1  # follows the bytes of the pages, not of their URLs
     ranged = pages.select(*order).repartitionByRange(n_parts, *order).select(F.struct(*order).alias("key"), F.spark_partition_id().alias("part"))
     bounds = sorted(tuple(r.key) for r in ranged.groupBy("part").agg(F.max("key").alias("key")).collect())  # a row a part
     parsed = pages.mapInArrow(lambda b: _parsed(bounds, b), f"{keys}, {rest}, spread bigint, part int")
-    ordered = parsed.repartition(n_parts, "part").sortWithinPartitions("part", "host", "path", F.coalesce("url", F.lit("")), "spread")
+    ordered = parsed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "host", "path", F.coalesce("url", F.lit("")), "spread")
     wanted = f"{keys}, text string, part int, place bigint, {rest}"
     schema = to_arrow_schema(_schema(df, wanted))
     passed = stored(ordered.mapInArrow(lambda b: _windows(schema, b), wanted))

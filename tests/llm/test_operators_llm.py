@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -248,6 +249,39 @@ def test_main_text_of_small_pages(spark):
     assert htmltext.main_text(df.where("false")).count() == 0
 
 
+def test_common_lines_in_bounded_memory(monkeypatch):
+    """Alignments in blocks are as long as those of a whole table, and long pages take little memory."""
+    pick = random.Random(4)
+    monkeypatch.setattr(htmltext, "BLOCK", 16)
+    for _ in range(60):
+        a, b = ([pick.randrange(pick.choice([2, 9, 60])) for _ in range(pick.randrange(70))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        places = htmltext.shared(a, b)
+        rest = iter(b)
+        assert len(places) == best[-1][-1] and places == sorted(set(places)) and all(a[i] in rest for i in places)
+        assert htmltext._lengths(a, b).tolist() == best[-1]
+    monkeypatch.undo()
+    tracemalloc.start()
+    n = 60_000
+    a, b = [k for k in range(n)], [k ^ 1 for k in range(n)]
+    assert len(htmltext._lengths(a, b)) == n + 1
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+
+def test_articles_keep_their_own_text(spark):
+    """Headlines and paragraphs of an article that its neighbours' articles have at the same place stay; what neighbours have in their menus goes."""
+    page = "<body>{}<article><h1>{}</h1><p>the same words</p><p>own {}</p></article></body>"
+    rows = [(k, f"http://h/a/{k}", page.format("<nav>x</nav>" * k, "Same head", k)) for k in range(1, 6)]
+    rows += [(k, f"http://m/a/{k}", f"<body><nav>News</nav><div>Menu {k}</div><article><h1>H {k}</h1><p>t {k}</p></article></body>") for k in range(6, 9)]
+    rows += [(9, "http://m/a/9", "<body><article><p>News</p><p>t 9</p></article></body>")]
+    found = {r.page_id: r.text for r in htmltext.main_text(pages(spark, rows)).collect()}
+    assert found == {k: f"Same head the same words own {k}" for k in range(1, 6)} | {k: f"H {k} t {k}" for k in range(6, 9)} | {9: "t 9"}
+
+
 def test_main_text_aligns_all_lines(spark):
     page = "<body>{}<article><div>Read on this site</div><p>quoted passage</p><p>own {}</p></article></body>"
     rows = [
