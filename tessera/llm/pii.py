@@ -137,13 +137,12 @@ def checks_out(match: Column) -> Column:
     return (F.length(body) == F.try_element_at(lengths, F.substring(body, 1, 2))) & (rest == 1)
 
 
-def beside(text: Column, span: Column) -> tuple[Column, Column]:
-    """What stands before and after a span, `CONTEXT` characters at most."""
-    begin = F.greatest(span.start - CONTEXT, F.lit(0))
-    return F.substring(text, begin + 1, span.start - begin), F.substring(text, span.end + 1, F.lit(CONTEXT))
+def beside(chunks: Column, span: Column) -> tuple[Column, Column]:
+    """What stands before and after a span of a text in chunks, `CONTEXT` characters at most."""
+    return spans.cut(chunks, F.greatest(span.start - CONTEXT, F.lit(0)), span.start), spans.cut(chunks, span.end, span.end + CONTEXT)
 
 
-def votes(text: Column, span: Column, base: Column) -> Column:
+def votes(chunks: Column, span: Column, base: Column) -> Column:
     """The labelers' votes on a span, each -1, 0 or 1."""
     kind, match, digits = span.kind, span.match, _digits(span.match)
     of = lambda k, c: (kind == k) & c
@@ -153,7 +152,7 @@ def votes(text: Column, span: Column, base: Column) -> Column:
     known = of("card", digits.rlike(ISSUERS)) | of("phone", match.rlike(DIALLING_CODES)) | of("email", match.rlike(TOP_DOMAINS)) | of("iban", F.substring(match, 1, 2).isin(*IBAN_LENGTHS))
     known = known | of("name", match.rlike(rf" (?:{'|'.join(GIVEN_NAMES)})\b"))
     unknown = (of("card", F.lit(True)) | of("iban", F.lit(True)) | of("email", F.lit(True))) & ~known
-    before, _ = beside(text, span)
+    before, _ = beside(chunks, span)
     plain = F.size(F.array_distinct(F.split(digits, ""))) <= 2
     near = F.exists(base, lambda b: (b.start != span.start) | (b.end != span.end))
     return F.struct(
@@ -165,9 +164,9 @@ def votes(text: Column, span: Column, base: Column) -> Column:
     )
 
 
-def features(text: Column, span: Column) -> Column:
+def features(chunks: Column, span: Column) -> Column:
     """Small numbers that say how a span is written and what stands beside it."""
-    before, after = beside(text, span)
+    before, after = beside(chunks, span)
     n = F.length(span.match)
     return F.struct(
         span.match.rlike(r"[0-9][ .()-]+[0-9]").cast("int").alias("grouped"),
@@ -185,7 +184,8 @@ def looked_at(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), text.alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     rows = with_candidates(rows)
-    every = F.transform(F.concat("base", "more"), lambda s: F.struct(s.kind.alias("kind"), votes(F.col("text"), s, F.col("base")).alias("votes"), features(F.col("text"), s).alias("features")))
+    rows = rows.withColumn("chunks", F.when(F.size("base") + F.size("more") > 0, spans.chunks(F.col("text"))))
+    every = F.transform(F.concat("base", "more"), lambda s: F.struct(s.kind.alias("kind"), votes(F.col("chunks"), s, F.col("base")).alias("votes"), features(F.col("chunks"), s).alias("features")))
     return rows.withColumn("ballots", F.when(F.size("base") + F.size("more") > 0, every).otherwise(F.slice(every, 1, 0)))
 
 
