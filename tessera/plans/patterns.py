@@ -146,37 +146,3 @@ def closure(edges: DataFrame, *, zero_length: bool = True, most_rounds: int = 10
         nodes = edges.select("a").unionByName(edges.select(F.col("b").alias("a")))
         reach = reach.unionByName(nodes.select("a", F.col("a").alias("b"))).distinct()
     return reach
-
-
-
-def look_alike(one: DataFrame, two: DataFrame, *, most_rounds: int = 50) -> bool:
-    """Whether two graphs `s, p, o` can't be told apart but for the labels of their blank nodes, by refining colours.
-
-    A blank node's colour is a digest of the triples around it, whose own blank nodes stand with their colours, until a round tells no more of them apart. Graphs of different
-    colours aren't isomorphic. Equal ones are, save where several blank nodes share a colour, which this doesn't try to match one by one.
-    """
-    both = stored(one.select("s", "p", "o").distinct().withColumn("g", F.lit(1)).unionByName(two.select("s", "p", "o").distinct().withColumn("g", F.lit(2))))
-    blank = lambda c: F.startswith(F.col(c), F.lit("_:"))
-    ends = both.where(blank("s")).select("g", F.col("s").alias("node")).unionByName(both.where(blank("o")).select("g", F.col("o").alias("node"))).distinct()
-    colours, told = stored(ends.withColumn("colour", F.lit("_"))), 0
-
-    def coloured() -> DataFrame:
-        found = both
-        for c in ("s", "o"):
-            named = colours.select(F.col("g").alias("_g"), F.col("node").alias("_node"), F.col("colour").alias(f"{c}_colour"))
-            found = found.join(named, (F.col("g") == F.col("_g")) & (F.col(c) == F.col("_node")), "left").drop("_g", "_node")
-        return found.select("g", "s", "p", "o", F.coalesce("s_colour", "s").alias("cs"), F.coalesce("o_colour", "o").alias("co"))
-
-    for _ in range(most_rounds):
-        rows = coloured()
-        around = rows.where(blank("s")).select("g", F.col("s").alias("node"), F.concat_ws(" ", F.lit("out"), "p", "co").alias("says"))
-        around = around.unionByName(rows.where(blank("o")).select("g", F.col("o").alias("node"), F.concat_ws(" ", F.lit("in"), "p", "cs").alias("says")))
-        said = around.groupBy("g", "node").agg(F.sum(F.xxhash64("says").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.reverse("says")).cast("decimal(38,0)")).alias("b"))
-        newer = stored(colours.join(said, ["g", "node"]).select("g", "node", F.sha2(F.concat_ws(" ", "colour", F.col("a").cast("string"), F.col("b").cast("string")), 256).alias("colour")))
-        forget(colours)
-        colours, now = newer, newer.select("g", "colour").distinct().count()
-        if now == told:
-            break
-        told = now
-    counted = coloured().groupBy("cs", "p", "co").agg(F.sum(F.when(F.col("g") == 1, 1).otherwise(-1)).alias("n"))
-    return counted.where("n <> 0").isEmpty()

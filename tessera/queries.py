@@ -534,4 +534,4 @@ def word_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "conversations").where(terms.mentions(F.col("text"), "The")).select("conv_id", "turn")
 
 
-from . import matching_queries, record_queries, term_queries  # noqa: E402, F401  (they register their own)
+from . import graph_queries, matching_queries, record_queries, term_queries  # noqa: E402, F401  (they register their own)

@@ -199,12 +199,6 @@ text\"\"\" ."""
     assert [p.rsplit("/", 1)[1] for p in quads.files(spark, str(tmp_path), left_out="b[.]ttl$")] == ["a.ttl"]
 
 
-def test_graphs_alike_but_for_blank_labels(spark):
-    graph = lambda a, b, end: spark.createDataFrame([(a, "<p>", b), (b, "<p>", a), (a, "<name>", '"x"'), (b, "<name>", end)], "s string, p string, o string")
-    assert patterns.look_alike(graph("_:1", "_:2", '"y"'), graph("_:z", "_:k", '"y"'))
-    assert not patterns.look_alike(graph("_:1", "_:2", '"y"'), graph("_:1", "_:2", '"z"'))
-
-
 def test_clinical_documents(spark, tmp_path):
     (tmp_path / "d.xml").write_text("""<ClinicalDocument xmlns="urn:hl7-org:v3"><id root="1.2" extension="d1"/><code code="34133-9"/><title>Summary</title><effectiveTime value="20240304101500-0500"/>
     <component><structuredBody><component><section><code code="30954-2" codeSystem="2.16"/><title>Results</title><text>two  words</text><entry><x/></entry><entry><y/></entry></section></component>
