@@ -5,7 +5,7 @@ before and the two after it on the same host, those first whose path has most fi
 those of menus, adverts and footers as well, are aligned by longest common subsequence. A neighbour most of whose lines are shared is a copy and
 says nothing of frames. Lines shared with two other neighbours, or with the only one there is, are the site's
 frame and are deleted. Markup checks this twice. A shared line in a paragraph, heading, list, table or quotation of an
-article (or main part) stays unless two neighbours have it outside their articles: passages quoted in several pages are text, not a frame; so
+article (or main part) stays: passages quoted in several pages are text, not a frame, and so is a sentence that a neighbour has in an advert; so
 is an article whose every line is shared. And what stands in menus, headers, footers, sidebars, notices, adverts,
 forms and reader comments goes also where the neighbours have others; scripts and styles are never lines. Of the
 rest, what stands in an article is the text; a page without one has all its other lines, or those of an element named
@@ -240,8 +240,8 @@ def common_parts(a: str, b: str) -> int:
     return n
 
 
-def frames(page: Page, around: Sequence[Page | None]) -> tuple[set[int], set[int]]:
-    """Places of the page's lines that neighbours of other content share, and of those among them that two of these neighbours have outside their articles.
+def frames(page: Page, around: Sequence[Page | None]) -> set[int]:
+    """Places of the page's lines that neighbours of other content share.
 
     around: the rows before and after, nearest first.
     """
@@ -250,11 +250,9 @@ def frames(page: Page, around: Sequence[Page | None]) -> tuple[set[int], set[int
     for p in near:
         places = shared(page.digests, p.digests)
         if 2 * len(places) <= COPY * (len(page.digests) + len(p.digests)):
-            others.append((p, places))
-    counts = Counter(i for _, places in others for i in places)
-    frame = {i for i, n in counts.items() if n >= min(2, len(others))}
-    outside = Counter(d for p, _ in others for d in {d for d, rank in zip(p.digests, p.ranks, strict=True) if rank < 3})
-    return frame, {i for i in frame if outside[page.digests[i]] >= 2}
+            others.append(places)
+    counts = Counter(i for places in others for i in places)
+    return {i for i, n in counts.items() if n >= min(2, len(others))}
 
 
 def main_lines(page: Page, around: Sequence[Page | None]) -> list[str]:
@@ -262,9 +260,9 @@ def main_lines(page: Page, around: Sequence[Page | None]) -> list[str]:
     best = min(max(page.ranks, default=0), 3)
     if not best:
         return []
-    frame, loose = frames(page, around)
+    frame = frames(page, around)
     own = [i for i, rank in enumerate(page.ranks) if rank >= best]
-    gone = {i for i in own if i in frame and (page.ranks[i] < 4 or i in loose)}
+    gone = {i for i in own if i in frame and page.ranks[i] < 4}
     if best == 3 and len(gone) == len(own):
         gone = set()
     texts = page.texts()

@@ -273,13 +273,13 @@ def test_common_lines_in_bounded_memory(monkeypatch):
 
 
 def test_articles_keep_their_own_text(spark):
-    """Headlines and paragraphs of an article that its neighbours' articles have at the same place stay; what neighbours have in their menus goes."""
+    """Headlines and paragraphs of an article that its neighbours' articles have at the same place stay, and so does a paragraph that neighbours have in their menus."""
     page = "<body>{}<article><h1>{}</h1><p>the same words</p><p>own {}</p></article></body>"
     rows = [(k, f"http://h/a/{k}", page.format("<nav>x</nav>" * k, "Same head", k)) for k in range(1, 6)]
     rows += [(k, f"http://m/a/{k}", f"<body><nav>News</nav><div>Menu {k}</div><article><h1>H {k}</h1><p>t {k}</p></article></body>") for k in range(6, 9)]
     rows += [(9, "http://m/a/9", "<body><article><p>News</p><p>t 9</p></article></body>")]
     found = {r.page_id: r.text for r in htmltext.main_text(pages(spark, rows)).collect()}
-    assert found == {k: f"Same head the same words own {k}" for k in range(1, 6)} | {k: f"H {k} t {k}" for k in range(6, 9)} | {9: "t 9"}
+    assert found == {k: f"Same head the same words own {k}" for k in range(1, 6)} | {k: f"H {k} t {k}" for k in range(6, 9)} | {9: "News t 9"}
 
 
 def test_main_text_aligns_all_lines(spark):
