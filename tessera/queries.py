@@ -442,7 +442,7 @@ def natural_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT p_partkey, p_partkey::VARCHAR AS whole, 'integer' AS whole_type, p_size || '.5' AS part, CASE WHEN p_size % 2 = 1 THEN 'true' ELSE 'false' END AS odd FROM part""")
 def canonical_terms(spark: SparkSession, sf: str) -> DataFrame:
-    held = lambda text, kind: literals.canonical(text, F.lit(literals.XSD + kind))
+    held = lambda text, kind: literals.canonical(text, kind)
     part = _t(spark, sf, "part").select("p_partkey", held(F.concat(F.lit("+00"), "p_partkey"), "int").alias("w"), held(F.concat(F.lit("0"), "p_size", F.lit(".500")), "decimal").alias("d"), held((F.col("p_size") % 2).cast("string"), "boolean").alias("b"))
     return part.select("p_partkey", F.col("w.lex").alias("whole"), F.replace("w.datatype", F.lit(literals.XSD), F.lit("")).alias("whole_type"), F.col("d.lex").alias("part"), F.col("b.lex").alias("odd"))
 

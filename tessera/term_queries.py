@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .functions import terms, texts
+from .functions import literals, terms, texts
 from .registry import query, table
 
 
@@ -108,3 +108,27 @@ def query_prose(spark: SparkSession, sf: str) -> DataFrame:
 def code_mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a text has a code as a whole code."""
     return table(spark, sf, "part").select("p_partkey", terms.mentions_code(F.concat(F.lit("code X"), "p_size", F.lit(" and z")), "X1").alias("named"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate, o_totalprice, o_orderkey % 7 AS k FROM orders)
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN k = 0 THEN '' ELSE '.' || k END || 'Z' AS time, strftime(o_orderdate, '%Y-%m-%d') || 'Z' AS day, strftime(o_orderdate, '%Y-%m') AS month,
+  'P' || CASE WHEN o_orderkey // 12 > 0 THEN (o_orderkey // 12) || 'Y' ELSE '' END || CASE WHEN o_orderkey % 12 > 0 OR o_orderkey = 0 THEN (o_orderkey % 12) || 'M' ELSE '' END AS span,
+  regexp_replace(o_totalprice::DECIMAL(18, 2)::VARCHAR, '[.]?0+$', '') AS price,
+  strftime(o_orderdate - INTERVAL 150 MINUTE, '%Y-%m-%dT%H:%M:%S') || '.' || k || repeat('0', 17) AS instant, strftime(o_orderdate, '%Y-%m-%d') AS written FROM o""")
+def canonical_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Times, days, months, spans and floats as they are held, and the keys by which times sort and are looked up."""
+    held = lambda text, kind: literals.canonical(text, kind).lex
+    written = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    time = F.concat(written, F.lit("."), (F.col("o_orderkey") % 7).cast("string"))
+    kind = F.lit(literals.XSD + "dateTime")
+    zoned = F.concat(time, F.lit("+02:30"))
+    return table(spark, sf, "orders").select(
+        "o_orderkey",
+        held(F.concat(time, F.lit("00-00:00")), "dateTime").alias("time"),
+        held(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("+00:00")), "date").alias("day"),
+        held(F.date_format("o_orderdate", "yyyy-MM"), "gYearMonth").alias("month"),
+        held(F.concat(F.lit("P"), F.col("o_orderkey").cast("string"), F.lit("M")), "yearMonthDuration").alias("span"),
+        held(F.concat(F.round("o_totalprice", 2).cast("string"), F.lit("e0")), "double").alias("price"),
+        literals.instant_key(zoned, kind).alias("instant"),
+        literals.day_key(zoned, kind).alias("written"),
+    )

@@ -26,6 +26,44 @@ def test_canonical_literals(spark):
         assert (r.c.lex, r.c.datatype) == (r.b, r.u), r.a
 
 
+LEXICAL = [
+    ("dateTime", "-0001-12-31T24:00:00+00:00", "0000-01-01T00:00:00Z"), ("dateTime", "2024-02-28T24:00:00.0", "2024-02-29T00:00:00"), ("dateTime", "9999-12-31T24:00:00Z", "10000-01-01T00:00:00Z"), ("dateTime", "12026-01-01T00:00:00.10Z", "12026-01-01T00:00:00.1Z"),
+    ("dateTime", "02026-01-01T00:00:00.10Z", None), ("dateTime", "-0000-01-01T00:00:00.0Z", None), ("dateTime", "0000-02-29T00:00:00.10Z", "0000-02-29T00:00:00.1Z"), ("dateTime", "1900-02-29T00:00:00.10Z", None), ("dateTime", "-0004-02-29T00:00:00.10Z", "-0004-02-29T00:00:00.1Z"),
+    ("dateTime", "2026-01-01T24:00:00.1Z", None), ("dateTime", "2026-01-01T00:00:60Z", None), ("dateTime", "2026-01-01T00:00:00.1234567890123456780Z", "2026-01-01T00:00:00.123456789012345678Z"), ("dateTime", "2026-01-01T00:00:00.1234567890123456789Z", None),
+    ("dateTime", "2026-01-01T10:00:00.50+14:00", "2026-01-01T10:00:00.5+14:00"), ("dateTime", "2026-01-01T10:00:00.50+14:01", None), ("dateTime", "2026-01-01T25:00:00Z", None), ("dateTime", "2026-01-01T00:00:00.", None),
+    ("time", "08:25:01.100Z", "08:25:01.1Z"), ("time", "08:25:01.00-00:00", "08:25:01Z"), ("time", "24:00:00", "00:00:00"), ("time", "24:00:00.5", None), ("time", "10:00:00.10+15:00", None),
+    ("date", "2026-11-19-00:00", "2026-11-19Z"), ("date", "2026-02-29-00:00", None), ("date", "2026-04-31", None), ("gYear", "2026+00:00", "2026Z"), ("gYear", "-0001-00:00", "-0001Z"), ("gYear", "2026+15:00", None), ("gYearMonth", "2026-01+00:00", "2026-01Z"), ("gYearMonth", "2026-13+00:00", None),
+    ("gMonth", "--12-00:00", "--12Z"), ("gMonth", "--13+00:00", None), ("gDay", "---01+00:00", "---01Z"), ("gDay", "---31", "---31"), ("gDay", "---00+00:00", None), ("gMonthDay", "--02-29+00:00", None), ("gMonthDay", "--02-28+00:00", "--02-28Z"), ("gMonthDay", "--04-31+00:00", None),
+    ("double", "1.0E0", "1"), ("double", "1.0E2", "100"), ("double", "1e21", "1" + "0" * 21), ("double", "-0", "-0"), ("double", "1E400", "INF"), ("double", "-1E400", "-INF"), ("double", "abc", None), ("double", "+INF", "INF"), ("double", "NaN", "NaN"), ("double", ".5e-3", "0.0005"), ("double", "5e-324", "0." + "0" * 323 + "5"),
+    ("double", "2e23", "2" + "0" * 23), ("double", "1.7976931348623157E308", "17976931348623157" + "0" * 292), ("float", "1.50", "1.5"), ("float", "16777217", "16777216"), ("float", "0.1", "0.1"), ("float", "1e-45", "0." + "0" * 44 + "1"), ("float", "3.4e39", "INF"),
+    ("duration", "P1Y0M", "P1Y"), ("duration", "P1DT24H", "P2D"), ("duration", "-P13MT90S", "-P1Y1MT1M30S"), ("duration", "P0D", "PT0S"), ("duration", "P", None), ("duration", "P1YT", None), ("duration", "PT0.50S", "PT0.5S"), ("dayTimeDuration", "PT60S", "PT1M"), ("dayTimeDuration", "P1Y", None), ("dayTimeDuration", "PT1M", "PT1M"),
+    ("yearMonthDuration", "P12M", "P1Y"), ("yearMonthDuration", "P0Y", "P0M"), ("yearMonthDuration", "P1D", None), ("duration", "P99999999999999999999Y", None), ("duration", "PT9007199254740993S", "P104249991374DT7H36M33S"), ("string", "2026-01-01T00:00:00.10Z", None), ("anyURI", "urn:x:a", None),
+]
+
+
+def test_calendar_values_floats_and_durations(spark):
+    rows = spark.createDataFrame([(t, a, b or a) for t, a, b in LEXICAL] + [("double", repr(float(x)), None) for x in (1 / 3, 0.1 + 0.2, 1e22, 123456.789e-30, 2.0**60, 9007199254740993.0, 9.999999999999999e16, 99999999999999984.0)], "t string, a string, b string")
+    found = rows.withColumn("c", literals.canonical(F.col("a"), F.concat(F.lit(X), "t"))).collect()
+    for r in found:
+        if r.b is None:
+            import numpy as np
+
+            assert r.c.lex == np.format_float_positional(float(r.a), trim="-"), r.a
+        else:
+            assert r.c.lex == r.b, (r.t, r.a)
+
+
+def test_instant_and_day_keys(spark):
+    rows = [
+        ("dateTime", "2024-03-04T10:00:00.123456789012345678+05:30", "2024-03-04T04:30:00.123456789012345678", "2024-03-04"), ("dateTime", "2024-03-04T10:00:00", "2024-03-04T10:00:00." + "0" * 18, "2024-03-04"), ("dateTime", "2024-12-31T24:00:00Z", "2025-01-01T00:00:00." + "0" * 18, "2024-12-31"),
+        ("date", "2024-03-04+01:00", "2024-03-03T23:00:00." + "0" * 18, "2024-03-04"), ("date", "0001-01-01+01:00", None, "0001-01-01"), ("dateTime", "9999-12-31T23:00:00-02:00", None, "9999-12-31"), ("dateTime", "10000-01-01T00:00:00+01:00", "9999-12-31T23:00:00." + "0" * 18, "10000-01-01"),
+        ("date", "2025-02-29", None, None), ("gYear", "2024", None, None), ("string", "2024-03-04", None, None), ("dateTime", "x", None, None), ("date", "1500-02-28", "1500-02-28T00:00:00." + "0" * 18, "1500-02-28"),
+    ]
+    df = spark.createDataFrame(rows, "t string, a string, i string, d string").withColumn("kind", F.concat(F.lit(X), "t"))
+    for r in df.select("*", literals.instant_key(F.col("a"), F.col("kind")).alias("ik"), literals.day_key(F.col("a"), F.col("kind")).alias("dk")).collect():
+        assert (r.ik, r.dk) == (r.i, r.d), (r.t, r.a)
+
+
 def test_terms_copies_and_removals(spark, tmp_path):
     rows = [("<a>", "<p>", '"x"@EN', "g1"), ("_:b", "<p>", '"1"^^<int>', "g1"), ("<a>", "<q>", '"say \\"hi\\""', "g2")]
     quads = spark.createDataFrame(rows, "s string, p string, o string, g string")
