@@ -5,7 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
-from .operators import entries, filing
+from .operators import entries, filing, intervals
+from .operators import notes as note_rules
 from .registry import query, table
 
 
@@ -123,6 +124,35 @@ def same_product_code(spark: SparkSession, sf: str) -> DataFrame:
     return entries.linked(once, "record", ["found"])
 
 
+_EXPOSURES = "SELECT l_orderkey AS record, min(l_shipdate) AS s, CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE max(l_shipdate) END AS e FROM lineitem GROUP BY 1"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS record, min(l_partkey) AS code FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) GROUP BY 1 HAVING count(DISTINCT l_partkey) = 1),
+x AS ({_EXPOSURES}), y AS (SELECT * FROM l JOIN x USING (record))
+SELECT a.record, b.record AS other FROM y a JOIN y b ON a.code = b.code AND a.record < b.record AND a.s <= coalesce(b.e, TIMESTAMP '9999-01-01') AND b.s <= coalesce(a.e, TIMESTAMP '9999-01-01')""")
+def same_product_code_and_exposure(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with exactly one code that the current table lists, the same, and overlapping exposures."""
+    lineitem = table(spark, sf, "lineitem")
+    listed = table(spark, sf, "part").where("p_size < 10").select(F.col("p_partkey").alias("code"), F.col("p_partkey").alias("found"))
+    return intervals.product_code(_exposures(lineitem), entries.found_once(lineitem, "l_orderkey", "l_partkey", listed))
+
+
+def _exposures(lineitem: DataFrame) -> DataFrame:
+    spans = lineitem.groupBy(F.col("l_orderkey").alias("record")).agg(F.min("l_shipdate").alias("start"), F.max("l_shipdate").alias("end"))
+    return spans.withColumn("end", F.when(F.col("record") % 97 != 0, F.col("end")))
+
+
+@query("""WITH m AS (SELECT c_custkey AS a, c_custkey // 3 AS b FROM customer WHERE c_custkey % 11 <> 0), e AS (SELECT a AS x, -1 - b AS y FROM m), b AS (SELECT * FROM e UNION SELECT y, x FROM e),
+p AS (SELECT * FROM b UNION SELECT p.x, q.y FROM b p JOIN b q ON p.y = q.x), o AS (SELECT o_orderkey AS r, o_custkey AS c, o_orderdate AS s, o_orderdate + INTERVAL 60 DAY AS e, o_orderkey % 7 AS k FROM orders)
+SELECT least(a.r, b.r) AS record, greatest(a.r, b.r) AS other FROM o a JOIN p ON p.x = a.c AND p.x < p.y JOIN o b ON p.y = b.c AND a.s <= b.e AND b.s <= a.e AND a.k <> b.k""")
+def same_brand_generic(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with different codes one or two rows apart in one version, overlapping exposures and no shared code."""
+    rows = table(spark, sf, "customer").where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("a"), (-1 - F.floor(F.col("c_custkey") / 3)).cast("long").alias("b"), F.lit(1).alias("v"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("record"), F.col("o_custkey").alias("code"), F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")).alias("end"))
+    other = orders.select("record", (-(F.col("record") % 7) - 1_000_000_000).alias("code"))
+    return intervals.brand_generic(orders, entries.near_codes(rows, "a", "b", "v"), orders.select("record", "code").unionByName(other))
+
+
 @query(_linked("doc_id % 97, lang", "documents", "doc_id"))
 def same_variation(spark: SparkSession, sf: str) -> DataFrame:
     """One shared identifier."""
@@ -153,12 +183,28 @@ def same_note_type_and_text(spark: SparkSession, sf: str) -> DataFrame:
     return entries.linked(rows, "doc_id", ["lang", "digest"])
 
 
-@query("""WITH n AS (SELECT doc_id AS record, lang, array_to_string(string_split(text, chr(10))[:1 + (doc_id % 3)::INTEGER], chr(10)) AS t FROM documents)
-SELECT DISTINCT a.record, b.record AS other FROM n a JOIN n b ON a.lang = b.lang AND length(a.t) > 0 AND length(a.t) < length(b.t) AND (starts_with(b.t, a.t || chr(10)) OR ends_with(b.t, chr(10) || a.t))""")
+_NOTES = """n AS (SELECT doc_id AS note, lang AS type, source AS org, doc_id % 10 AS day, text FROM documents
+  UNION ALL SELECT doc_id + 1000000000, lang, source, CASE WHEN doc_id % 4 > 0 THEN doc_id % 7 END, regexp_replace(text, chr(10) || '[^' || chr(10) || ']*$', '') FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id + 2000000000, lang, source, 5, regexp_replace(text, '^[^' || chr(10) || ']*' || chr(10), '') FROM documents WHERE doc_id % 5 = 0)"""
+
+
+@query(f"""WITH {_NOTES}, t AS (SELECT DISTINCT type, text FROM n WHERE length(text) > 0),
+e AS (SELECT a.type, a.text AS short, b.text AS long FROM t a JOIN t b ON a.type = b.type AND length(a.text) < length(b.text) AND (starts_with(b.text, a.text || chr(10)) OR ends_with(b.text, chr(10) || a.text))),
+k AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e w WHERE w.type = e.type AND w.short = e.short AND w.long <> e.long
+  AND NOT EXISTS (SELECT 1 FROM e x WHERE x.type = e.type AND (x.short = w.long AND x.long = e.long OR x.short = e.long AND x.long = w.long)))),
+f AS (SELECT type, org, text, arg_min(note, (day IS NOT NULL, coalesce(day, 0), note)) AS record, arg_min(coalesce(day, -1), (day IS NOT NULL, coalesce(day, 0), note)) AS day FROM n GROUP BY 1, 2, 3),
+l AS (SELECT type, org, text, arg_min(note, (day IS NOT NULL, -coalesce(day, 0), note)) AS other, arg_min(coalesce(day, 99), (day IS NOT NULL, -coalesce(day, 0), note)) AS day FROM n GROUP BY 1, 2, 3)
+SELECT f.record, n.note AS other FROM k JOIN n ON n.type = k.type AND n.text = k.long JOIN f ON f.type = k.type AND f.org = n.org AND f.text = k.short WHERE n.day IS NULL OR n.day >= f.day
+UNION SELECT n.note, l.other FROM k JOIN n ON n.type = k.type AND n.text = k.short JOIN l ON l.type = k.type AND l.org = n.org AND l.text = k.long WHERE n.day IS NULL OR l.day >= n.day""")
 def same_note_grown(spark: SparkSession, sf: str) -> DataFrame:
-    """A text that begins or ends another's, by whole lines."""
-    text = F.array_join(F.slice(F.split("text", "\n"), F.lit(1), (1 + F.col("doc_id") % 3).cast("int")), "\n")
-    return entries.grown(table(spark, sf, "documents").select("doc_id", "lang", text.alias("note")), "doc_id", "note", ["lang"])
+    """A text that begins or ends another's of its source, by whole lines, unless a third one speaks against it; of every document, some also as they were before a line was added."""
+    documents = table(spark, sf, "documents").withColumnRenamed("source", "org")
+    kept = lambda note, day, text: [note.alias("note"), F.col("lang").alias("type"), F.col("org").alias("organization"), day.cast("long").alias("date"), text.alias("text")]
+    k = F.col("doc_id")
+    notes = documents.select(*kept(k, k % 10, F.col("text")))
+    notes = notes.unionByName(documents.where("doc_id % 3 = 0").select(*kept(k + 1_000_000_000, F.when(k % 4 > 0, k % 7), F.regexp_replace("text", r"\n[^\n]*\z", ""))))
+    notes = notes.unionByName(documents.where("doc_id % 5 = 0").select(*kept(k + 2_000_000_000, F.lit(5), F.regexp_replace("text", r"\A[^\n]*\n", ""))))
+    return note_rules.grown(notes)
 
 
 @query(_linked("l_suppkey, l_partkey", "lineitem WHERE l_suppkey IS NOT NULL", "l_orderkey"))
@@ -296,11 +342,11 @@ def arrival_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return filing.repeats(arrivals, rows.where("l_quantity <= 25").drop("l_quantity"))
 
 
-@query("""SELECT l_suppkey AS source, min(datediff('hour', o_orderdate, l_shipdate) // 24)::BIGINT AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING min(datediff('hour', o_orderdate, l_shipdate) // 24) >= 1""")
+@query("""SELECT l_orderkey AS source, min(datediff('hour', o_orderdate, l_shipdate) // 24)::BIGINT AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING min(datediff('hour', o_orderdate, l_shipdate) // 24) >= 1""")
 def clock_behind(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources whose every time is whole days behind."""
+    """Orders whose every time is whole days behind."""
     lineitem, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
-    return filing.clock_lag(lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey), "l_suppkey", "o_orderdate", "l_shipdate").withColumnRenamed("l_suppkey", "source")
+    return filing.clock_lag(lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey), "l_orderkey", "o_orderdate", "l_shipdate").withColumnRenamed("l_orderkey", "source")
 
 
 @query("""SELECT c_custkey AS file, CASE WHEN c_custkey % 3 = 0 THEN 'copy' WHEN c_custkey % 5 <> 0 THEN 'keep' WHEN c_custkey % 2 = 0 THEN 'refuse' ELSE 'conflict' END AS act FROM customer""")

@@ -79,22 +79,6 @@ def overlap_links(spans: DataFrame, record: str, block: Sequence[str], start: st
     return met.where(F.col("_reach.open") | (F.col("_reach.end") >= F.col(start))).select(F.col(record).alias("record"), F.col("_reach.other").alias("other"))
 
 
-def grown(notes: DataFrame, note: str, text: str, block: Sequence[str]) -> DataFrame:
-    """`record, other`: notes of one block of which the second's text begins or ends, by whole lines, with the first's.
-
-    Equality of digests: each note has one for every beginning and every end of whole lines, and meets the notes whose whole text it is.
-    """
-    rows = notes.where(F.length(text) > 0).select(F.col(note).alias("note"), *block, F.col(text).alias("_text"), F.split(text, "\n").alias("_lines"))
-    n = F.size("_lines")
-    cuts = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    whole = lambda lines: F.xxhash64(F.array_join(lines, "\n"))
-    parts = F.flatten(F.transform(cuts, lambda k: F.array(whole(F.slice("_lines", F.lit(1), k)), whole(F.slice("_lines", k + 1, n)))))
-    longer = rows.select(F.col("note").alias("other"), *block, F.col("_text").alias("_longer"), F.explode(F.array_distinct(parts)).alias("_digest"))
-    met = rows.select("note", *block, "_text", F.xxhash64("_text").alias("_digest")).join(longer, [*block, "_digest"])
-    extends = F.startswith(F.col("_longer"), F.concat("_text", F.lit("\n"))) | F.endswith(F.col("_longer"), F.concat(F.lit("\n"), F.col("_text")))
-    return met.where(extends).select(F.col("note").alias("record"), "other").distinct()
-
-
 # Pairs: where every pair is asked for
 
 
