@@ -67,15 +67,20 @@ def check_records_absences(absences: DataFrame, sources: DataFrame, files: DataF
 
     Sources that leave files out, weren't read or hold it back nothing; the reason names the first of these and its files, sorted. An absence that names no source means all files.
     """
-    named = sources.select("absence").distinct()
-    own = sources.select("absence", "file").unionByName(absences.select("absence").join(named, "absence", "left_anti").crossJoin(files.select("file")))
-    every = absences.select("absence").crossJoin(files.select("file"))
-    faults = every.join(own, ["absence", "file"], "left_anti").withColumn("fault", F.struct(F.lit(0).alias("n"), F.lit("sources leave out").alias("reason")))
-    faults = faults.unionByName(own.join(read.select("file"), "file", "left_anti").select("absence", "file").withColumn("fault", F.struct(F.lit(1).alias("n"), F.lit("source not read").alias("reason"))))
-    faults = faults.unionByName(own.join(holding, ["absence", "file"], "left_semi").withColumn("fault", F.struct(F.lit(2).alias("n"), F.lit("records hold it").alias("reason"))))
-    listed = faults.groupBy("absence", "fault").agg(F.array_sort(F.collect_set("file")).alias("files"))
-    first = listed.groupBy("absence").agg(F.min(F.struct("fault", "files")).alias("f"))
-    return absences.select("absence").join(first, "absence", "left").select("absence", F.col("f").isNull().alias("backed"), F.col("f.fault.reason").alias("reason"), F.coalesce("f.files", F.array().cast("array<string>")).alias("files"))
+    listed = lambda c: F.array_sort(F.collect_set(c))
+    unread = lambda df: df.join(read.select("file"), "file", "left_anti")
+    whole = files.agg(listed("file").alias("all")).crossJoin(unread(files).agg(listed("file").alias("all_unread")))  # one row, as long as the longest list of the result
+    own = sources.groupBy("absence").agg(F.collect_set("file").alias("own"))
+    own = own.join(unread(sources).groupBy("absence").agg(listed("file").alias("own_unread")), "absence", "left")
+    held = holding.join(sources, ["absence", "file"], "left_semi").groupBy("absence").agg(listed("file").alias("own_held"))
+    all_held = holding.join(files.select("file"), "file", "left_semi").groupBy("absence").agg(listed("file").alias("all_held"))
+    met = absences.select("absence").join(own, "absence", "left").join(held, "absence", "left").join(all_held, "absence", "left").crossJoin(F.broadcast(whole))
+    names = F.col("own").isNotNull()
+    some = lambda c: F.when(F.size(c) > 0, c)
+    left = some(F.when(names, F.array_except("all", "own")))
+    not_read, holds = (some(F.when(names, F.col(f"own_{c}")).otherwise(F.col(f"all_{c}"))) for c in ("unread", "held"))
+    reason = F.when(left.isNotNull(), "sources leave out").when(not_read.isNotNull(), "source not read").when(holds.isNotNull(), "records hold it")
+    return met.select("absence", reason.isNull().alias("backed"), reason.alias("reason"), F.coalesce(left, not_read, holds, F.array().cast("array<string>")).alias("files"))
 
 
 def check_references(items: DataFrame, references: DataFrame) -> DataFrame:

@@ -77,8 +77,8 @@ def class_walk(own: DataFrame, maps: DataFrame, precise: DataFrame) -> tuple[Dat
     has = direct.select("code", "relation").distinct()
     walked = direct.unionByName(forms.unionByName(above).join(has, ["code", "relation"], "left_anti"))
     found = walked.groupBy("code", "relation", "class").agg(F.min(F.struct("step", "through")).alias("_f")).select("code", "relation", "class", "_f.step", "_f.through")
-    others = stated.join(stated.select("ingredient", F.col("form").alias("other")), "ingredient").where("form <> other")
-    borne = others.join(own.select(F.col("code").alias("other"), "relation"), "other").select(F.col("form").alias("code"), "relation").distinct()
+    bearing = stated.join(own.withColumnRenamed("code", "form"), "form").select("ingredient", "relation").distinct()  # a form that alone bears a relation reaches it itself, so it isn't withheld
+    borne = stated.join(bearing, "ingredient").select(F.col("form").alias("code"), "relation").distinct()
     return found, borne.join(found.select("code", "relation").distinct(), ["code", "relation"], "left_anti")
 
 

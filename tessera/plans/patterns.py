@@ -134,6 +134,7 @@ def closure(edges: DataFrame, *, zero_length: bool = True, most_rounds: int = 10
     """
     edges = edges.select("a", "b").distinct()
     reach = new = stored(edges)
+    rounds = [reach]
     for _ in range(most_rounds):
         hop = reach.select(F.col("a").alias("b"), F.col("b").alias("c"))
         longer = new.join(hop, "b").select("a", F.col("c").alias("b")).distinct()
@@ -142,6 +143,10 @@ def closure(edges: DataFrame, *, zero_length: bool = True, most_rounds: int = 10
             forget(new)
             break
         reach = reach.unionByName(new)
+        rounds.append(new)
+    if len(rounds) > 1:
+        reach = stored(reach)
+        forget(*rounds)
     if zero_length:
         nodes = edges.select("a").unionByName(edges.select(F.col("b").alias("a")))
         reach = reach.unionByName(nodes.select("a", F.col("a").alias("b"))).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
@@ -137,10 +138,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             try:
-                every = list(triples(content.decode(), path))
+                for part in itertools.batched(triples(content.decode(), path), 10_000):
+                    yield pa.RecordBatch.from_arrays([*(pa.array([t[k] for t in part], pa.string()) for k in range(3)), pa.array([path] * len(part), pa.string())], names=["s", "p", "o", "g"])
             except ValueError as e:
                 raise ValueError(f"{path}: {e}") from e
-            yield pa.RecordBatch.from_arrays([*(pa.array([t[k] for t in every], pa.string()) for k in range(3)), pa.array([path] * len(every), pa.string())], names=["s", "p", "o", "g"])
 
 
 def read_turtle(spark: SparkSession, paths: str | list[str], graph: str | None = None) -> DataFrame:
