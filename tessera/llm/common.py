@@ -70,14 +70,14 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
 def spread_join(rows: DataFrame, small: DataFrame, key: str, n: str) -> DataFrame:
     """Inner join with a table of one row a key and `n`, how many of the rows have that key.
 
-    Keys that more than a thousandth of all rows have, a thousand at most, are broadcast, so their rows stay spread as they are; all others are shuffled.
+    Keys that more than a thousandth of all rows have, a thousand at most, are broadcast, so their rows stay spread as they are; all others are shuffled and merged, whatever size Spark takes either side for.
     """
     total = small.agg(F.sum(n)).first()[0] or 0
     hot = F.col(n) * HOT_PARTS > total
     keep = [c for c in small.columns if c != n]
     often = F.broadcast(small.where(hot).select(*keep))
     rest = rows.join(F.broadcast(small.where(hot).select(key)), key, "left_anti")
-    return rows.join(often, key).unionByName(rest.join(small.where(~hot).select(*keep), key))
+    return rows.join(often, key).unionByName(rest.join(small.where(~hot).select(*keep).hint("merge"), key))
 
 
 def plain_lists(values: Sequence[Sequence[float]], kind: pa.DataType) -> pa.ListArray:

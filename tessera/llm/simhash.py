@@ -6,7 +6,8 @@ the segment itself and by its 32 variants with one bit made a wildcard; an equal
 keys finds every link and the other bits verify it. Under a wildcard only fingerprints that do
 differ in that bit are joined, since equal segments meet under the whole segment already.
 
-Copies and equal fingerprints are one row before any join. A key that more than `FULL_BUCKET`
+Copies and equal fingerprints are one row before any join. No plan may broadcast the index, whose rows Spark underestimates 66 times: keys
+that several fingerprints share are found and stored first, and these few are what is broadcast, or merged if they are many. A key that more than `FULL_BUCKET`
 fingerprints share isn't joined with itself: there the other segment gets wildcards too, two below
 a whole segment and one below a variant. Up to four fingerprints share such a key, all within two
 bits of each other, so one link from each to the smallest is enough. Links and rows thus grow with the
@@ -38,6 +39,8 @@ COUNTED_AT_ONCE = 1 << 16
 INDEXED_AT_ONCE = 20_000
 #: Fingerprints under one key beyond which the other segment is refined instead of joined.
 FULL_BUCKET = 64
+#: Shared keys up to which all of them are broadcast; beyond that only the most frequent are.
+BROADCAST_KEYS = 100_000
 
 _LOW = 0xFFFFFFFF
 
@@ -90,6 +93,13 @@ def _index(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.key", "e.bit", "fp")
 
 
+def _shared(index: DataFrame, met: DataFrame) -> DataFrame:
+    """The index's rows under the keys of the stored table `met` (`key, n`), and n. Only `met` or its most frequent keys are ever broadcast."""
+    if met.count() <= BROADCAST_KEYS:
+        return index.join(F.broadcast(met), "key")
+    return spread_join(index, met.withColumn("held", F.col("n")), "key", "held")
+
+
 def links(fps: DataFrame, *, full_bucket: int = FULL_BUCKET) -> DataFrame:
     """Distinct `a, b` (a below b) of the column `fp` of distinct fingerprints: pairs two bits apart or fewer that connect all that are linked.
 
@@ -98,8 +108,9 @@ def links(fps: DataFrame, *, full_bucket: int = FULL_BUCKET) -> DataFrame:
     """
     index = _index(fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() // INDEXED_AT_ONCE + 1), "fp"))
     met = index.groupBy("key").agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
-    met = met.where("n > 1 and (ones is null or ones between 1 and n - 1)")
-    rows = stored(index.join(met, "key").select("key", "bit", "fp", "n"))
+    met = stored(met.where("n > 1 and (ones is null or ones between 1 and n - 1)").select("key", "n"))
+    rows = stored(_shared(index, met).select("key", "bit", "fp", "n"))
+    forget(met)
 
     some = rows.where(F.col("n") <= full_bucket)
     one, two = some.select("key", "bit", F.col("fp").alias("a")), some.select("key", F.col("bit").alias("bit_b"), F.col("fp").alias("b"))

@@ -72,6 +72,31 @@ def test_simhash_components_equal_all_pairs(spark):
         assert all(found.get(f, f) == find(f) for f in fps)
 
 
+def test_simhash_never_broadcasts_the_index(spark, monkeypatch):
+    built, write = [], simhash.stored
+
+    def walk(node):
+        yield node
+        for k in range(node.children().size()):
+            yield from walk(node.children().apply(k))
+
+    def spied(df):
+        for node in walk(df._jdf.queryExecution().sparkPlan()):
+            if node.nodeName() == "BroadcastHashJoin":
+                built.append((node.left() if node.buildSide().toString() == "BuildLeft" else node.right()).toString())
+        return write(df)
+
+    monkeypatch.setattr(simhash, "stored", spied)
+    fps = [k << 20 | b for k in range(0, 3000, 3) for b in (0, 1, 3)]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    found = []
+    for bound in (100_000, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_KEYS", bound, raising=False)
+        found.append({tuple(r) for r in simhash.links(df).collect()})
+        assert built and not any("explode(array(" in plan for plan in built)
+    assert found[0] == found[1] >= {(f & ~3, f & ~3 | 1) for f in fps}
+
+
 def test_fingerprints_bit_by_bit():
     for text in ("", "A b", "a B c", "one Two three four five", "x y z " * 40, "é ü\u00a0 b\tc\x0bd \x1c e"):
         words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).replace("\t", " ").replace("\x0b", " ").replace("\n", " ").split(" ") if w]
