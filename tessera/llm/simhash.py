@@ -45,6 +45,20 @@ BROADCAST_KEYS = 100_000
 _LOW = 0xFFFFFFFF
 
 
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes set each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _signs(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """SimHash of 64-bit hashes: a bit is set if over half of them set it; zero if there are none."""
+    return _signs(sum((_bits(hashes[k : k + COUNTED_AT_ONCE]) for k in range(0, len(hashes), COUNTED_AT_ONCE)), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """SimHash of the XXH64 of all `width`-word shingles: a bit is set if over half of the hashes set it."""
     words = (text or "").encode().lower().split()  # of bytes: only A-Z change, only ASCII white space splits
@@ -57,8 +71,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     for start in range(0, n, COUNTED_AT_ONCE):
         shingles = zip(*(words[start + k : min(start + COUNTED_AT_ONCE, n) + k] for k in range(width)), strict=True)
         hashes = np.array([xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+        counts += _bits(hashes)
+    return _signs(counts, n)
 
 
 def _fingerprints(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,16 +114,17 @@ def _shared(index: DataFrame, met: DataFrame) -> DataFrame:
     return spread_join(index, met.withColumn("held", F.col("n")), "key", "held")
 
 
-def links(fps: DataFrame, *, full_bucket: int = FULL_BUCKET) -> DataFrame:
+def links(fps: DataFrame, *, full_bucket: int = FULL_BUCKET, distance: int = 2) -> DataFrame:
     """Distinct `a, b` (a below b) of the column `fp` of distinct fingerprints: pairs two bits apart or fewer that connect all that are linked.
 
     Every linked pair is there, save that in full buckets a chain through the smallest of up to
-    four fingerprints stands for them.
+    four fingerprints stands for them. distance: beyond two bits, up to so many, each fingerprint is
+    also paired with the smallest under each of its keys, full or not.
     """
     index = _index(fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() // INDEXED_AT_ONCE + 1), "fp"))
-    met = index.groupBy("key").agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
-    met = stored(met.where("n > 1 and (ones is null or ones between 1 and n - 1)").select("key", "n"))
-    rows = stored(_shared(index, met).select("key", "bit", "fp", "n"))
+    met = index.groupBy("key").agg(F.count("*").alias("n"), F.sum("bit").alias("ones"), *([F.min("fp").alias("low")] if distance > 2 else []))
+    met = stored(met.where("n > 1 and (ones is null or ones between 1 and n - 1)").drop("ones"))
+    rows = stored(_shared(index, met))
     forget(met)
 
     some = rows.where(F.col("n") <= full_bucket)
@@ -126,7 +141,10 @@ def links(fps: DataFrame, *, full_bucket: int = FULL_BUCKET) -> DataFrame:
     refined = refined.groupBy("key", "mask", F.col("other").bitwiseAND(F.bitwise_not("mask")).alias("rest")).agg(F.collect_set("fp").alias("fps"))  # of four at most
     starred = refined.where(F.size("fps") > 1).select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
 
-    return joined.unionByName(starred).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = joined.unionByName(starred)
+    if distance > 2:
+        found = found.unionByName(rows.select(F.col("low").alias("a"), F.col("fp").alias("b")).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", full_bucket: int = FULL_BUCKET) -> DataFrame:

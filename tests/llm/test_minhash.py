@@ -4,7 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from tessera.llm import minhash
+from tessera.llm import minhash, simhash
 
 
 def words_of(text):
@@ -61,6 +61,26 @@ def test_the_prefix_join_misses_no_pair(spark):
     assert found == want
 
 
+def test_the_stage_links_by_simhash_first(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(9000)}" for _ in range(800)] for _ in range(30)]
+    texts = [" ".join(words[:k] + ["edited"] * (k < 800) + words[k + 1 :]) for words in base for k in (800, 300, 500)]
+    found, by_simhash = [], minhash._by_simhash
+
+    def spied(sets):
+        pairs = by_simhash(sets)
+        found.extend(tuple(r) for r in pairs.collect())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_by_simhash", spied)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.keep_first(spark, df, "").collect()} == set(range(0, 90, 3))
+    sets = [minhash.shingles(t) for t in texts]
+    names, fps = [minhash._named(s) for s in sets], [simhash.of_hashes(s) for s in sets]
+    near = {(min(names[a], names[b]), max(names[a], names[b])) for a, b in itertools.combinations(range(90), 2) if 0 < (fps[a] ^ fps[b]).bit_count() <= 2 and fps.count(fps[a]) == fps.count(fps[b]) == 1}
+    assert near and near <= set(found)
+
+
 def test_rows_without_an_id_and_odd_texts(spark):
     rows = [(None, "x y z"), (None, "X y  z"), (5, "a b"), (None, "a b"), (2, ""), (1, None), (3, "c"), (3, "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
