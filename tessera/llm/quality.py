@@ -4,12 +4,13 @@ Counting rules reject short and repetitive texts. Of the rest, a linear-chain co
 marks each line as content or boilerplate, Viterbi decoding finds the most probable sequence of marks, and the
 share of characters in content lines decides whether a document stays.
 
-The field has a weight for each line feature and for each pair of neighbouring marks, fitted by gradient ascent of the
-conditional likelihood on at most `TRAINING_DOCS` labelled documents, whole. Only documents are labelled, so the truth of a
+The field has a weight for each line feature and for each pair of neighbouring marks, fitted to the
+conditional likelihood of all labelled documents, whole. Up to `TRAINING_DOCS` of them are climbed at once by gradient ascent; where there are more,
+that gives only the start and the curvature, and each further step takes the gradient over all of them, one pass of tasks that return sums. Only documents are labelled, so the truth of a
 line comes from the lines. A line that stands in several documents in different surroundings (a licence, a notice) is boilerplate. In a document
 of bad quality a line is boilerplate if a classifier of single lines tells it from the lines of good documents; other lines are content. So marks do change
 within a text. A normal prior around hand-set weights keeps the fit steady and stands alone where no document is labelled. The least
-content share is the one that best tells the good from the bad documents of the sample, of equally good ones the nearest to a half.
+content share is the one that best tells the good from the bad labelled documents, of equally good ones the nearest to a half.
 
 Cases: a null text counts as empty and fails the rules; lines without a word take part in no count and no
 sequence. Labels that are null or name no document are left out; of several labels of one document the largest counts, of repeated rows of one document one does.
@@ -18,7 +19,7 @@ Repeated rows give a row each. Only the named columns take part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import named, of_texts
+from .common import forget, named, of_texts, parts_of, spread_join, stored
 
-#: Bound of the labelled sample that the field is fitted on.
+#: So many labelled documents are fitted at once; of more, they are the sample that the passes over all of them start from.
 TRAINING_DOCS = 2000
 #: Least share of characters in content lines, where no sample says better.
 LEAST_CONTENT = 0.5
@@ -44,6 +45,10 @@ _CONTINUATION = bytes(range(0x80, 0xC0))
 FEATURES = {"bias": -2.0, "symbols a word": 4.0, "capitals": 4.0, "repeated words": 4.0, "repeated line": 1.0, "exclamations a word": 2.0, "digits": 1.0, "very short": 0.5}
 #: Prior mean of the weights of mark pairs: staying in a mark is likelier than changing it.
 STAY = 1.0
+#: Strength of the prior of line weights and of pair weights, a document.
+PRIOR = np.array([0.005] * len(FEATURES) + [0.05] * 4)
+#: Strength of the ridge of the classifier of single lines.
+RIDGE = 1e-3
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -165,22 +170,35 @@ class Field:
         total = two.sum((1, 2), keepdims=True)
         return one[:, 1] / one.sum(1), two / np.where(total > 0, total, 1)
 
-    def fit(self, x: np.ndarray, marks: np.ndarray, starts: np.ndarray, steps: int = 300, rate: float = 0.1, prior: float = 0.5, close_enough: float = 3e-3) -> Field:
+    @property
+    def all_weights(self) -> np.ndarray:
+        """Line weights and then pair weights."""
+        return np.concatenate([self.weights, self.pairs.ravel()])
+
+    def with_weights(self, w: np.ndarray) -> Field:
+        """A field of these line and pair weights."""
+        return Field(w[: len(FEATURES)], w[len(FEATURES) :].reshape(2, 2), self.least)
+
+    def likelihood_gradient(self, x: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Gradient of the log likelihood of the marks by all weights; those of several lots of texts add up."""
+        inside = ~starts[1:]
+        stays = np.array([[float(((marks[:-1] == i) & (marks[1:] == j) & inside).sum()) for j in (0, 1)] for i in (0, 1)])
+        one, two = self.marginals(x, starts)
+        return np.concatenate([x.T @ (marks - one), (stays - two.sum(0)).ravel()])
+
+    def fit(self, x: np.ndarray, marks: np.ndarray, starts: np.ndarray, steps: int = 300, rate: float = 0.1, close_enough: float = 3e-3) -> Field:
         """Weights of greatest posterior: Adam steps until no part of the gradient exceeds `close_enough`. starts: where a text's lines begin."""
         if len(set(marks.tolist())) < 2:
             return self
-        n_docs, found = int(starts.sum()), Field(self.weights.copy(), self.pairs.copy())
-        inside = ~starts[1:]
-        stays = np.array([[float(((marks[:-1] == i) & (marks[1:] == j) & inside).sum()) for j in (0, 1)] for i in (0, 1)])
+        n_docs, found = int(starts.sum()), self.with_weights(self.all_weights)
         state = np.zeros((2, self.weights.size + 4))
         for step in range(1, steps + 1):
-            one, two = found.marginals(x, starts)
-            gradient = np.concatenate([x.T @ (marks - one) - prior * (found.weights - self.weights) * n_docs / 100, (stays - two.sum(0) - prior * (found.pairs - self.pairs) * n_docs / 10).ravel()]) / n_docs
+            gradient = found.likelihood_gradient(x, marks, starts) / n_docs - PRIOR * (found.all_weights - self.all_weights)
             if np.abs(gradient).max() <= close_enough:
                 break
             state = state * [[0.9], [0.99]] + [0.1 * gradient, 0.01 * gradient**2]
             move = rate * step**-0.25 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
-            found = Field(found.weights + move[: self.weights.size], found.pairs + move[self.weights.size :].reshape(2, 2))
+            found = found.with_weights(found.all_weights + move)
         return found
 
 
@@ -199,12 +217,18 @@ def shared_lines(digests: Sequence[np.ndarray]) -> list[np.ndarray]:
     return np.split(shared[number], np.cumsum([len(d) for d in digests])[:-1])
 
 
-def line_truth(x: np.ndarray, good: np.ndarray, shared: np.ndarray, steps: int = 200, rate: float = 0.5) -> np.ndarray:
-    """The marks of labelled documents' lines. good: whether a line's document is; a logistic classifier tells lines of bad documents, both kinds weighing the same."""
+def line_classifier(x: np.ndarray, good: np.ndarray, steps: int = 200, rate: float = 0.5) -> np.ndarray:
+    """Weights of a logistic classifier that tells lines of bad documents, both kinds weighing the same. good: whether a line's document is."""
     w, kinds = np.zeros(x.shape[1]), [max(1, int(good.sum())), max(1, int((~good).sum()))]
     weight = np.where(good, 0.5 / kinds[0], 0.5 / kinds[1])
     for _ in range(steps):
-        w += rate * 4 * (x.T @ (weight * (~good - 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))) - 1e-3 * w)
+        w += rate * 4 * (x.T @ (weight * (~good - 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))) - RIDGE * w)
+    return w
+
+
+def line_truth(x: np.ndarray, good: np.ndarray, shared: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
+    """The marks of labelled documents' lines, by the classifier's weights."""
+    w = line_classifier(x, good) if w is None else w
     return (shared | ~good & (x @ w > 0)).astype(np.int8)
 
 
@@ -219,52 +243,182 @@ def content_share(field: Field, text: str | None) -> float:
 
 def labelled(df: DataFrame, labels: DataFrame, label_col: str, most: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id, text, label` of at most `most` labelled documents, the same ones whatever the partitioning; only ids are broadcast."""
-    given = named(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    bounded = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    bounded = _given(labels, label_col, id_col).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return named(df, doc_id=id_col, text=text_col).join(F.broadcast(bounded), "doc_id")
 
 
+def _given(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """`doc_id, label`: of several labels of one document the largest."""
+    return named(labels, doc_id=id_col, label=label_col).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+#: Least content shares that are tried.
+_TRIES = np.arange(0.3, 0.951, 0.05)
+
+
+def _best_least(good_stay: np.ndarray, bad_go: np.ndarray) -> float:
+    """The share tried that best tells good from bad, by what part of each it decides rightly; of equally good ones the nearest to `LEAST_CONTENT`."""
+    scores = good_stay + bad_go
+    best = _TRIES[np.isclose(scores, max(scores))]
+    return float(round(best[np.argmin(np.abs(best - LEAST_CONTENT))], 2))
+
+
+def _content_share(field: Field, features: np.ndarray, sizes: bytes) -> float:
+    sizes = np.frombuffer(sizes, np.int32)
+    return sizes[field.decode(features) == 0].sum() / sizes.sum()
+
+
+def _joined(features: Sequence[bytes]) -> tuple[list[np.ndarray], list[int], np.ndarray, np.ndarray]:
+    """Features text by text, their lengths, all of them, and where texts start."""
+    each = [np.frombuffer(f, np.float32).reshape(-1, len(FEATURES)).astype(float) for f in features]
+    lengths = [len(f) for f in each]
+    starts = np.zeros(sum(lengths), bool)
+    starts[np.cumsum([0, *lengths[:-1]])] = True
+    return each, lengths, np.concatenate(each), starts
+
+
 def learnt(field: Field, rows: Sequence[tuple[int, bytes, bytes, bytes]]) -> Field:
     """The field of documents `label, features, digests, sizes`."""
     rows = [r for r in rows if r[1]]
     if len({r[0] > 0 for r in rows}) < 2:
         return field
-    features = [np.frombuffer(r[1], np.float32).reshape(-1, len(FEATURES)).astype(float) for r in rows]
+    features, lengths, x, starts = _joined([r[1] for r in rows])
     shared = shared_lines([np.frombuffer(r[2], np.uint64) for r in rows])
     good = np.array([r[0] > 0 for r in rows])
-    lengths = [len(f) for f in features]
-    x, starts = np.concatenate(features), np.zeros(sum(lengths), bool)
-    starts[np.cumsum([0, *lengths[:-1]])] = True
     found = field.fit(x, line_truth(x, np.repeat(good, lengths), np.concatenate(shared)), starts)
-    shares = []
-    for f, r in zip(features, rows, strict=True):
-        sizes = np.frombuffer(r[3], np.int32)
-        shares.append(sizes[found.decode(f) == 0].sum() / sizes.sum())
-    shares = np.array(shares)
-    tries = np.arange(0.3, 0.951, 0.05)
-    scores = [(shares[good] >= t).mean() + (shares[~good] < t).mean() for t in tries]
-    best = tries[np.isclose(scores, max(scores))]
-    found.least = float(round(best[np.argmin(np.abs(best - LEAST_CONTENT))], 2))
+    shares = np.array([_content_share(found, f, r[3]) for f, r in zip(features, rows, strict=True)])
+    found.least = _best_least(np.array([(shares[good] >= t).mean() for t in _TRIES]), np.array([(shares[~good] < t).mean() for t in _TRIES]))
     return found
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, packed = batch.column("text"), []
-        for i in range(batch.num_rows):
-            lines = lines_of(texts[i].as_py())
-            digests = np.array([xxhash.xxh64_intdigest(line) for line in lines], np.uint64)
-            packed.append((line_features(lines).astype(np.float32).tobytes(), digests.tobytes(), np.array([len(line) for line in lines], np.int32).tobytes()))
-        columns = [pa.array([p[k] for p in packed], pa.binary()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int64()), *columns], names=["doc_id", "label", "features", "digests", "sizes"])
+        for part in parts_of(batch, "text"):
+            texts, packed = part.column("text"), []
+            for i in range(part.num_rows):
+                lines = lines_of(texts[i].as_py())
+                digests = np.array([xxhash.xxh64_intdigest(line) for line in lines], np.uint64)
+                packed.append((line_features(lines).astype(np.float32).tobytes(), digests.tobytes(), np.array([len(line) for line in lines], np.int32).tobytes()))
+            columns = [pa.array([p[k] for p in packed], pa.binary()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "features", "digests", "sizes"])
+
+
+def _line_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line: its document, place and digest, and the digest of the line before (0: none)."""
+    for batch in batches:
+        for part in parts_of(batch, "digests"):
+            held = [np.frombuffer(d, np.int64) for d in part.column("digests").to_pylist()]
+            ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(held)), [len(d) for d in held])))
+            places = np.concatenate([np.arange(len(d), dtype=np.int32) for d in held])
+            before = np.concatenate([np.concatenate([[0], d[:-1]])[: len(d)] for d in held]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(places), pa.array(np.concatenate(held)), pa.array(before)], names=["doc_id", "place", "line", "before"])
+
+
+def _with_shared(rows: DataFrame) -> DataFrame:
+    """`rows` with `shared`, the places of lines that stand in `SHARED_BY` documents or more, after as many different lines; lines that very many documents have stay spread."""
+    lines = rows.mapInArrow(_line_pairs, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, place int, line bigint, before bigint")
+    counts = lines.groupBy("line").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("before").alias("befores"), F.count("*").alias("n"))
+    often = stored(counts.where((F.col("docs") >= SHARED_BY) & (F.col("befores") >= SHARED_BY)).select("line", "n"))
+    places = spread_join(lines.select("doc_id", "place", "line"), often, "line", "n").groupBy("doc_id").agg(F.collect_list("place").alias("shared"))
+    found = stored(rows.join(places, "doc_id", "left").select("label", "features", "sizes", "shared"))
+    forget(often)
+    return found
+
+
+def _summed(rows: DataFrame, function: Callable[..., np.ndarray]) -> np.ndarray:
+    """The sum over all rows of what a function gives for a lot of them; it gets whether each text is good, the texts' features and sizes, and of all their lines the features, whether their text is good, whether they are shared, and where texts start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for part in parts_of(batch, "features"):
+                each, lengths, x, starts = _joined(part.column("features").to_pylist())
+                good, shared = part.column("label").to_numpy() > 0, np.zeros(len(x), bool)
+                for first, places in zip(np.flatnonzero(starts), part.column("shared").to_pylist(), strict=True):
+                    shared[first + np.array(places or [], int)] = True
+                found = function(good, each, part.column("sizes").to_pylist(), x, np.repeat(good, lengths), shared, starts)
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(float).tobytes()], pa.binary())], names=["sums"])
+
+    return sum(np.frombuffer(r.sums) for r in rows.mapInArrow(run, "sums binary").collect())  # one row a task
+
+
+def _climbed(slope: Callable[[np.ndarray], np.ndarray], at: np.ndarray, steep: np.ndarray, close_enough: float, most_rounds: int = 50) -> np.ndarray:
+    """Where a gradient's parts are within `close_enough` of 0, or `most_rounds` later, by BFGS steps that halve when the gradient grows. slope: gradient at a point; steep: about how it falls there."""
+    step, gradient = 1.0, slope(at)
+    for _ in range(most_rounds):
+        if np.abs(gradient).max() <= close_enough:
+            break
+        move = step * np.linalg.solve(steep, gradient)
+        there = slope(at + move)
+        fell, guess = gradient - there, steep @ move
+        if fell @ move > 0:
+            steep = steep + np.outer(fell, fell) / (fell @ move) - np.outer(guess, guess) / (guess @ move)
+        if np.linalg.norm(there) < np.linalg.norm(gradient):
+            at, gradient, step = at + move, there, min(1.0, 2 * step)
+        else:
+            step /= 2
+    return at
+
+
+def learnt_from_all(field: Field, rows: DataFrame, sample: Sequence[tuple[int, bytes, bytes, bytes]], close_enough: float = 1e-4) -> Field:
+    """The field of all documents `doc_id, label, features, digests, sizes`, however many: the sample gives where to start and how steep it is there, each step's gradient is that of all rows."""
+    kinds = {r.good for r in rows.select((F.col("label") > 0).alias("good")).distinct().collect()}
+    if len(kinds) < 2:
+        return field
+    _, lengths, x, starts = _joined([r[1] for r in sample])
+    good = np.repeat([r[0] > 0 for r in sample], lengths)
+    n = len(FEATURES)
+    rows = _with_shared(rows)
+
+    def line_slope(w: np.ndarray) -> np.ndarray:
+        def sums(_good, _each, _sizes, x, good, _shared, _starts):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            return np.stack([np.concatenate([[k.sum()], x[k].T @ (~good - p)[k]]) for k in (good, ~good)])
+
+        found = _summed(rows, sums).reshape(2, -1)
+        return (found[:, 1:] / found[:, :1]).sum(0) / 2 - RIDGE * w
+
+    w = line_classifier(x, good)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    both = [x[k].T @ (x[k] * (p * (1 - p))[k, None]) / max(1, k.sum()) for k in (good, ~good)]
+    w = _climbed(line_slope, w, sum(both) / 2 + RIDGE * np.eye(n), close_enough)
+    counts = _summed(rows, lambda _good, each, _sizes, x, good, shared, _starts: np.array([len(each), len(x), line_truth(x, good, shared, w).sum()]))
+    n_docs, found = counts[0], field
+    if 0 < counts[2] < counts[1]:
+        start = learnt(field, sample).all_weights
+        of_sample = lambda at: field.with_weights(at).likelihood_gradient(x, np.zeros(len(x)), starts) / len(sample)
+        steep = np.stack([of_sample(start - e) - of_sample(start + e) for e in 1e-3 * np.eye(n + 4)]) / 2e-3  # marks don't change it
+
+        def slope(at: np.ndarray) -> np.ndarray:
+            tried = field.with_weights(at)
+            whole = _summed(rows, lambda _good, _each, _sizes, x, good, shared, starts: tried.likelihood_gradient(x, line_truth(x, good, shared, w), starts))
+            return whole / n_docs - PRIOR * (at - field.all_weights)
+
+        found = field.with_weights(np.round(_climbed(slope, start, (steep + steep.T) / 2 + np.diag(PRIOR), close_enough), 6))
+
+    def decided(good, each, sizes, *_):
+        shares = np.array([_content_share(found, f, s) for f, s in zip(each, sizes, strict=True)])
+        return np.concatenate([[good.sum(), (~good).sum()], *([(shares[good] >= t).sum(), (shares[~good] < t).sum()] for t in _TRIES)])
+
+    n_good, n_bad, *right = _summed(rows, decided)
+    forget(rows)
+    least = _best_least(np.array(right[::2]) / n_good, np.array(right[1::2]) / n_bad)
+    return Field(found.weights, found.pairs, least)
 
 
 def fitted(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = TRAINING_DOCS) -> Field:
-    """The field of the labelled documents: a document's features, not its text, leave its task, and repeated rows are one before that."""
-    sample = labelled(df, labels, label_col, most_docs, id_col=id_col, text_col=text_col)
-    rows = sample.mapInArrow(_line_rows, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label bigint, features binary, digests binary, sizes binary")
-    once = rows.groupBy("doc_id").agg(F.min(F.struct("label", "features", "digests", "sizes")).alias("f"))
-    return learnt(Field(), [r.f for r in sorted(once.collect(), key=lambda r: r.doc_id)])  # `most_docs` rows
+    """The field of all labelled documents: a document's features, not its text, leave its task, and repeated rows are one before that. most_docs: so many are fitted at once, more in passes over all of them."""
+    texts = named(df, doc_id=id_col, text=text_col).where("doc_id is not null")
+    each = texts.mapInArrow(_line_rows, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, features binary, digests binary, sizes binary").where("length(features) > 0")
+    given = each.join(_given(labels, label_col, id_col), "doc_id")
+    once = stored(given.groupBy("doc_id").agg(F.min(F.struct(F.col("label").cast("long").alias("label"), "features", "digests", "sizes")).alias("f")).select("doc_id", "f.*"))
+    sample = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs + 1).collect()
+    rows = [(r.label, r.features, r.digests, r.sizes) for r in sorted(sample[:most_docs], key=lambda r: r.doc_id)]
+    found = learnt(Field(), rows) if len(sample) <= most_docs else learnt_from_all(Field(), once, rows)
+    forget(once)
+    return found
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -198,6 +198,20 @@ def test_quality_on_held_out_labels(spark):
     assert np.allclose(twice.weights, field.weights) and twice.least == field.least
 
 
+def test_quality_learns_from_every_labelled_document(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    at_once = quality.fitted(docs, labels)
+    one, two = (quality.fitted(docs.unionByName(docs), labels, most_docs=most) for most in (30, 150))
+    assert np.allclose(one.weights, two.weights, atol=0.03) and one.least == two.least == at_once.least  # where the passes start decides nothing
+    assert np.allclose(one.weights, at_once.weights, atol=0.3)
+    unknown = spark.range(10**6, 10**6 + 5000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    assert np.allclose(quality.fitted(docs, labels.select("doc_id", "quality").unionByName(unknown)).weights, at_once.weights)
+    good = quality.fitted(docs, labels.where("quality = 1"), most_docs=30)
+    assert np.array_equal(good.weights, quality.Field().weights) and good.least == quality.LEAST_CONTENT
+    few = labels.where("quality = 1 or doc_id % 40 = 1")  # a sample of 2 has no bad document
+    assert np.allclose(quality.fitted(docs, few, most_docs=2).weights, quality.fitted(docs, few, most_docs=150).weights, atol=0.03)
+
+
 def test_marks_change_within_a_text():
     prose, junk = b"the quick brown fox runs over the lazy dog in the yard", b"BUY!! NOW!! BUY!! NOW!! $$$ ### BUY!!"
     notice = b"This text is licensed to all."
