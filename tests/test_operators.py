@@ -1,6 +1,7 @@
 """The reference's operators: edge cases, and every registered query against DuckDB."""
 
 import random
+import re
 
 import duckdb
 import pyspark.sql.functions as F
@@ -238,3 +239,13 @@ def test_links_connect_what_pairs_connect(spark):
 def test_queries_read_whole_tables_once(spark, sf):
     plan = queries.QUERIES["bgp_star"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "Aggregate" not in plan  # a pattern of one predicate is a scan of one column
+
+
+def test_sharing_makes_pairs_last(spark):
+    lists = {i: ([i % 3, 7] if i % 5 else [i % 3], [i % 4 * 10, i % 7, i % 4 * 10, None][: 1 + i % 4]) for i in range(40)} | {50: (None, [3, 0]), 51: (None, [0, 3]), 52: ([None], None)}
+    df = spark.createDataFrame([(i, c, e) for i, (c, e) in lists.items()], "i long, c array<long>, e array<long>")
+    found = changes.sharing(df, "i", "c", "e")
+    inside = lambda values: {x for x in values or () if x is not None}
+    expected = {(a, b, next(x for x in lists[a][1] if x in inside(lists[b][1]))) for a in lists for b in lists if a < b and inside(lists[a][1]) & inside(lists[b][1]) and not inside(lists[a][0]) & inside(lists[b][0])}
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected) and expected
+    assert not re.search(r"Aggregate \[entry#\d+L?, other#", found._jdf.queryExecution().optimizedPlan().toString())  # pairs of entries aren't grouped
