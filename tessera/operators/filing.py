@@ -17,11 +17,19 @@ def file_batch(arrived: DataFrame, matches: DataFrame, entries: DataFrame, diffe
     different. Of the records that a new one matches, each entry gives the least, preferring one not judged different from it. With batches of one record this is filing in strict order of arrival.
     """
     both = matches.select("a", "b").unionByName(matches.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    mine = both.join(arrived.select(F.col("record").alias("a")), "a", "left_semi").distinct()
+    mine = both.join(arrived.select(F.col("record").alias("a")), "a", "left_semi")
     apart = different.select("a", "b").unionByName(different.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("_apart", F.lit(True))
     known = mine.join(entries.select(F.col("record").alias("b"), "entry"), "b", "left").join(apart, ["a", "b"], "left")
-    best = known.groupBy("a", F.coalesce("entry", "b").alias("_entry")).agg(F.min(F.struct(F.coalesce("_apart", F.lit(False)).alias("apart"), F.col("b").alias("b"))).alias("_best"))
-    return best.select(F.col("a").alias("record"), F.col("_best.b").alias("other"))
+    return file_known(known.select("a", "b", "entry", F.coalesce("_apart", F.lit(False)).alias("apart")))
+
+
+def file_known(matches: DataFrame) -> DataFrame:
+    """`record, other` as `file_batch` files them, of matches `a, b` from a newly arrived record that bring the other's `entry` (null: itself) and whether the two are judged different (`apart`, never null).
+
+    Both may come in any number. Rows are only counted into the least ones of an entry where they arise, so none are shuffled as pairs.
+    """
+    best = matches.groupBy("a", F.coalesce("entry", "b").alias("_entry")).agg(F.min(F.when(~F.col("apart"), F.col("b"))).alias("_free"), F.min("b").alias("_any"))
+    return best.select(F.col("a").alias("record"), F.coalesce("_free", "_any").alias("other"))
 
 
 def pairs_of(sames: DataFrame, different: DataFrame) -> DataFrame:

@@ -249,3 +249,16 @@ def test_sharing_makes_pairs_last(spark):
     expected = {(a, b, next(x for x in lists[a][1] if x in inside(lists[b][1]))) for a in lists for b in lists if a < b and inside(lists[a][1]) & inside(lists[b][1]) and not inside(lists[a][0]) & inside(lists[b][0])}
     assert sorted(tuple(r) for r in found.collect()) == sorted(expected) and expected
     assert not re.search(r"Aggregate \[entry#\d+L?, other#", found._jdf.queryExecution().optimizedPlan().toString())  # pairs of entries aren't grouped
+
+
+def test_filing_by_known_entries(spark, sf):
+    rng = random.Random(4)
+    rows = [(rng.randrange(9), 20 + (b := rng.randrange(30)), None if b % 4 == 0 else 20 + b % 3, rng.random() < 0.6) for _ in range(300)]
+    once = {(a, b): (a, b, entry, apart) for a, b, entry, apart in rows}
+    best = {}
+    for a, b, entry, apart in once.values():
+        best[a, entry or b] = min(best.get((a, entry or b), (True, 99)), (apart, b))
+    found = filing.file_known(spark.createDataFrame([*once.values(), *once.values()], "a long, b long, entry long, apart boolean"))
+    assert sorted(map(tuple, found.collect())) == sorted((a, b) for (a, _), (_, b) in best.items())
+    plan = queries.QUERIES["arrival_filing"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("Join", plan)) == 1 and len(re.findall("Aggregate", plan)) == 2  # others that stand alike are one before they meet new records
