@@ -82,17 +82,28 @@ def overlap_links(spans: DataFrame, record: str, block: Sequence[str], start: st
 # Pairs: where every pair is asked for
 
 
+def dealt(rows: DataFrame, block: Sequence[str]) -> DataFrame:
+    """The rows in four parts a core by the block's columns. Adaptive execution merges parts by their bytes, which are few where pairs are many, so their number is given."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *block)
+
+
 def blocked_pairs(records: DataFrame, record: str, block: Sequence[str], origin: str | None = None, *, most: int | None = None) -> DataFrame:
     """`record, other` of records that agree on the block's columns, the smaller first; with `origin` also the sorted origins that join them.
 
     Rows grow with the square of a block. With `most`, blocks of more records are left out; `full_blocks` names them, and `linked` connects them.
+    Records, not pairs, are shuffled: a pair meets more than once only if both its records are in several blocks, so only such pairs are grouped.
     """
     if most is not None:
         records = records.join(full_blocks(records, record, block, most).select(*block), list(block), "left_anti")
-    one = records.select(F.col(record).alias("record"), *block, *([F.col(origin).alias("origin")] if origin else []))
-    two = records.select(F.col(record).alias("other"), *block)
-    met = one.join(two, list(block)).where("record < other")
-    return met.groupBy("record", "other").agg(F.array_sort(F.collect_set("origin")).alias("origins")) if origin else met.select("record", "other").distinct()
+    rows = records.select(F.col(record).alias("record"), *(F.col(c).alias(f"_block{i}") for i, c in enumerate(block)), *([F.col(origin).alias("origin")] if origin else []))
+    on = [f"_block{i}" for i in range(len(block))]
+    one = rows.groupBy("record", *on).agg(F.array_sort(F.collect_set("origin")).alias("origins")) if origin else rows.distinct()
+    one = one.withColumn("_several", F.count("*").over(Window.partitionBy("record")) > 1)
+    two = one.select(F.col("record").alias("other"), *on, F.col("_several").alias("_other_several"))
+    met = dealt(one, on).join(dealt(two, on), on).where("record < other").drop(*on)
+    often = met.where("_several and _other_several")
+    again = often.groupBy("record", "other").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("origins")))).alias("origins")) if origin else often.select("record", "other").distinct()
+    return met.where("not (_several and _other_several)").select(again.columns).unionByName(again)
 
 
 def full_blocks(records: DataFrame, record: str, block: Sequence[str], most: int) -> DataFrame:

@@ -262,3 +262,20 @@ def test_filing_by_known_entries(spark, sf):
     assert sorted(map(tuple, found.collect())) == sorted((a, b) for (a, _), (_, b) in best.items())
     plan = queries.QUERIES["arrival_filing"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("Join", plan)) == 1 and len(re.findall("Aggregate", plan)) == 2  # others that stand alike are one before they meet new records
+
+
+def test_pairs_of_records_in_several_blocks(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(30) if rng.random() < 0.9 else None, rng.choice("uvw") if rng.random() < 0.9 else None, rng.randrange(2), rng.choice(["x", "y", None])) for _ in range(90)]
+    rows += [(100 + i, "u", 0, "z") for i in range(5)]
+    df = spark.createDataFrame(rows, "record long, b string, c int, origin string")
+    expected = {}
+    for one in rows:
+        for two in rows:
+            if None not in (one[0], two[0], one[1]) and one[1:3] == two[1:3] and one[0] < two[0]:
+                expected.setdefault((one[0], two[0]), set()).update({one[3]} - {None})
+    found = entries.blocked_pairs(df, "record", ["b", "c"], "origin")
+    assert found.columns == ["record", "other", "origins"]
+    assert sorted((r.record, r.other, tuple(r.origins)) for r in found.collect()) == sorted((*k, tuple(sorted(v))) for k, v in expected.items())
+    assert sorted(map(tuple, entries.blocked_pairs(df, "record", ["b", "c"]).collect())) == sorted(expected)
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # not all pairs are grouped
