@@ -8,6 +8,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from .entries import components
+from .lineage import stored
 
 
 def file_batch(arrived: DataFrame, matches: DataFrame, entries: DataFrame, different: DataFrame) -> DataFrame:
@@ -56,12 +57,17 @@ def entries_as_of(records: DataFrame, sames: DataFrame, different: DataFrame, mo
 
 
 def still_joined(sames: DataFrame, current: DataFrame) -> DataFrame:
-    """`same` of the stale Sames (`same, member`) of which one member is joined with every other by the current pairs (`a, b`)."""
+    """`same` of the stale Sames (`same, member`) of which one member is joined with every other by the current pairs (`a, b`).
+
+    A member in fewer pairs than its Same has other members can't be; pairs are counted where they arise, and only those of the members that are left are shuffled.
+    """
     members = sames.select("same", "member").distinct()
-    both = current.select("a", "b").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    sizes = members.groupBy("same").agg((F.count("*") - 1).alias("others"))
+    held = current.select(F.explode(F.array("a", "b")).alias("member")).groupBy("member").agg(F.count("*").alias("_held"))
+    able = stored(members.join(sizes, "same").join(held, "member").where("_held >= others").select(F.col("member").alias("a")).distinct())
+    both = current.select("a", "b").join(able, "a", "left_semi").unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")).join(able, "a", "left_semi")).distinct()
     met = members.withColumnRenamed("member", "a").join(both, "a").join(members.withColumnRenamed("member", "b"), ["same", "b"])
     reach = met.groupBy("same", "a").agg(F.count("*").alias("n"))
-    sizes = members.groupBy("same").agg((F.count("*") - 1).alias("others"))
     return reach.join(sizes, "same").where("n = others").select("same").distinct()
 
 

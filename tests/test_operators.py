@@ -279,3 +279,15 @@ def test_pairs_of_records_in_several_blocks(spark):
     assert sorted((r.record, r.other, tuple(r.origins)) for r in found.collect()) == sorted((*k, tuple(sorted(v))) for k, v in expected.items())
     assert sorted(map(tuple, entries.blocked_pairs(df, "record", ["b", "c"]).collect())) == sorted(expected)
     assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # not all pairs are grouped
+
+
+def test_sames_still_joined_by_their_members(spark):
+    rng = random.Random(6)
+    sames = [(s, m) for s in range(12) for m in rng.sample(range(40), 1 + s % 5)]
+    pairs = [(a, b) for a in range(40) for b in range(40) if a != b and rng.random() < 0.25] * 2
+    joined = {frozenset(p) for p in pairs}
+    members = {s: {m for x, m in sames if x == s} for s, _ in sames}
+    expected = {s for s, ms in members.items() if len(ms) > 1 and any(all(frozenset((a, b)) in joined for b in ms - {a}) for a in ms)}
+    found = filing.still_joined(spark.createDataFrame(sames + sames[:9], "same long, member long"), spark.createDataFrame(pairs, "a long, b long"))
+    assert {r.same for r in found.collect()} == expected and expected
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()  # only pairs of members that are in enough of them go on
